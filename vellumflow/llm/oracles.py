@@ -1,7 +1,82 @@
-"""DuckDB SQL for the queries of this folder that SQL can express."""
+"""DuckDB SQL for the queries of this folder that SQL can express.
+
+op4 and op7 to op10 need a hash, a trained model or a tokenizer that SQL lacks;
+the tests hold them against brute force, exact round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from vellumflow.llm.license_scan import TEMPLATES, THRESHOLD, template_bigrams
+from vellumflow.llm.quality_rules import MEASURES, POLICIES, RULES, mask
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+MIX = f"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size,
+  ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || text, '')), 1, 13))::BIGINT / pow(16, 13) AS u FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM p),
+k AS (SELECT *, cap / w AS stop, row_number() OVER o AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stopped,
+  sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open_w, sum(source_size) OVER ()::BIGINT * 1.5::DOUBLE AS total FROM r WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+l AS (SELECT *, (total - stopped) / open_w AS level FROM k),
+t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT arg_min(level, k) FROM l WHERE level <= stop) * w), cap::DOUBLE) AS target FROM l),
+x AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source"""
+
+
+def license_sql() -> str:
+    known = template_bigrams(TEMPLATES)
+    rows = ", ".join(f"({k}, '{name}', {sum(own.values())}, '{g}', {c})" for k, (name, own) in enumerate(known) for g, c in sorted(own.items()))
+    low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
+    return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 0 AS line, text AS unit FROM d WHERE len(ls) > 1 UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1))::INT, unnest(ls) FROM d),
+w AS (SELECT doc_id, line, regexp_extract_all(lower(unit), '[\\p{{L}}\\p{{N}}]+') AS ws FROM u),
+b AS (SELECT doc_id, line, len(ws) - 1 AS n, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1),
+t AS (SELECT * FROM (VALUES {rows}) AS t(template, license, size, bigram, most)),
+c AS (SELECT doc_id, line, n, template, license, size, least(count(*), any_value(most)) AS common FROM b JOIN t ON bigram = g[1] || ' ' || g[2] WHERE n >= size * {low!r}::DOUBLE AND n <= size * {high!r}::DOUBLE GROUP BY doc_id, line, n, template, license, size, bigram),
+s AS (SELECT doc_id, line, license, 2.0::DOUBLE * sum(common) / (n + size) AS dice FROM c GROUP BY doc_id, line, n, template, license, size)
+SELECT doc_id, line, license, dice FROM s WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1"""
+
+
+LEDGER = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(ws[1:len(ws) - 2]) AS a, unnest(ws[2:len(ws) - 1]) AS b, unnest(ws[3:]) AS z FROM w WHERE len(ws) >= 3),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, z) AS c FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
+ledger AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_distinct(ws))::BIGINT AS n_distinct,
+  length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaims, length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS n_digits
+  FROM w LEFT JOIN rep USING (doc_id)),
+bits AS (SELECT *, ({" | ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(RULES))})::BIGINT AS fail_bits FROM ledger)"""
+
+
+def ablation_sql(policy: str) -> str:
+    m = mask(policy)
+    names = [n for n, _ in RULES]
+    each = [f"SELECT '{r}' AS rule, count(*) FILTER ((fail_bits & {1 << names.index(r)}) <> 0) AS n_failed, count(*) FILTER ((fail_bits & {m}) = {1 << names.index(r)}) AS n_failed_alone, count(*) FILTER ((fail_bits & {m & ~(1 << names.index(r))}) = 0) AS n_kept_without FROM bits" for r in POLICIES[policy]]
+    return f"{LEDGER} {' UNION ALL '.join(each)}"
+
+
+LM = f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL::VARCHAR], ws[:-2])) AS v FROM t WHERE len(ws) > 0),
+u AS (SELECT w, count(*) AS c FROM p GROUP BY w), b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), n AS (SELECT count(*) AS n FROM p),
+s AS (SELECT p.doc_id, CASE WHEN p.v IS NULL THEN log10(u.c) - log10(n.n) WHEN b.c >= 2 THEN log10(b.c) - log10(x.c) ELSE log10(u.c) - log10(n.n) + log10(0.4) END AS s
+  FROM p JOIN u USING (w) LEFT JOIN b ON p.v = b.v AND p.w = b.w LEFT JOIN u x ON x.w = p.v, n),
+a AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.s, 0), 6) AS log_score FROM t LEFT JOIN a USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    assert MEASURES[:1] == ["n_words"]
+    return {
+        "op1_exact_top_k": TOP_K,
+        "op2_mix_sources": MIX,
+        "op3_license_scan": license_sql(),
+        "op5_quality_rules": f"{LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (fail_bits & {mask('v1')}) = 0 AS kept, fail_bits FROM bits",
+        "rule_ablation": ablation_sql("v1"),
+        "op6_lm_scoring": LM,
+    }
