@@ -16,15 +16,21 @@ from vellumflow.llm.shared import written
 
 #: (verdict, host, path): a rule fits its host, the host's subdomains, and paths that begin with its path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-BUCKETS, GRAMS, STEPS, RATE, RIDGE = 8192, (3, 4), 1000, 0.02, 0.001
+BUCKETS, GRAMS, STEPS, RATE, RIDGE = 16384, (3, 4), 1000, 0.02, 0.001
 #: Most labelled URLs that train accepts.
 MOST_LABELLED = 1000
 
-#: Labelled URLs: 1 is to be blocked.
-LABELLED: list[tuple[int, str]] = [
-    *((1, u) for u in ("http://best-casino.test/win/", "https://www.casino-bonus.test/play", "http://online-casino.test/spin-win", "https://win-big.test/jackpot", "http://lucky-win.test/prize", "http://poker-bets.test/", "https://free-bets.test/odds", "http://sports-betting.test/free", "https://bets-online.test/en/5", "http://cheap-pills.test/buy", "https://pills-online.test/order", "http://discount-pills.test/cheap", "https://www.cheap-meds.test/viagra", "http://pharmacy-cheap.test/pills", "https://adult-video.test/", "http://adult-chat.test/live", "https://www.xxx-adult.test/cams", "http://adult-x.test/free", "http://porn-x.test/en/", "http://spam-site.test/", "https://link-farm.test/links", "http://spam-farm.test/seo", "https://seo-spam.test/backlinks", "http://content-farm.test/1", "http://ads-server.test/click", "https://ad-track.test/pixel", "http://tracking-ads.test/t", "https://click-track.test/ads", "http://banner-ads.test/serve", "http://free-download-crack.test/keygen", "http://get-rich-free.test/money", "https://cheap-replica.test/watches")),
-    *((0, u) for u in ("http://library.test/catalogue/12", "https://www.museum.test/en/4410", "http://archive.test/fr/88.html", "https://university.test/de/research", "http://news.test/en/2041", "https://blog.garden.test/es/19", "http://m.weather.test/fr/3", "https://www.townhall.test/minutes.html", "http://history.test/en/1201#top", "https://recipes.test/bread/", "http://music.test/notes?page=2", "https://science.test/en/9/", "http://nature.test/birds", "https://school.test/lessons/7", "http://poems.test/fr/12", "https://www.maps.test/de/55", "http://health.test/en/advice", "https://travel.test/es/guide", "http://m.books.test/en/70.html", "https://forum.test/en/31?page=2", "http://theatre.test/stage", "https://railway.test/timetable", "http://another.test/en/15", "https://station.test/fr/1502/", "http://thinking.test/de/42", "https://mention.test/es/6", "http://blog.nation.test/en/833", "https://hearing.test/fr/9.html", "http://www.thread.test/en/120", "https://others.test/de/7", "http://within.test/es/44", "https://eastern.test/en/1")),
-]
+# Hosts of the labelled URLs, to be blocked and to be allowed.
+BLOCKED_HOSTS = "best-casino casino-bonus online-casino win-casino casino-royal win-big lucky-win poker-bets free-bets bets-online sports-betting cheap-pills pills-online discount-pills cheap-meds pharmacy-pills viagra-shop adult-video adult-chat xxx-adult adult-films porn-x spam-site link-farm spam-farm seo-spam content-farm ads-server ad-track click-track tracking-ads banner-ads free-keygen get-rich-free cheap-replica".split()
+ALLOWED_HOSTS = "library museum archive university news garden weather townhall history recipes music science nature school poems maps health travel books forum theatre railway station thinking nation mention hearing thread others within eastern better-bread windmill faraway adventure".split()
+# What the labelled URLs have before and after their hosts, in turn, whatever the label.
+BEFORE = ["http://", "https://www.", "http://m.", "https://", "http://blog."]
+AFTER = [".com/en/15", ".net/fr/402.html", ".org/de/7/", ".com/es/88?page=2", ".net/en/1204#top", ".org/en/36", ".com/", ".net/about"]
+
+
+def labelled_pairs() -> list[tuple[int, str]]:
+    """The labelled URLs; 1 is to be blocked. Both labels have the same surroundings."""
+    return [(label, f"{BEFORE[k % len(BEFORE)]}{host}{AFTER[k % len(AFTER)]}") for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for k, host in enumerate(hosts)]
 
 
 def host_of(url: Column) -> Column:
@@ -60,7 +66,7 @@ def buckets_of(host: Column, path: Column, buckets: int = BUCKETS, grams: tuple[
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({y}, '{u}')" for y, u in LABELLED)
+    rows = ", ".join(f"({y}, '{u}')" for y, u in labelled_pairs())
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(label, url)")
 
 
