@@ -1,0 +1,117 @@
+"""op8 and op9: exact ids, exact round trips."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from vellumflow.llm import packing, rans, token_files
+from vellumflow.llm.tokens import PieceCache, default_tokenizer
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id long, file int, ids string"
+
+
+@pytest.fixture(scope="module")
+def cache():
+    return PieceCache(default_tokenizer())
+
+
+SIGNS = ["a", "B", "é", "s", "t", "re", "'", "'s", " ", "  ", "\n", "\t", "\r\n", "\xa0", "1", "²", "_", ".", "!", "<|endoftext|>", "東", "😀", "́", " ", "\x1c", "\x85", "—", "\x00", "ß"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SIGNS), max_size=14) | st.text(max_size=20))
+def test_ids_are_the_library_s(cache, parts):
+    text = "".join(parts).encode("utf-8", "replace").decode()
+    got = np.frombuffer(cache.encode(text), "<u2").tolist()
+    assert got == cache.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_full_cache_is_emptied():
+    small = PieceCache(default_tokenizer(), most=3)
+    assert [len(small.encode(f"word{i} of text{i}")) > 0 for i in range(9)] == [True] * 9
+    assert len(small) < 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 131071, 131072, 131073, 400000])
+def test_segment_round_trip(n):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 60000).astype(np.uint32)
+    raw = rans.encode_segment([4, None], [0, n // 3], [n // 3, n - n // 3], ids)
+    s = rans.Segment(raw)
+    assert (s.ids() == ids).all() and s.docs["known"].tolist() == [1, 0] and s.docs["n"].tolist() == [n // 3, n - n // 3]
+    for k in range(len(s.info["ids"])):  # any block without the others
+        assert (s.block(k) == ids[k * rans.BLOCK : (k + 1) * rans.BLOCK]).all()
+
+
+def test_damage_is_found():
+    raw = bytearray(rans.encode_segment([1], [0], [5000], np.arange(5000, dtype=np.uint32) % 77))
+    for at in (40, len(raw) - 9):
+        bad = bytearray(raw)
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="damaged|invalid|Error"):
+            rans.Segment(bytes(bad)).ids()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 1 << 40), min_size=1, max_size=300))
+def test_frequencies_sum_and_stay_positive(counts):
+    freq = rans.scaled(np.array(counts, np.int64))
+    assert int(freq.sum()) == 1 << rans.SCALE and int(freq.min()) >= 1
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def edge_rows(spark):
+    rng = random.Random(5)
+    rows = [(3, None), (1, ""), (2, "hello world"), (2, "hello world"), (None, "no id"), (9, "long text here. " * 9000)]
+    rows += [(100 + i, " ".join(rng.choice(["the", "roi", "Paris", "x1"]) for _ in range(rng.randint(0, 900)))) for i in range(80)]
+    return rows, spark.createDataFrame([(i, t, "en", "s", 1, 7, 8, "z") for i, t in rows], DOCS)
+
+
+def test_token_files(spark, cache, tmp_path):
+    rows, df = edge_rows(spark)
+    token_files.write_tokens(df.repartition(5), f"file://{tmp_path}/t", default_tokenizer(), segment=9000)
+    got = [tuple(r) for r in token_files.read_tokens(spark, f"file://{tmp_path}/t", with_ids=True).collect()]
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*cache.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), crc(ids), np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == [(*w[:4], bytearray(w[4])) for w in want]
+    token_files.write_tokens(df.limit(0), f"file://{tmp_path}/e", default_tokenizer())
+    assert token_files.read_tokens(spark, f"file://{tmp_path}/e").collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 7, 70])
+def test_packing(spark, cache, parts):
+    rows, df = edge_rows(spark)
+    got = packing.pack_documents(df.repartition(parts), default_tokenizer(), with_ids=True, keep=4).collect()
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(i, []).append([*cache.tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
+    windows, pieces = {}, {}
+    for r in got:
+        assert 0 < r["length"] <= 2048 and r["doc_tokens"] == len(ids[r["doc_id"]][0]) and crc(np.frombuffer(r["ids"], "<u4")) == r["ids_crc32"]
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert set(pieces) == set(ids)
+    for i, copies in ids.items():
+        covered = sorted((s + k, x) for s, p in pieces[i] for k, x in enumerate(p))
+        assert covered == sorted((k, x) for c in copies for k, x in enumerate(c))
+    total = sum(len(c) for cs in ids.values() for c in cs)
+    assert len(windows) * 2048 <= total * 1.02 + 2048
+
+
+def test_packing_nothing(spark):
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), default_tokenizer()).collect() == []

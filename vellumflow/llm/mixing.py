@@ -63,11 +63,10 @@ def copies(rate: Column, drawn: Column) -> Column:
     return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("int")).cast("long")
 
 
-def _with_rates(rows: DataFrame, targets: DataFrame, source: Column) -> DataFrame:
-    """Rows beside their source's targets; null sources match each other."""
-    of = targets.withColumnRenamed("source", "_of_source")
-    row_bytes = F.lit(48) + F.coalesce(F.octet_length("_of_source"), F.lit(0))
-    return rows.join(small(of, row_bytes), F.coalesce(source, F.lit("")).eqNullSafe(F.coalesce("_of_source", F.lit(""))) & (source.isNull() == F.col("_of_source").isNull()))
+def _with_rates(rows: DataFrame, targets: DataFrame, source: str, of: str) -> DataFrame:
+    """Rows beside their source's targets, whose source is named ``of``; null sources match each other."""
+    row_bytes = F.lit(48) + F.coalesce(F.octet_length(of), F.lit(0))
+    return rows.join(small(targets, row_bytes), F.col(source).eqNullSafe(F.col(of)))
 
 
 def mix_ledger(docs: DataFrame, *, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -80,7 +79,7 @@ def mix_ledger(docs: DataFrame, *, seed: str = "mix-1", id_col: str = "doc_id",
     """
     text, doc_id = F.col(text_col), F.col(id_col)
     sized = written(docs.select(doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), draw(seed, doc_id, text).alias("drawn")), "sized")
-    rated = _with_rates(sized, source_targets(sized, **how), F.col("source"))
+    rated = _with_rates(sized, source_targets(sized, **how).withColumnRenamed("source", "of_source"), "source", "of_source")
     return rated.withColumn("copies", copies(F.col("rate"), F.col("drawn"))).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -88,7 +87,8 @@ def mix(docs: DataFrame, *, seed: str = "mix-1", id_col: str = "doc_id", text_co
     """The mixed documents: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     text, source = F.col(text_col), F.col(source_col).cast("string")
     targets = source_targets(docs.select(source.alias("source"), n_words(text).alias("size")), **how)
-    key = column_name(docs, "mixed_source")
-    rated = _with_rates(docs.withColumn(key, source), targets, F.col(key))
-    n = copies(F.col("rate"), draw(seed, F.col(id_col), text))
-    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias(column_name(docs, "copy"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, of, rate, copy = (column_name(docs, stem) for stem in ("mixed_source", "of_source", "mix_rate", "mix_copy"))
+    rated = _with_rates(docs.withColumn(key, source), targets.select(F.col("source").alias(of), F.col("rate").alias(rate)), key, of)
+    n = copies(F.col(rate), draw(seed, F.col(id_col), text))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rated.select(*columns, F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias(copy)).select(*columns)
