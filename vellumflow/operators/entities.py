@@ -105,9 +105,9 @@ def analyze(df: DataFrame, text_col: str = "text", make: Callable[[], Predictor]
     return found.withColumn("entities", rounded).withColumn("n_entities", F.coalesce(F.size("entities"), F.lit(0))).withColumn("n_entities", F.greatest("n_entities", F.lit(0)))
 
 
-def entity_table(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Predictor] = GazetteerPredictor, *, chars: int = 512) -> DataFrame:
-    """text_idx, word, entity, score, source, century: a row per entity in the first ``chars`` code points."""
-    rows = df.select(F.col(id_col).alias("text_idx"), column_or(df, "source").alias("source"), column_or(df, "century").alias("century"), F.explode(entities_column(prefix(F.col(text_col), chars), make)).alias("e"))
+def entity_table(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Predictor] = GazetteerPredictor, *, chars: int | None = None) -> DataFrame:
+    """text_idx, word, entity, score, source, century: a row per entity, of whole texts or of their first ``chars`` code points."""
+    rows = df.select(F.col(id_col).alias("text_idx"), column_or(df, "source").alias("source"), column_or(df, "century").alias("century"), F.explode(entities_column(prefix(F.col(text_col), chars) if chars else F.col(text_col), make)).alias("e"))
     return rows.select("text_idx", F.col("e.word").alias("word"), F.col("e.entity_group").alias("entity"), F.col("e.score").alias("score"), "source", "century")
 
 

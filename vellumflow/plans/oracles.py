@@ -1,4 +1,7 @@
-"""The same queries in DuckDB's SQL."""
+"""The same queries in DuckDB's SQL.
+
+Edit distances have none, since DuckDB counts bytes; the tests compute them by hand.
+"""
 
 from __future__ import annotations
 
@@ -55,7 +58,6 @@ def norm(expr: str) -> str:
 
 LINES = f"""lines AS (SELECT * FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
   unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM documents) WHERE {ws('line')} <> '')"""
-ASCII = "strlen({0}) = length({0})"
 CONF = "(n_chars % 100) / 100.0::DOUBLE"
 
 
@@ -63,7 +65,6 @@ def of_lines(out: str) -> str:
     return f"WITH {LINES} SELECT doc_id, line_no, {out} AS out FROM lines"
 
 
-_RANK = "md5(concat_ws(':', {seed}, {salt}grp))"
 SPLIT = """grps AS (SELECT DISTINCT source AS grp FROM documents WHERE source IS NOT NULL),
 t1 AS (SELECT s1, grp, row_number() OVER (PARTITION BY s1 ORDER BY md5(s1::VARCHAR || ':' || grp), grp) AS k, count(*) OVER (PARTITION BY s1) AS n FROM grps, seeds1),
 t2 AS (SELECT s1, grp, k <= ceil(0.15::DOUBLE * n) AS is_test FROM t1),
@@ -72,8 +73,7 @@ assigned AS (SELECT s1, s2, grp, CASE WHEN k <= ceil((0.15::DOUBLE / (1 - 0.15::
   UNION ALL SELECT s1, s2, grp, 'test' FROM t2 JOIN pairs USING (s1) WHERE is_test)"""
 ONE = "seeds1 AS (SELECT 42 AS s1), pairs AS (SELECT 42 AS s1, 42 AS s2), "
 TOKENS = """facts AS (SELECT doc_id, w AS word, CASE WHEN w IN ('The','Les') THEN 'LOC' WHEN w IN ('Der','Ein') THEN 'ORG' ELSE 'MISC' END AS entity, 0.95::DOUBLE AS score
-  FROM (SELECT doc_id, unnest(regexp_extract_all(left(text, 512), '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w IN ('The','Les','Der','Ein','Los','Una'))"""
-POISSON = "0.36787944117144233"
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w IN ('The','Les','Der','Ein','Los','Una'))"""
 
 
 def poisson_steps() -> list[float]:
@@ -111,8 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "ij_initial": of_lines(ij("line")),
         "punct_norm": of_lines(punct("line")),
         "char_prefix": of_lines("left(line, 32)"),
-        "normalization_impact": f"WITH {LINES}, n AS (SELECT line, {norm('line')} AS o FROM lines) SELECT count(*) AS n, count(*) FILTER (line <> o) AS n_changed, round(avg(levenshtein(o, line) / length(line)), 6) AS mean_cer FROM n WHERE {ASCII.format('line')} AND {ASCII.format('o')}",
-        "cer_ascii_pairs": f"WITH {LINES} SELECT lang, count(*) AS n, round(avg(levenshtein(replace(line, 'th', 't'), line) / length(line)), 6) AS mean_cer, round(1 - avg(levenshtein(replace(line, 'th', 't'), line) / length(line)), 6) AS accuracy FROM lines WHERE {ASCII.format('line')} GROUP BY lang",
         "filter_lang_set": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('fr', 'es')",
         "has_labels": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
         "missing_labels": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",

@@ -22,10 +22,6 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
-def is_ascii(c):
-    return F.octet_length(c) == F.length(c)
-
-
 def norm_changed_by_lang(spark, sf_dir):
     rows = doc_lines(spark, sf_dir).withColumn("n", text.normalize(F.col("line")))
     return rows.groupBy("lang").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line") != F.col("n")).alias("n_changed")).withColumn("share", F.round(F.col("n_changed") / F.col("n_lines"), 6))
@@ -36,12 +32,12 @@ def rule(function, spark, sf_dir):
 
 
 def impact(spark, sf_dir):
-    rows = stats.normalization_impact(doc_lines(spark, sf_dir), "line").filter(is_ascii("original") & is_ascii("normalized"))
+    rows = stats.normalization_impact(doc_lines(spark, sf_dir), "line")
     return rows.agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.round(F.avg("cer_modification"), 6).alias("mean_cer"))
 
 
 def cer_pairs(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).filter(is_ascii("line")).withColumn("pred", F.replace("line", F.lit("th"), F.lit("t")))
+    rows = doc_lines(spark, sf_dir).withColumn("pred", F.replace("line", F.lit("th"), F.lit("t")))
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("mean_cer"), F.round(metrics.accuracy(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("accuracy"))
 
 
@@ -228,7 +224,7 @@ def queries() -> dict:
         "punct_norm": partial(rule, text.normalize_punctuation),
         "char_prefix": partial(rule, partial(text.prefix, n=32)),
         "normalization_impact": impact,
-        "cer_ascii_pairs": cer_pairs,
+        "cer_by_lang": cer_pairs,
         "wer_pairs": wer_pairs,
         "filter_lang_set": filter_langs,
         "has_labels": partial(labelled, 0),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def write_compiled(df: DataFrame, path: str, split: str, metadata: dict) -> None
     """Rows flagged for one split, beside a JSON of their metadata."""
     flags = {s: F.lit(s == split) for s in ("train", "validation", "test")}
     df.withColumns(flags).write.mode("overwrite").parquet(path)
-    write_json_document(df.sparkSession, f"{path}/_metadata.json", metadata)
+    write_json_document(df.sparkSession, f"{path}.json", metadata)
 
 
 def arrow_bytes(df: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
@@ -89,9 +91,6 @@ def arrow_bytes(df: DataFrame, metadata: dict[str, str] | None = None) -> DataFr
 
 def crops(df: DataFrame, image: str = "image", box: str = "box") -> DataFrame:
     """``df`` and crop: the part of the image within the clipped box."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("struct<height:int,width:int,data:binary>")
     def cut(images: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         out = []
