@@ -118,17 +118,26 @@ def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(homes: np.ndarray, members: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the members, where a home and a member link at MOST bits or fewer."""
+    """Links that connect what the pairs of a home and a member at MOST bits or fewer connect.
+
+    members: sorted, distinct, the homes among them. A home of the largest component
+    so far is compared with what lies outside it only, so a dense group of copies
+    costs about its size, not its square.
+    """
     a, b, label = [], [], np.arange(len(members))
-    for h in homes:
-        near = np.flatnonzero(np.bitwise_count(members ^ h) <= MOST)
+    everything = outside = np.arange(len(members))
+    main = -1
+    for h, at in zip(homes, np.searchsorted(members, homes).tolist(), strict=True):
+        look = outside if label[at] == main else everything
+        near = look[np.bitwise_count(members[look] ^ h) <= MOST]
         parts, first = np.unique(label[near], return_index=True)
-        if len(parts) > 1:
-            for k in first[1:]:
-                a.append(members[near[first[0]]]), b.append(members[near[k]])
-            a += [h] * len(first)
-            b += [members[near[k]] for k in first]
-            label[np.isin(label, parts)] = parts[0]
+        new = parts != label[at]
+        if new.any():
+            a += [h] * int(new.sum())
+            b += members[near[first[new]]].tolist()
+            label[np.isin(label, parts)] = label[at]
+            main = int(np.bincount(label).argmax())
+            outside = np.flatnonzero(label != main)
     return a, b
 
 
