@@ -140,3 +140,31 @@ def test_contract_schema(spark):
     df = spark.createDataFrame([(1, "uoir", "JJ207", 10)], "doc_id long, text string, shelfmark string, n long")
     out = contract.contract_lines(df, id_col="doc_id", text_col="text", confidence=F.lit(0.9))
     assert out.schema.names == contract.LINE.names and tuple(out.select("id", "text_normalized", "needs_review", "century").first()) == ("1", "voir", True, None)
+
+
+def test_polygons(spark):
+    df = spark.sql("SELECT array(struct(0 AS x,0 AS y), struct(10 AS x,0 AS y), struct(10 AS x,10 AS y), struct(0 AS x,10 AS y)) AS a, array(struct(5 AS x,0 AS y), struct(15 AS x,0 AS y), struct(15 AS x,10 AS y), struct(5 AS x,10 AS y)) AS b, array(struct(0 AS x,0 AS y), struct(20 AS x,0 AS y), struct(0 AS x,20 AS y)) AS t")
+    row = df.select(metrics.polygon_iou(F.col("a"), F.col("b")).alias("i"), metrics.polygon_iou(F.col("a"), F.col("a")).alias("one"), metrics.polygon_iou(F.col("a"), F.col("t")).alias("t"), metrics.polygon_iou(F.col("a"), F.lit(None).cast("array<struct<x:int,y:int>>")).alias("n")).first()
+    assert math.isclose(row["i"], 1 / 3) and row["one"] == 1.0 and abs(row["t"] - 0.5) < 0.03 and row["n"] is None
+
+
+def test_requests_and_commands(spark, tmp_path, capsys):
+    from vellumflow import api, cli
+
+    assert api.health() == {"status": "ok", "model": "gazetteer"}
+    got = api.analyze_texts(spark, ["uoir Paris", "·"])
+    assert [(g["normalized"], g["n_entities"]) for g in got] == [("voir Paris", 1), ("", 0)]
+    with pytest.raises(ValueError, match="blank"):
+        api.analyze_texts(spark, [" "])
+    df = spark.createDataFrame([(f"{i}", f"uoir {i}", f"voir {i}", f"g{i % 9}", f"{i:03}.png") for i in range(60)], "id string, text string, pred string, shelfmark string, image_path string").withColumn("gt", F.col("pred"))
+    df.write.parquet(str(tmp_path / "in"))
+    cli.main(["normalise", str(tmp_path / "in"), str(tmp_path / "n")])
+    assert spark.read.parquet(str(tmp_path / "n")).filter("normalized = pred").count() == 60
+    cli.main(["split", str(tmp_path / "in"), str(tmp_path / "s"), "--seeds", "3"])
+    assert corpus.leaks(spark.read.parquet(str(tmp_path / "s")), "shelfmark").count() == 0 and "seeds:" in (tmp_path / "s.manifest.txt").read_text()
+    cli.main(["evaluate", str(tmp_path / "in")])
+    assert '"accuracy": 1.0' in capsys.readouterr().out
+    cli.main(["tei", str(tmp_path / "in"), str(tmp_path / "t")])
+    assert spark.read.text(str(tmp_path / "t")).count() == 60
+    with pytest.raises(SystemExit):
+        cli.main(["transcribe", "x"])
