@@ -40,7 +40,8 @@ def test_stages(spark, sf_dir):
 def test_stages_keep_extra_columns_and_take_nothing(spark, sf_dir, k):
     schema = "doc_id long, text string, lang string, source string, n_chars long, measured string, quality_score double, copy int, row_hash long"
     stage = corpus_pipeline.STAGES[k][1]
-    df = spark.createDataFrame([(1, "plain words of a text " * 3 + " ".join(f"word{i}" for i in range(80)), "en", None, 1, "m", 0.1, 2, 3), (None, None, None, None, None, None, None, None, None)], schema)
+    df = spark.createDataFrame([(1, "plain words of a text " * 3 + " ".join(f"word{i}" for i in range(80)), "en", None, 1, "m", 0.1, 2, 3), (None, None, None, None, None, None, None, None, None), (4, "long text " * 20000, "en", "s", 5, None, None, None, None)], schema)
+    df = df.union(df)
     assert stage(spark, df, sf_dir).columns == df.columns
     assert stage(spark, df.limit(0), sf_dir).collect() == []
     stage(spark, df, sf_dir).collect()
