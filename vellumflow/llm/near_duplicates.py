@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from vellumflow.llm.components import components
 from vellumflow.llm.shared import column_name, small, written
 
-_CHUNK = 1 << 16
+_SHINGLES = 1 << 14  # shingles whose bits are held side by side
+_CHUNK = 1 << 18  # pairs that are held side by side
+_ALL_PAIRS = 1 << 9  # pairs of an anchor up to which all are compared side by side
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with well spread bits
 
 
@@ -80,8 +82,8 @@ def fingerprint(text: bytes, cover: Cover = EXACT) -> np.ndarray:
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     counts, seed = np.zeros(64 * cover.halves, np.int64), 42
     known: set[bytes] = set()
-    for k in range(0, n, _CHUNK):
-        spans = zip(starts[k : min(n, k + _CHUNK)], last[k : k + _CHUNK], strict=True)
+    for k in range(0, n, _SHINGLES):
+        spans = zip(starts[k : min(n, k + _SHINGLES)], last[k : k + _SHINGLES], strict=True)
         if cover.halves == 1:
             digest = xxhash.xxh64_intdigest
             h = np.array([digest(flat[s:e], seed) for s, e in spans], "<u8").view(np.uint8)
@@ -223,14 +225,14 @@ def anchor_links(cover: Cover):
         home = np.add.reduceat((place & 1 == 0).astype(np.int64), edge)
         keep = (home > 0) & (size > 1)
         edge, size, home = edge[keep], size[keep], home[keep]
-        big = home * size > 4096
+        big = home * size > _ALL_PAIRS
         left, right = [], []
         for e, n, h in zip(edge[big].tolist(), size[big].tolist(), home[big].tolist(), strict=True):
             x, y = forest(h, prints[e : e + n], cover.most)
             left.append(e + np.array(x, np.int64)), right.append(e + np.array(y, np.int64))
         edge, size, home = edge[~big], size[~big], home[~big]
-        for at in range(0, len(edge), 4096):  # the others: their pairs side by side, a few at a time
-            e, n, h = (v[at : at + 4096] for v in (edge, size, home))
+        for at in range(0, len(edge), _CHUNK // _ALL_PAIRS):  # the others: their pairs side by side, a bounded number at a time
+            e, n, h = (v[at : at + _CHUNK // _ALL_PAIRS] for v in (edge, size, home))
             pairs = n * h
             group = np.repeat(np.arange(len(e)), pairs)
             k = np.arange(len(group)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
