@@ -71,12 +71,16 @@ def read_page_xml(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("box", bbox(F.col("points"))).withColumn("shelfmark", shelfmark_of(F.col("image")))
 
 
-def page_lines(pages: DataFrame, *, project: str, source_corpus: str, century: str = "15", language: str = "French") -> DataFrame:
+# Fixed value: names of the line images cut from pages.
+LINE_IMAGE = "himanis_%05d.png"
+
+
+def page_lines(pages: DataFrame, *, pattern: str = LINE_IMAGE, project: str, source_corpus: str, century: str = "15", language: str = "French") -> DataFrame:
     """PAGE-XML lines as corpus rows, with the page they come from."""
     from vellumflow.operators.corpus import dense_index
 
     numbered = dense_index(pages, ["file", "position"])
-    return numbered.select("text", F.format_string("himanis_%05d.png", "index").alias("image_path"), F.lit(language).alias("language"), F.lit(century).alias("century"), "shelfmark", F.lit(project).alias("project"), F.lit(source_corpus).alias("source_corpus"), F.col("image").alias("source_page"))
+    return numbered.select("text", F.format_string(pattern, "index").alias("image_path"), F.lit(language).alias("language"), F.lit(century).alias("century"), "shelfmark", F.lit(project).alias("project"), F.lit(source_corpus).alias("source_corpus"), F.col("image").alias("source_page"))
 
 
 def read_gray_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
