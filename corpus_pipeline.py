@@ -37,10 +37,10 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id.
 
-    Links are those of 128-bit fingerprints of distinct five-word shingles.
+    Links are all pairs whose five-word shingles have a Jaccard coefficient of 0.8 or more.
 
     Texts without words are one group. Of repeated rows one stays; a group without
-    any id keeps a row of each of its fingerprints.
+    any id keeps a row of each of its sets of shingles.
     """
     return near_duplicates.drop_near_duplicates(docs)
 

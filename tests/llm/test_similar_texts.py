@@ -1,0 +1,64 @@
+"""The pipeline's near-duplicate stage against all pairs of texts."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from vellumflow.llm import similar_texts
+
+
+def sets_of(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(rows):
+    """Smallest ids of the components of all pairs with a coefficient of 0.8 or more."""
+    sets, parent = [sets_of(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                parent[find(i)] = find(j)
+    lowest = {}
+    for i, (d, _) in enumerate(rows):
+        lowest[find(i)] = min(lowest.get(find(i), d), d)
+    return sorted(lowest.values())
+
+
+def copies(rng, n, rate, words):
+    """Texts and their copies near the threshold, on both sides."""
+    out = []
+    for _ in range(n):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(*words))]
+        for r in (0, rate, rate / 2):
+            out.append(" ".join(f"n{rng.randrange(10**6)}" if rng.random() < r else w for w in text))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def stage_kept(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, df, "").collect())
+
+
+def test_links_all_pairs_near_the_threshold(spark):
+    rows = copies(random.Random(4), 150, 0.025, (4, 300))
+    assert stage_kept(spark, rows) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("many", [4, 64])
+def test_links_all_pairs_at_frequent_shingles(spark, monkeypatch, many):
+    monkeypatch.setattr(similar_texts, "_ALL_PAIRS", many)
+    monkeypatch.setattr(similar_texts, "_CENTRES", min(many, 8))
+    rng = random.Random(5)
+    text = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in text)) for k in range(200)]
+    rows += [(1000 + k, " ".join([*text[:60], *(f"n{rng.randrange(10**6)}" for _ in range(40))])) for k in range(100)]
+    assert stage_kept(spark, rows) == brute_kept(rows)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
 from vellumflow.llm.shared import column_name, small, written
+from vellumflow.llm.similar_texts import frequent, prefix_column, rooted_texts
 
 _SHINGLES = 1 << 14  # shingles whose bits are held side by side
 _CHUNK = 1 << 18  # pairs that are held side by side
@@ -298,32 +299,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def component_of_prints(printed: DataFrame, cover: Cover) -> DataFrame:
-    """node, component_id: a row per distinct fingerprint of a written table doc_id, node, print0, ..."""
+    """node, component_id, root: a row per distinct fingerprint of a written table doc_id, node, print0, ..."""
     first = written(printed.groupBy("node", *print_names(cover)).agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    rooted = written(components(print_links(first, cover)), "roots")
+    return component_of_nodes(first, written(components(print_links(first, cover)), "roots"))
+
+
+def component_of_nodes(first: DataFrame, rooted: DataFrame) -> DataFrame:
+    """node, component_id, root of a written table node, first_id, given node, root of the linked ones."""
     member = first.join(rooted, "node")
     lowest = written(member.groupBy("root").agg(F.min("first_id").alias("lowest")), "lowest")
-    named = written(rooted.join(small(lowest, 40), "root").select("node", "lowest"), "named")
-    joined = first.join(small(named, 40), "node", "left")
-    return written(joined.select("node", F.coalesce("lowest", "first_id").alias("component_id")), "components")
+    named = written(rooted.join(small(lowest, 40), "root").select("node", "lowest", "root"), "named")
+    joined = first.join(small(named, 48), "node", "left")
+    alone = F.col("root").isNull()
+    return written(joined.select("node", F.when(alone, F.col("first_id")).otherwise(F.col("lowest")).alias("component_id"), F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root")), "components")
 
 
-def drop_near_duplicates(docs: DataFrame, cover: Cover = WIDE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, cover: Cover | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates, with the columns of ``docs``.
 
-    The row with the smallest id stays; of rows that share it, one stays. A group
-    without any id keeps a row of each of its fingerprints.
+    Links are the pairs whose five-word shingles have a Jaccard coefficient of 0.8 or
+    more, all of them (``similar_texts``), or with a ``cover`` those of its fingerprints.
+    The row with the smallest id of the group stays; of rows of the group that share
+    it, one stays. A group without any id keeps a row of each of its sets of shingles
+    or fingerprints.
     """
     row, mark = column_name(docs, "row_hash"), column_name(docs, "kept_row")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]))
-    printed = printed_documents(hashed, cover, id_col, text_col, F.col(row).alias("row"))
-    placed = printed.join(small(component_of_prints(printed, cover), 40), "node")
-    # of a component's rows with its id, or of those with one fingerprint where there is no id, one
+    if cover:
+        printed = printed_documents(hashed, cover, id_col, text_col, F.col(row).alias("row"))
+        repeated = _repeats(printed)
+        placed = printed.join(small(component_of_prints(printed, cover), 48), "node")
+    else:
+        made = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), prefix_column(F.col(text_col), *frequent(docs, text_col)).alias("_words"))
+        printed = written(made.select("doc_id", "row", F.get("_words", F.lit(0)).alias("node"), F.get("_words", F.lit(1)).alias("n"), F.slice("_words", F.lit(3), F.size("_words")).alias("prefix")), "prints")
+        repeated = _repeats(printed)
+        first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
+        placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted_texts(hashed, printed, row, text_col, repeated)), 48), "node")
+    # of a component's rows with its id, or of those with one node where there is no id, one
     named = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("doc_id").isNull(), F.col("node")).alias("n"))
     kept = written(named.agg(F.min("row").alias(mark)).select(mark).distinct(), "kept")
     out = hashed.join(kept, F.col(row) == F.col(mark), "left_semi")
-    return (out.dropDuplicates([row]) if _repeats(printed) else out).select(*columns)
+    return (out.dropDuplicates([row]) if repeated else out).select(*columns)
 
 
 def _repeats(printed: DataFrame) -> bool:
