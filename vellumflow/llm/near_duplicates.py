@@ -15,9 +15,9 @@ differing bits is missed.
 
 ``WIDE``: 128 bits of the distinct shingles, of which 16 may differ. Texts that
 share half of their shingles differ in about 34 with a deviation of 5, as rarely
-linked as by ``EXACT``, while of texts with a Jaccard coefficient of 0.9 four in
-five are linked, and not one in three. Twelve unions of 21 or 22 bits; how many
-pairs meet is measured in the tests, since no family of this size meets all.
+linked as by ``EXACT``. Twelve unions of 21 or 22 bits, which aren't complete: 3.6 %
+of pairs at 16 bits never meet, 0.5 % at 14. The pipeline links by exact coefficients
+(``similar_texts``) instead.
 """
 
 from __future__ import annotations
