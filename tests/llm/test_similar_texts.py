@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from vellumflow.llm import similar_texts
+from vellumflow.llm import near_duplicates, similar_texts
 
 
 def sets_of(text):
@@ -62,3 +62,11 @@ def test_links_all_pairs_at_frequent_shingles(spark, monkeypatch, many):
     rows = [(k, " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in text)) for k in range(200)]
     rows += [(1000 + k, " ".join([*text[:60], *(f"n{rng.randrange(10**6)}" for _ in range(40))])) for k in range(100)]
     assert stage_kept(spark, rows) == brute_kept(rows)
+
+
+def test_unrelated_groups_with_one_smallest_id_both_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end")], "doc_id long, text string")
+    for cover in (None, near_duplicates.EXACT, near_duplicates.WIDE):
+        kept = near_duplicates.drop_near_duplicates(df, cover) if cover else near_duplicates.drop_near_duplicates(df)
+        assert {r["text"] for r in kept.collect()} >= set(texts), cover

@@ -337,7 +337,7 @@ def drop_near_duplicates(docs: DataFrame, cover: Cover | None = None, *, id_col:
         first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
         placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted_texts(hashed, printed, row, text_col, repeated)), 48), "node")
     # of a component's rows with its id, or of those with one node where there is no id, one
-    named = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("doc_id").isNull(), F.col("node")).alias("n"))
+    named = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.when(F.col("doc_id").isNull(), F.col("node")).alias("n"))
     kept = written(named.agg(F.min("row").alias(mark)).select(mark).distinct(), "kept")
     out = hashed.join(kept, F.col(row) == F.col(mark), "left_semi")
     return (out.dropDuplicates([row]) if repeated else out).select(*columns)
