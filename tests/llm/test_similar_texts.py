@@ -70,3 +70,8 @@ def test_unrelated_groups_with_one_smallest_id_both_stay(spark):
     for cover in (None, near_duplicates.EXACT, near_duplicates.WIDE):
         kept = near_duplicates.drop_near_duplicates(df, cover) if cover else near_duplicates.drop_near_duplicates(df)
         assert {r["text"] for r in kept.collect()} >= set(texts), cover
+
+
+def test_stage_on_documents(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert stage_kept(spark, rows) == brute_kept(rows)
