@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,21 +16,44 @@ BROADCAST_BYTES = 16 << 20
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is set only where that is unset (tests in local mode).
+    A temporary folder stands in only where that is unset and the master is
+    ``local``, ``local[*]`` and the like, whose executor is the driver. Anywhere else
+    each executor would write to its own disk, so an unset folder raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="vellumflow-")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = local_folder(context.master)
+    context.setCheckpointDir(folder)
     return f"file://{folder}"
 
 
+def local_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="vellumflow-")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/vellumflow/{spark.sparkContext.applicationId}"
+    if path not in _announced:
+        _announced.add(path)
+        at, files = _path(spark, path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
+_announced: set[str] = set()
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/vellumflow/{kind}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -43,11 +67,23 @@ def written_at(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`written_at` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of :func:`written_at` that nothing reads any more."""
+    for path in paths:
+        at, files = _path(spark, path)
+        files.delete(at, True)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete every table that this application wrote; results that read them are of no use afterwards."""
+    path = own_folder(spark)
+    _announced.discard(path)
+    forget(spark, path)
 
 
 def small(df: DataFrame, row_bytes, most: int = BROADCAST_BYTES) -> DataFrame:
