@@ -87,6 +87,28 @@ def test_token_files(spark, cache, tmp_path):
     assert token_files.read_tokens(spark, f"file://{tmp_path}/e").collect() == []
 
 
+def test_rows_of_one_id_go_to_many_files(spark, tmp_path):
+    """10^5 rows of one id, as many without any: no file holds them all, order and starts stay whole."""
+    many = spark.range(200_000).selectExpr("if(id < 100000, 5L, null) AS doc_id", "concat('text ', id % 50000) AS text")
+    folder = f"file://{tmp_path}/hot"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    token_files.write_tokens(many, folder, default_tokenizer(), segment=50_000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(folder).groupBy("file").sum("n_ids").collect()
+    total = sum(r[1] for r in files)
+    assert len(files) == 4 and max(r[1] for r in files) < 0.5 * total
+    got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
+    assert len(got) == 200_000 and got[-1]["start"] + got[-1]["n_tokens"] == total
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    assert [r["doc_id"] for r in got] == [None] * 100_000 + [5] * 100_000
+
+
+def test_too_large_a_vocabulary_is_refused(monkeypatch):
+    monkeypatch.setattr(token_files, "SCALE", 10)
+    with pytest.raises(ValueError, match="1024"):
+        next(token_files.encoder(default_tokenizer(), 2, 100, 100)(iter([])))
+
+
 @pytest.mark.parametrize("parts", [1, 7, 70])
 def test_packing(spark, cache, parts):
     rows, df = edge_rows(spark)

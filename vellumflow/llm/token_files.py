@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumflow.llm.rans import Segment, encode_segment
+from vellumflow.llm.rans import SCALE, Segment, encode_segment
 from vellumflow.llm.shared import small
 from vellumflow.llm.tokens import as_text, piece_cache
 
@@ -31,23 +31,27 @@ DECODED = "file int, doc_id long, local_start long, n_tokens long, ids_crc32 lon
 
 def encoder(path: str, end_id: int, segment: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, file, number, at = piece_cache(path, cache), TaskContext.get().partitionId(), 0, 0
-        end = tokens.packed([end_id])
+        tokens = piece_cache(path, cache)
+        if (most := tokens.tokenizer.get_vocab_size()) > 1 << SCALE:
+            raise ValueError(f"{most} ids; a frequency table holds {1 << SCALE}")
+        end, file, number, at = tokens.packed([end_id]), TaskContext.get().partitionId(), 0, 0
+        last, ids = None, b""
         docs: list[tuple[int | None, int, int]] = []
         parts: list[bytes] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal docs, parts, held, number
-            ids = np.frombuffer(b"".join(parts), f"<u{tokens.width}")
-            body = encode_segment([d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], ids)
-            row = [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())]
+            held_ids = np.frombuffer(b"".join(parts), f"<u{tokens.width}")
+            body = encode_segment([d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], held_ids)
+            row = [pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([len(held_ids)], pa.int64()), pa.array([body], pa.binary())]
             docs, parts, held, number = [], [], 0, number + 1
             return pa.RecordBatch.from_arrays(row, names=["file", "segment", "n_ids", "body"])
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.encode(as_text(raw.as_py()))
+                if (text := as_text(raw.as_py())) != last:
+                    last, ids = text, tokens.encode(text)
                 n = len(ids) // tokens.width + 1
                 docs.append((doc_id, at, n))
                 parts += ids, end
@@ -63,12 +67,18 @@ def encoder(path: str, end_id: int, segment: int, cache: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, segment: int = SEGMENT, cache: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents to ``folder``, which must not exist yet.
 
-    Order: ascending id, null ids first, ties by text. A null text is an empty
-    one, of its end id only. Repeated rows are written as often as they occur.
-    Further columns are ignored. An empty table gives files without segments.
+    Order: ascending id, null ids first, ties by the text's hash and the text. A null
+    text is an empty one, of its end id only. Repeated rows are written as often as
+    they occur. Further columns are ignored. An empty table gives files without
+    segments. A vocabulary of more than 2^20 ids, the sum of a table's frequencies,
+    raises.
+
+    Ranges are of id and text hash, so rows that share an id, or have none, go to
+    many files; only rows equal in both go to one, which encodes their text once.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = given.withColumn("hash", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(encoder(tokenizer, end_id, segment, cache), STORED).write.parquet(folder)
 
 
