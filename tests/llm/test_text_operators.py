@@ -60,7 +60,7 @@ def test_mixing_takes_near_the_target(spark):
         assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.15
 
 
-@pytest.mark.parametrize("name", ["op1_exact_top_k", "op2_mix_sources", "op3_license_scan", "op5_quality_rules", "op6_lm_scoring", "rule_ablation"])
+@pytest.mark.parametrize("name", ["op1_exact_top_k", "op2_mix_sources", "op3_license_scan", "op5_quality_rules", "op6_lm_scoring", "rule_ablation", "rule_policies"])
 def test_oracle(spark, sf_dir, name):
     db = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -103,6 +103,11 @@ def test_rules_edges(spark):
     assert sorted((str(r["doc_id"]), tuple(r[1:11])) for r in got) == sorted((str(i), measured_by_hand(t)) for i, t, _ in EDGES)
     kept = quality_rules.filter_by_rules(docs_of(spark, EDGES), "v1")
     assert kept.columns == docs_of(spark, EDGES).columns and kept.count() == 0
+    clash = docs_of(spark, EDGES).withColumnRenamed("m", "rule_ledger")
+    ledger = quality_rules.with_ledger(clash)  # the stage's ledger holds all measurements and bits, whatever the policy
+    assert ledger.columns == [*clash.columns, "rule_ledger_"]
+    assert sorted((str(r["doc_id"]), tuple(r["rule_ledger_"])) for r in ledger.collect()) == sorted((str(r["doc_id"]), tuple(r[1:12])) for r in got)
+    assert {r["policy"]: (r["n_kept"], r["n_failed"]) for r in quality_rules.policy_counts(ledger.select("rule_ledger_.fail_bits")).collect()} == {p: (0, len(EDGES)) for p in quality_rules.POLICIES}
     assert quality_rules.rule_ledger(docs_of(spark, [])).collect() == []
     assert quality_rules.ablation(quality_rules.rule_ledger(docs_of(spark, [])), "v1").collect() == []
 
@@ -195,6 +200,53 @@ def test_classifier_edges(spark):
     assert quality_classifier.score_documents(docs_of(spark, []), model).collect() == []
 
 
+@pytest.mark.parametrize("text", ["", "   ", "One two. Two two!", "a\nb\na\n\n", "É é 12, x;y:z # $", "w " * 9000])
+def test_statistics_by_hand(text):
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, raw, chars = max(1, len(words)), text.encode(), max(1, sum(map(len, WORD.findall(text))))
+    count = lambda signs: len(re.findall(signs, text))
+    letters_digits = count("[A-Za-z0-9]")
+    want = [math.log1p(len(words)), chars / n if words else 1.0, count(r"[#*$%&|<>]") / n, count("!") / n, count("[A-Z]") / chars, count("[0-9]") / chars, count("[.,;:]") / n, len(set(words)) / n]
+    want += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, (len(lines) - len(set(lines))) / max(1, len(lines)), len(words) / max(1, len(lines))]
+    beyond = sum(b >= 128 for b in raw)
+    want += [(len(raw) - beyond - letters_digits) / max(1, len(raw)), beyond / max(1, len(raw)), math.log1p(len(raw))]
+    assert np.allclose(quality_classifier.statistics(raw), want)
+
+
+def test_split_is_the_best_of_all():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 12, (300, 3)).astype(float), np.zeros(300)
+    y = ((x[:, 1] > 6) | (rng.random(300) < 0.1)).astype(float)
+    model = quality_classifier.train(x, y, rounds=1, depth=1, bins=64, ridge=1.0)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 1.0)
+    tried = {(f, c): gain(x[:, f] <= c) + gain(x[:, f] > c) for f in range(3) for c in np.unique(x[:, f])[:-1]}
+    f, c = max(tried, key=tried.get)
+    root = model.roots[0]
+    assert (model.feature[root], model.threshold[root]) == (f, c)
+    for leaf, rows in ((model.left[root], x[:, f] <= c), (model.right[root], x[:, f] > c)):
+        assert math.isclose(model.value[leaf], -0.2 * grad[rows].sum() / (hess[rows].sum() + 1.0))
+
+
+def test_training_takes_an_id_once(spark):
+    """10^5 rows of one labelled id, and conflicting labels of another."""
+    many = spark.range(100_000).selectExpr("7L AS doc_id", "concat('copy ', id) AS text", "id AS n")
+    docs = many.unionByName(spark.createDataFrame([(1, "good plain words"), (2, "bad !!! ###"), (3, None)], "doc_id long, text string").selectExpr("*", "0L AS n"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (1, 1), (2, 0), (2, 0), (3, 0)], "doc_id long, quality int")
+    seen = {}
+    real = quality_classifier.train
+    quality_classifier.train = lambda x, y, **how: seen.update(x=x, y=y) or real(x, y, **how)
+    try:
+        quality_classifier.fit_quality(docs, labels)
+    finally:
+        quality_classifier.train = real
+    import zlib
+
+    used = [i for i in (1, 2, 3, 7) if zlib.crc32(str(i).encode()) % 5]
+    assert seen["y"].tolist() == [{1: 1, 2: 0, 3: 0, 7: 0}[i] for i in used] and len(seen["x"]) == len(used) and 7 in used
+
+
 def test_flat_trees_walk_like_nested_ones():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, len(quality_classifier.STATISTICS)))

@@ -61,6 +61,11 @@ def ablation_sql(policy: str) -> str:
     return f"{LEDGER} {' UNION ALL '.join(each)}"
 
 
+def policies_sql() -> str:
+    each = [f"SELECT '{p}' AS policy, count(*) FILTER ((fail_bits & {mask(p)}) = 0) AS n_kept, count(*) FILTER ((fail_bits & {mask(p)}) <> 0) AS n_failed FROM bits" for p in POLICIES]
+    return f"{LEDGER} {' UNION ALL '.join(each)}"
+
+
 LM = f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL::VARCHAR], ws[:-2])) AS v FROM t WHERE len(ws) > 0),
 u AS (SELECT w, count(*) AS c FROM p GROUP BY w), b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), n AS (SELECT count(*) AS n FROM p),
@@ -78,5 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_sql(),
         "op5_quality_rules": f"{LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (fail_bits & {mask('v1')}) = 0 AS kept, fail_bits FROM bits",
         "rule_ablation": ablation_sql("v1"),
+        "rule_policies": policies_sql(),
         "op6_lm_scoring": LM,
     }

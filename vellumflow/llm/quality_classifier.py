@@ -153,19 +153,22 @@ def fold(doc_id: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Trees:
     """Train from the labelled rows outside fold 0.
 
-    At most ``sample`` label rows take part, those of the smallest id hashes, so
-    that what reaches the driver is bounded by ``sample`` rows of statistics.
-    Null labels and labels without a document take no part.
+    An id counts once: of its labels the smallest, of its documents the one whose
+    text has the smallest hash. At most ``sample`` ids take part, those of the
+    smallest id hashes, so that what reaches the driver is bounded by ``sample``
+    rows of statistics, however often an id is repeated. Null labels and labels
+    without a document take no part.
     """
-    chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y is not null and _id is not null").filter(fold(F.col("_id")) != 0)
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
+    labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y is not null and _id is not null").filter(fold(F.col("_id")) != 0)
+    chosen = labelled.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     joined = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
 
     def measure(texts: pa.Array) -> pa.Array:
         return pa.array(list(statistics_of(texts)), pa.list_(pa.float64()))
 
-    got = joined.select("_id", "_y", F.arrow_udf(measure, "array<double>")(F.col("_text")).alias("_x")).collect()
-    got = sorted((r["_id"], r["_y"], r["_x"]) for r in got)
+    measured = joined.select("_id", "_y", F.xxhash64("_text").alias("_hash"), F.arrow_udf(measure, "array<double>")(F.col("_text")).alias("_x"))
+    once = measured.groupBy("_id").agg(F.min(F.struct("_hash", "_x", "_y")).alias("_first")).select("_id", "_first._y", "_first._x")
+    got = sorted((r["_id"], r["_y"], r["_x"]) for r in once.collect())
     x = np.array([r[2] for r in got], np.float64).reshape(-1, len(STATISTICS))
     return train(x, np.array([float(r[1] > 0) for r in got]), **how)
 

@@ -1,8 +1,9 @@
 """Quality rules as a ledger of bits: each rule is evaluated once, policies are masks.
 
 The ledger keeps, per document, the measurements and one long whose bit ``k`` is
-set if rule ``k`` fails. A policy is a version's set of rules; applying one, or
-asking what a rule alone removes, reads the bits only, never the texts again.
+set if rule ``k`` fails, whatever the policy. A policy is a version's set of rules;
+applying one, or asking what a rule alone removes, reads the bits of a written
+ledger only, never the texts again.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumflow.llm.shared import column_name
+from vellumflow.llm.shared import column_name, written
 from vellumflow.llm.text_stats import SYMBOLS, lines_with_words, n_of, repeated_words, word_chars
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_capitals", "n_exclaims", "n_digits"]
@@ -75,12 +76,12 @@ def measurements(text: Column) -> Column:
     return F.arrow_udf(_measure, _STRUCT)(text.cast("binary"))
 
 
-def fail_bits() -> Column:
-    """Bits of the failed rules, from columns named as in MEASURES."""
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
+def fail_bits(struct: str | None = None) -> Column:
+    """Bits of the failed rules, from columns, or fields of the struct, that are named as in MEASURES."""
+    out = F.lit(0).cast("long")
+    for k, (_, rule) in enumerate(RULES):
+        bit = F.lit(1 << k).cast("long")
+        out = out.bitwiseOR(F.when(F.expr(_inside(rule, struct) if struct else rule), bit).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -94,25 +95,45 @@ def rule_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return wide.withColumn("fail_bits", fail_bits())
 
 
-def passes(policy: str) -> Column:
-    return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
+def passes(policy: str, bits: Column | None = None) -> Column:
+    bits = F.col("fail_bits") if bits is None else bits
+    return bits.bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
+
+
+def ledger_column(docs: DataFrame) -> str:
+    return column_name(docs, "rule_ledger")
+
+
+def with_ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` beside their ledger, a struct of MEASURES and fail_bits, as a written table.
+
+    Its column has the first free name of ``rule_ledger``, ``rule_ledger_``, ... The
+    table is in columns, so that what reads the bits reads no text, and any policy
+    or ablation is applied to it without measuring again.
+    """
+    name = ledger_column(docs)
+    measured = docs.withColumn(name, measurements(F.col(text_col)))
+    return written(measured.withColumn(name, F.col(f"`{name}`").withField("fail_bits", fail_bits(name))), "rule-ledger")
 
 
 def filter_by_rules(docs: DataFrame, policy: str, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs`` only."""
-    name = column_name(docs, "measured")
-    bits = F.lit(0).cast("long")
-    wide = docs.withColumn(name, measurements(F.col(text_col)))
-    for k, (rule, condition) in enumerate(RULES):
-        if rule in POLICIES[policy]:
-            bits = bits.bitwiseOR(F.when(F.expr(_inside(condition, name)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return wide.filter(bits == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with the columns of ``docs`` only; every rule is in their ledger."""
+    kept = with_ledger(docs, text_col=text_col).filter(passes(policy, F.col(f"`{ledger_column(docs)}`.fail_bits")))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _inside(condition: str, struct: str) -> str:
     return " ".join(f"`{struct}`.{w}" if w in MEASURES else w for w in condition.split())
 
 
+def policy_counts(ledger: DataFrame) -> DataFrame:
+    """policy, n_kept, n_failed for each version, from one pass over the distinct bit patterns of a ledger."""
+    patterns = ledger.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    each = patterns.select("n", "fail_bits", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(mask(p)).cast("long").alias("mask")) for p in POLICIES])).alias("p"))
+    kept = F.col("fail_bits").bitwiseAND(F.col("p.mask")) == 0
+    return each.groupBy(F.col("p.policy").alias("policy")).agg(F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("n_failed"))
+
+
 def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     """Per rule: rows that fail it, rows that fail nothing else of the policy, rows kept without it.
 

@@ -61,6 +61,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, quality_classifier.fit_quality(docs, labels))
 
 
+def rule_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version applied to one written ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = quality_rules.with_ledger(docs)
+    return quality_rules.policy_counts(ledger.select(f"{quality_rules.ledger_column(docs)}.fail_bits"))
+
+
 def op5_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.rule_ledger(table(spark, sf_dir, "documents")), "v1").orderBy("rule")
 
@@ -78,4 +85,5 @@ def queries() -> dict:
         "op9_token_files": op9_token_files,
         "op10_quality_classifier": op10_quality_classifier,
         "rule_ablation": op5_ablation,
+        "rule_policies": rule_policies,
     }
