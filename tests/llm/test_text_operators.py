@@ -112,23 +112,54 @@ def test_rules_edges(spark):
     assert quality_rules.ablation(quality_rules.rule_ledger(docs_of(spark, [])), "v1").collect() == []
 
 
-def test_lm_scores(spark):
-    rows = [(1, "a b a b A B", "s"), (2, None, "s"), (3, "", "s"), (None, "a c", "s"), (5, "a c", "s"), (5, "a c", "s"), (7, "lone", "s")]
+LM_ROWS = [(1, "a b a b A B", "s"), (2, None, "s"), (3, "", "s"), (None, "a c", "s"), (5, "a c", "s"), (5, "a c", "s"), (7, "lone", "s"), (8, "b a b c a b a b", "s"), (9, "x a b a lone y y y y", "s"), (10, "long text of words " * 3000, "s"), (11, "of words long text", "s")]
+
+
+def score_by_hand(rows, at, order, own):
+    """Stupid backoff of one row by the counts of the others, or of all."""
     texts = [(t or "").lower().split() for _, t, _ in rows]
-    u, b = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    n = sum(u.values())
-
-    def score(t):
-        out = 0.0
-        for k, w in enumerate(t):
-            p = (t[k - 1], w) if k else None
-            out += math.log10(b[p] / u[p[0]]) if p and b[p] >= 2 else math.log10(u[w] / n) + (math.log10(0.4) if p else 0)
-        return out
-
-    got = lm_scoring.lm_scores(docs_of(spark, rows), least_buckets=3).collect()
-    key = lambda r: (str(r[0]), r[1], round(r[2], 9))
-    assert sorted(map(key, got)) == sorted((str(i), len(t), round(score(t), 9)) for (i, _, _), t in zip(rows, texts, strict=True))
-    assert lm_scoring.lm_scores(docs_of(spark, [])).collect() == []
+    counts = Counter(tuple(t[i : i + k]) for j, t in enumerate(texts) if own or j != at for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    n, t, out = max(1, sum(len(x) for j, x in enumerate(texts) if own or j != at)), texts[at], 0.0
+    for i in range(len(t)):
+        longest = min(order, i + 1)
+        for k in range(longest, 0, -1):
+            if seen := counts[tuple(t[i - k + 1 : i + 1])]:
+                out += math.log10(seen / (counts[tuple(t[i - k + 1 : i])] if k > 1 else n) * 0.4 ** (longest - k))
+                break
+        else:
+            out += math.log10(0.4**longest / n)
+    return len(t), round(out, 7)
+
+
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_scores(spark, order, own):
+    got = lm_scoring.lm_scores(docs_of(spark, LM_ROWS), least_buckets=3, order=order, own=own).collect()
+    want = [(str(i), *score_by_hand(LM_ROWS, k, order, own)) for k, (i, _, _) in enumerate(LM_ROWS)]
+    assert sorted((str(r[0]), r[1], round(r[2], 7)) for r in got) == sorted(want)
+    assert lm_scoring.lm_scores(docs_of(spark, []), order=order).collect() == []
+
+
+def test_lm_counts(spark):
+    texts = [(t or "").lower().split() for _, t, _ in LM_ROWS]
+    want = Counter((k, tuple(t[i : i + k])) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    got = lm_scoring.ngram_counts(docs_of(spark, LM_ROWS), order=3, least_buckets=4).collect()
+    assert len({(r["kind"], r["hash"]) for r in got}) == len(got)
+    for k in (1, 2, 3):
+        assert sorted(r["n"] for r in got if r["kind"] == k) == sorted(n for (j, _), n in want.items() if j == k)
+    assert [r["n"] for r in got if r["kind"] == 0] == [sum(map(len, texts))]
+
+
+def test_lm_scores_of_many_copies(spark):
+    """10^5 rows that are alike: each is another document to the others, and no bucket holds them all."""
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("1L AS doc_id", "'one row there is' AS text").unionByName(spark.createDataFrame([(2, "there is one")], "doc_id long, text string"))
+    got = {(r["doc_id"], r["n_words"], round(r["log_score"], 7)): r["n"] for r in lm_scoring.lm_scores(rows).groupBy("doc_id", "n_words", "log_score").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    n = 4 * 99_999 + 3
+    copies = math.log10(100_000 / n * 99_999 / 100_000 * 1 * (99_999 / 99_999))
+    other = math.log10(100_000 / 400_000) + 0 + math.log10(0.16 * 100_000 / 400_000)
+    assert got.keys() == {(1, 4, round(copies, 7)), (2, 3, round(other, 7))} and got[1, 4, round(copies, 7)] == 100_000
+    spread = lm_scoring.dealt(rows, 16 << 20, 16, "doc_id", "text")[0].groupBy("bucket").count().collect()
+    assert max(r["count"] for r in spread) < 60_000
 
 
 def judged_by_hand(url):

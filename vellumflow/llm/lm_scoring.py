@@ -1,16 +1,24 @@
-"""Stupid-backoff scores from the corpus's own n-gram counts, joined by hash.
-
-Documents are dealt into buckets. A bucket asks for the counts of its distinct
-n-grams, one packed row for each hash partition of the count table; a partition
-sums what the buckets report and answers each of them; the answers are joined to
-the bucket's documents again, whose shuffle is the one already made. N-grams
-travel as sorted 64-bit hashes, so a common word is one entry per bucket, no
-partition sees a word's occurrences, and nothing reaches the driver.
-
-With w the words (A-Z lower-cased), c the counts over all documents and n the
-corpus's words: S(w2 | w1) = c(w1 w2) / c(w1) where c(w1 w2) >= ``least``, else
-backoff * c(w2) / n; a first word has c(w) / n. A document's score is the sum of
-log10 S.
+"""Stupid-backoff scores from n-gram count tables, partitioned and joined by hash.
+
+Documents are dealt into buckets. A bucket explodes its n-grams and asks for the
+counts of the distinct ones, one packed row for each hash partition of the count
+table; a partition sums what the buckets report, which is its part of the table,
+and joins the counts to what each bucket asked; the answers meet the bucket's
+documents again, whose shuffle is the one already made, and are summed per
+document. N-grams travel as sorted 64-bit hashes, so a common one is one entry per
+bucket, no partition sees its occurrences, and nothing reaches the driver.
+
+A document is scored by the others: from every count its own occurrences are taken,
+as otherwise no n-gram of the corpus would ever be unseen and nothing back off. With
+w the words (A-Z lower-cased) and c those counts, a word after k - 1 others has
+S = c(w1 .. wk) / c(w1 .. wk-1) for the longest n-gram of at most ``order`` words
+that is seen, times ``backoff`` for each length above it. A single word has
+c(w) / n, n being the words of the others; a word that only the document has is one
+step below, 1 / n. A document's score is the sum of log10 S.
+
+Unigrams and bigrams are asked for at once, longer n-grams in a round each and only
+where both n-grams within are there twice or more: any other occurs once, which
+needs no asking.
 """
 
 from __future__ import annotations
@@ -44,22 +52,51 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of each word and the one before it."""
-    h = words[:-1] * _MIX
+def longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that ends one place before each word, and of the word; the first has none before it."""
+    h = np.concatenate([grams[:1], grams[:-1]]) * _MIX
     h ^= h >> np.uint64(29)
-    h += words[1:]
+    h += words
     h *= _MIX
     return h ^ (h >> np.uint64(32))
 
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words, of pairs, whether a pair lies within a text, and the words of each text."""
-    words, sizes = hashed_words(texts)
-    within = np.ones(max(0, len(words) - 1), bool)
-    ends = np.cumsum(sizes)[:-1] - 1
-    within[ends[(ends >= 0) & (ends < len(within))]] = False
-    return words, pair_hashes(words), within, sizes
+class Grams:
+    """The n-grams of some texts, each at the place of its last word; kind is the number of words.
+
+    The empty n-gram, kind 0, occurs before every word: its count is the number of words.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.words, self.sizes = hashed_words(texts)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.hashes = {1: self.words}
+
+    def of(self, kind: int) -> np.ndarray:
+        if kind not in self.hashes:
+            self.hashes[kind] = longer(self.of(kind - 1), self.words)
+        return self.hashes[kind]
+
+    def asked(self, kind: int, totals: dict[int, np.ndarray]) -> np.ndarray:
+        """Places whose n-grams are asked for, given the totals of those one word shorter."""
+        valid = self.place >= kind - 1
+        if kind > 2 and totals:
+            often = totals[kind - 1] >= 2
+            valid &= often & np.concatenate([often[:1], often[:-1]])
+        return np.flatnonzero(valid)
+
+    def own(self, kind: int) -> np.ndarray:
+        """How often the n-gram at each place occurs in its text."""
+        at = np.flatnonzero(self.place >= kind - 1)
+        key = self.of(kind)[at] ^ (self.row[at] + 1).astype(np.uint64) * _MIX
+        order = np.argsort(key)
+        key = key[order]
+        edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        size = np.diff(edge, append=len(key))
+        out = np.zeros(len(self.words), np.int64)
+        out[at[order]] = np.repeat(size, size)
+        return out
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
@@ -70,82 +107,161 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), kind)
 
 
+def packed_hashes(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte, so that the high bytes are runs of zeros."""
+    return np.ascontiguousarray(np.diff(hashes.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Hash partition, ascending with the hash."""
     return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
-def asks(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        words, pairs, within, _ = ngrams([t or b"" for t in table["text"].to_pylist()])
-        rows: list[tuple] = []
-        for kind, hashes in ((1, words), (2, pairs[within])):
-            distinct, counts = np.unique(hashes, return_counts=True)
-            cuts = np.searchsorted(part_of(distinct, parts), np.arange(parts + 1))
-            rows += [(p, bucket, kind, distinct[a:b].astype("<u8").tobytes(), _packed(counts[a:b], "<u4")) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "bucket", "kind", "hashes", "counts"])
+def replies(answers: pa.Table) -> dict[int, np.ndarray]:
+    """Totals of a bucket's distinct n-grams by kind, in ascending order of their hashes."""
+    got: dict[int, list[tuple[int, bytes]]] = {}
+    for kind, part, raw in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True):
+        got.setdefault(kind, []).append((part, raw))
+    return {kind: np.concatenate([_unpacked(raw, "<u8") for _, raw in sorted(rows)]).astype(np.int64) for kind, rows in got.items()}
+
+
+def totals_of(grams: Grams, got: dict[int, np.ndarray], kinds: range) -> dict[int, np.ndarray]:
+    """Totals at each place by kind, of kinds from 1 or 2 on; what wasn't asked for occurs once."""
+    totals: dict[int, np.ndarray] = {}
+    for kind in kinds:
+        at = grams.asked(kind, totals)
+        distinct, inverse = np.unique(grams.of(kind)[at], return_inverse=True)
+        reply = got.get(kind, np.zeros(0, np.int64))
+        if len(reply) != len(distinct):
+            raise ValueError("a bucket's documents aren't those that asked; its input isn't stable")
+        totals[kind] = np.ones(len(grams.words), np.int64)
+        totals[kind][at] = reply[inverse]
+    return totals
+
+
+def packed_rows(bucket: int, parts: int, counted: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """ASKED of a bucket: distinct hashes, ascending, and their counts in it, by kind."""
+    rows = []
+    for kind, (distinct, counts) in counted.items():
+        cuts = np.searchsorted(part_of(distinct, parts), np.arange(parts + 1)).tolist()
+        rows += [(p, bucket, kind, packed_hashes(distinct[a:b]), _packed(counts[a:b], "<u8")) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["part", "bucket", "kind", "hashes", "counts"])
+
+
+def texts_of(docs: pa.Table) -> list[bytes]:
+    return [t or b"" for t in docs["text"].to_pylist()]
+
+
+def first_asks(parts: int, upto: int):
+    """The empty n-gram and all of up to so many words."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        grams = Grams(texts_of(docs))
+        counted = {0: (np.zeros(1, np.uint64), np.array([len(grams.words)]))}
+        counted |= {k: np.unique(grams.of(k)[grams.asked(k, {})], return_counts=True) for k in range(1, upto + 1)}
+        return packed_rows(docs["bucket"][0].as_py(), parts, counted)
 
     return run
 
 
+def more_asks(parts: int, kind: int):
+    """Those of ``kind`` words whose parts are answered with two or more."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = Grams(texts_of(docs))
+        totals = totals_of(grams, replies(answers), range(2, kind))
+        bucket = docs["bucket"][0].as_py() if len(docs) else 0
+        return packed_rows(bucket, parts, {kind: np.unique(grams.of(kind)[grams.asked(kind, totals)], return_counts=True)})
+
+    return run
+
+
+def summed(table: pa.Table) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per kind of a partition: rows, distinct hashes, totals, where each row's hashes are among them, and the rows' ends."""
+    kinds = np.array(table["kind"].to_pylist(), np.int64)
+    for kind in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == kind).tolist()
+        hashes = [unpacked_hashes(table["hashes"][i].as_py()) for i in own]
+        distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.concatenate([_unpacked(table["counts"][i].as_py(), "<u8") for i in own])
+        totals = np.bincount(inverse, counts.astype(np.float64), len(distinct)).astype(np.int64)
+        yield kind, own, distinct, totals, inverse, np.cumsum([len(h) for h in hashes])
+
+
 def answer(table: pa.Table) -> pa.Table:
     """Total counts of a partition's n-grams, in the order in which each bucket asked."""
-    buckets, parts, kinds = (table[c].to_pylist() for c in ("bucket", "part", "kind"))
-    replies: list[bytes] = [b""] * len(buckets)
-    for kind in (1, 2):
-        own = [i for i, k in enumerate(kinds) if k == kind]
-        if not own:
-            continue
-        hashes = [np.frombuffer(table["hashes"][i].as_py(), "<u8") for i in own]
-        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate([_unpacked(table["counts"][i].as_py(), "<u4") for i in own])).astype(np.int64)
-        for i, each in zip(own, np.split(totals[inverse], np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
-            replies[i] = _packed(each, "<u8")
-    return pa.table({"bucket": pa.array(buckets, pa.int32()), "part": pa.array(parts, pa.int32()), "kind": pa.array(kinds, pa.int32()), "counts": pa.array(replies, pa.binary())})
-
-
-def scores(n: int, least: int, backoff: float):
+    out: list[bytes] = [b""] * len(table)
+    for _, own, _, totals, inverse, ends in summed(table):
+        for i, each in zip(own, np.split(totals[inverse], ends[:-1]), strict=True):
+            out[i] = _packed(each, "<u8")
+    return pa.table({"bucket": table["bucket"], "part": table["part"], "kind": table["kind"], "counts": pa.array(out, pa.binary())})
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """Rows kind, hash, n of a partition of the count table."""
+    made = [(np.full(len(h), kind), h, n) for kind, _, h, n, _, _ in summed(table)]
+    kind, h, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*made, strict=True) if made else ([], [], [])))
+    return pa.table({"kind": pa.array(kind, pa.int32()), "hash": pa.array(h.astype(np.uint64).view(np.int64)), "n": pa.array(n, pa.int64())})
+
+
+def scores(order: int, backoff: float, own: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        words, pairs, within, sizes = ngrams([t or b"" for t in docs["text"].to_pylist()])
-        got: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}
-        for kind, part, raw in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            got[kind].append((part, raw))
-        count = {}
-        for kind, hashes in ((1, words), (2, pairs[within])):
-            _, inverse = np.unique(hashes, return_inverse=True)
-            totals = np.concatenate([_unpacked(raw, "<u8") for _, raw in sorted(got[kind])]) if got[kind] else np.zeros(0, np.uint64)
-            count[kind] = totals[inverse].astype(np.float64)
-        each = np.log10(count[1]) - np.log10(max(1, n))
-        if len(words) > 1:
-            at = np.flatnonzero(within)  # the pair of words at and at + 1
-            seen = count[2] >= least
-            each[at + 1] = np.where(seen, np.log10(count[2]) - np.log10(count[1][at]), each[at + 1] + np.log10(backoff))
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        total = np.bincount(of, each, len(sizes)) if len(sizes) else np.zeros(0)
+        grams, got = Grams(texts_of(docs)), replies(answers)
+        totals, sizes, row = totals_of(grams, got, range(1, order + 1)), grams.sizes, grams.row
+        words = (int(got[0][0]) if 0 in got else 0) - (0 if own else sizes)
+        before = np.log10(np.maximum(1, np.broadcast_to(words, sizes.shape)))[row]  # log count of the context
+        step, most = np.log10(backoff), np.minimum(order, grams.place + 1)
+        each = np.zeros(len(row))
+        for kind in range(1, order + 1):
+            left = totals[kind] - (0 if own else grams.own(kind))
+            seen = (grams.place >= kind - 1) & (left > 0)
+            logs = np.log10(np.maximum(1, left))
+            each = np.where(seen, logs - before + (most - kind) * step, each if kind > 1 else most * step - before)
+            before = np.concatenate([logs[:1], logs[:-1]])
+        total = np.bincount(row, each, len(sizes)) if len(sizes) else np.zeros(0)
         return pa.table({"doc_id": docs["doc_id"].cast(pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(total, pa.float64())})
 
     return run
 
 
-def lm_scores(docs: DataFrame, *, least: int = 2, backoff: float = 0.4, bucket_bytes: int = 32 << 20, least_buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_score, a row per row of ``docs``.
-
-    A null or empty text has no words and score 0. Null ids and repeated rows are
-    kept, and repeated rows count as often as they occur. Further columns are left
-    out; an empty table gives none. Equal 64-bit hashes count as equal n-grams.
-    """
+def dealt(docs: DataFrame, bucket_bytes: int, least_buckets: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, text, bucket, and the number of buckets. Copies of a row are spread by the partition that they come from."""
     text = F.col(text_col).cast("binary")
-    size, n = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.sum(_words(F.col(text_col)))).first()
-    buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets)).cast("int").alias("bucket"))
-    asked = dealt.groupBy("bucket").applyInArrow(asks(buckets), ASKED)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = max(least_buckets, -(-size // bucket_bytes))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(buckets)).cast("int").alias("bucket")), buckets
+
+
+def answers_of(rows: DataFrame, buckets: int, order: int) -> DataFrame:
+    asked = rows.groupBy("bucket").applyInArrow(first_asks(buckets, min(order, 2)), ASKED)
     answered = asked.groupBy("part").applyInArrow(answer, ANSWERED)
-    return dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(scores(n or 0, least, backoff), SCORED)
+    for kind in range(3, order + 1):
+        asked = rows.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(more_asks(buckets, kind), ASKED)
+        answered = answered.unionByName(asked.groupBy("part").applyInArrow(answer, ANSWERED))
+    return answered
 
 
-def _words(text):
-    from vellumflow.llm.mixing import n_words
+def ngram_counts(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 16 << 20, least_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kind, hash, n: the count table of all n-grams of up to ``order`` words, partitioned by hash; kind 0 counts words."""
+    rows, buckets = dealt(docs, bucket_bytes, least_buckets, id_col, text_col)
+    first = rows.groupBy("bucket").applyInArrow(first_asks(buckets, order), ASKED)
+    return first.groupBy("part").applyInArrow(counted, "kind int, hash long, n long")
 
-    return n_words(text)
+
+def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, own: bool = False, bucket_bytes: int = 16 << 20, least_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_score, a row per row of ``docs``.
+
+    ``order``: words of the longest n-gram, 1 or more. ``own``: whether a row's own
+    n-grams count for it too. A null or empty text has no words and score 0. Null ids
+    and repeated rows are kept; repeated rows count as often as they occur, and each
+    is another document to the others. Further columns are left out; an empty table
+    gives none. Equal 64-bit hashes count as equal n-grams.
+    """
+    rows, buckets = dealt(docs, bucket_bytes, least_buckets, id_col, text_col)
+    answered = answers_of(rows, buckets, order)
+    return rows.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(scores(order, backoff, own), SCORED)

@@ -66,13 +66,16 @@ def policies_sql() -> str:
     return f"{LEDGER} {' UNION ALL '.join(each)}"
 
 
-LM = f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
-p AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL::VARCHAR], ws[:-2])) AS v FROM t WHERE len(ws) > 0),
-u AS (SELECT w, count(*) AS c FROM p GROUP BY w), b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), n AS (SELECT count(*) AS n FROM p),
-s AS (SELECT p.doc_id, CASE WHEN p.v IS NULL THEN log10(u.c) - log10(n.n) WHEN b.c >= 2 THEN log10(b.c) - log10(x.c) ELSE log10(u.c) - log10(n.n) + log10(0.4) END AS s
-  FROM p JOIN u USING (w) LEFT JOIN b ON p.v = b.v AND p.w = b.w LEFT JOIN u x ON x.w = p.v, n),
-a AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY doc_id)
-SELECT t.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.s, 0), 6) AS log_score FROM t LEFT JOIN a USING (doc_id)"""
+LM = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+e AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM t),
+p AS (SELECT *, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY rid, w) AS c1,
+  count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY rid, v, w) AS c2, count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY rid, u, v, w) AS c3 FROM p),
+x AS (SELECT *, lag(c1) OVER o AS x1, lag(c2) OVER o AS x2, least(i, 3) AS k FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT rid, CASE WHEN k = 3 AND c3 > 0 THEN log10(c3) - log10(x2) WHEN k >= 2 AND c2 > 0 THEN log10(c2) - log10(x1) + (k - 2) * log10(0.4)
+  WHEN c1 > 0 THEN log10(c1) - log10(greatest(n, 1)) + (k - 1) * log10(0.4) ELSE k * log10(0.4) - log10(greatest(n, 1)) END AS s FROM x),
+a AS (SELECT rid, count(*) AS n, sum(s) AS s FROM s GROUP BY rid)
+SELECT doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.s, 0), 6) AS log_score FROM t LEFT JOIN a USING (rid)"""
 
 
 def oracle_sql() -> dict[str, str]:
