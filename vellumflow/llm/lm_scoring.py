@@ -5,7 +5,7 @@ counts of the distinct ones, one packed row for each hash partition of the count
 table; a partition sums what the buckets report, which is its part of the table,
 and joins the counts to what each bucket asked; the answers meet the bucket's
 documents again, whose shuffle is the one already made, and are summed per
-document. N-grams travel as sorted 64-bit hashes, so a common one is one entry per
+document. N-grams travel as sorted 56-bit hashes, so a common one is one entry per
 bucket, no partition sees its occurrences, and nothing reaches the driver.
 
 A document is scored by the others: from every count its own occurrences are taken,
@@ -36,6 +36,7 @@ ASKED = "part int, bucket int, kind int, hashes binary, counts binary"
 ANSWERED = "bucket int, part int, kind int, counts binary"
 SCORED = "doc_id long, n_words long, log_score double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with well spread bits
+_KEPT = np.uint64(0xFFFFFFFFFFFFFF00)  # bits of a hash that tell n-grams apart
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,38 +59,51 @@ def longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h += words
     h *= _MIX
-    return h ^ (h >> np.uint64(32))
+    return (h ^ (h >> np.uint64(32))) & _KEPT
 
 
 class Grams:
-    """The n-grams of some texts, each at the place of its last word; kind is the number of words.
+    """The n-grams of some texts, each at the place of its last word, of one length at a time.
 
-    The empty n-gram, kind 0, occurs before every word: its count is the number of words.
+    ``kind`` is the number of words, ``hashes`` are those of the n-grams that end at
+    each word, valid where ``place``, the number of words before it in its text, is
+    ``kind`` - 1 or more.
     """
 
     def __init__(self, texts: list[bytes]):
         self.words, self.sizes = hashed_words(texts)
-        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.hashes = {1: self.words}
-
-    def of(self, kind: int) -> np.ndarray:
-        if kind not in self.hashes:
-            self.hashes[kind] = longer(self.of(kind - 1), self.words)
-        return self.hashes[kind]
-
-    def asked(self, kind: int, totals: dict[int, np.ndarray]) -> np.ndarray:
-        """Places whose n-grams are asked for, given the totals of those one word shorter."""
-        valid = self.place >= kind - 1
-        if kind > 2 and totals:
-            often = totals[kind - 1] >= 2
-            valid &= often & np.concatenate([often[:1], often[:-1]])
+        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
+        self.kind, self.hashes = 1, self.words & _KEPT
+        self.often: np.ndarray | None = None
+
+    def lengthen(self, totals: np.ndarray | None = None) -> None:
+        """Go on to the n-grams of one word more; ``totals`` are the counts of those before."""
+        self.often = None if totals is None or self.kind == 1 else totals >= 2
+        self.kind, self.hashes = self.kind + 1, longer(self.hashes, self.words)
+
+    def asked(self) -> np.ndarray:
+        """Places whose n-grams are asked for: where those one word shorter occur twice or more, if that is known."""
+        valid = self.place >= self.kind - 1
+        if self.often is not None:
+            valid &= self.often
+            valid[1:] &= self.often[:-1]
         return np.flatnonzero(valid)
 
-    def own(self, kind: int) -> np.ndarray:
+    def totals(self, got: dict[int, np.ndarray]) -> np.ndarray:
+        """Count at each place by the answers; what wasn't asked for occurs once."""
+        at, reply = self.asked(), got.get(self.kind, np.zeros(0, np.int64))
+        distinct, inverse = np.unique(self.hashes[at], return_inverse=True)
+        if len(reply) != len(distinct):
+            raise ValueError("a bucket's documents aren't those that asked; its input isn't stable")
+        out = np.ones(len(self.words), np.int64)
+        out[at] = reply[inverse]
+        return out
+
+    def own(self) -> np.ndarray:
         """How often the n-gram at each place occurs in its text."""
-        at = np.flatnonzero(self.place >= kind - 1)
-        key = self.of(kind)[at] ^ (self.row[at] + 1).astype(np.uint64) * _MIX
+        at = np.flatnonzero(self.place >= self.kind - 1)
+        key = self.hashes[at] ^ (self.row[at] + 1).astype(np.uint64) * _MIX
         order = np.argsort(key)
         key = key[order]
         edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
@@ -98,6 +112,9 @@ class Grams:
         out[at[order]] = np.repeat(size, size)
         return out
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.hashes[self.asked()], return_counts=True)
+
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
     return zlib.compress(values.astype(kind).tobytes(), 1)
@@ -108,12 +125,15 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
 
 
 def packed_hashes(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as differences, byte by byte, so that the high bytes are runs of zeros."""
-    return np.ascontiguousarray(np.diff(hashes.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """The kept bytes of the differences of ascending hashes, byte by byte, so that the high ones are runs of zeros."""
+    return np.ascontiguousarray(np.diff(hashes.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[1:]).tobytes()
 
 
 def unpacked_hashes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+    planes = np.frombuffer(raw, np.uint8).reshape(7, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, 1:] = planes.T
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -129,20 +149,6 @@ def replies(answers: pa.Table) -> dict[int, np.ndarray]:
     return {kind: np.concatenate([_unpacked(raw, "<u8") for _, raw in sorted(rows)]).astype(np.int64) for kind, rows in got.items()}
 
 
-def totals_of(grams: Grams, got: dict[int, np.ndarray], kinds: range) -> dict[int, np.ndarray]:
-    """Totals at each place by kind, of kinds from 1 or 2 on; what wasn't asked for occurs once."""
-    totals: dict[int, np.ndarray] = {}
-    for kind in kinds:
-        at = grams.asked(kind, totals)
-        distinct, inverse = np.unique(grams.of(kind)[at], return_inverse=True)
-        reply = got.get(kind, np.zeros(0, np.int64))
-        if len(reply) != len(distinct):
-            raise ValueError("a bucket's documents aren't those that asked; its input isn't stable")
-        totals[kind] = np.ones(len(grams.words), np.int64)
-        totals[kind][at] = reply[inverse]
-    return totals
-
-
 def packed_rows(bucket: int, parts: int, counted: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """ASKED of a bucket: distinct hashes, ascending, and their counts in it, by kind."""
     rows = []
@@ -158,12 +164,14 @@ def texts_of(docs: pa.Table) -> list[bytes]:
 
 
 def first_asks(parts: int, upto: int):
-    """The empty n-gram and all of up to so many words."""
+    """The empty n-gram, whose count is the number of words, and all of up to so many words."""
 
     def run(docs: pa.Table) -> pa.Table:
         grams = Grams(texts_of(docs))
-        counted = {0: (np.zeros(1, np.uint64), np.array([len(grams.words)]))}
-        counted |= {k: np.unique(grams.of(k)[grams.asked(k, {})], return_counts=True) for k in range(1, upto + 1)}
+        counted = {0: (np.zeros(1, np.uint64), np.array([len(grams.words)])), 1: grams.distinct()}
+        for kind in range(2, upto + 1):
+            grams.lengthen()
+            counted[kind] = grams.distinct()
         return packed_rows(docs["bucket"][0].as_py(), parts, counted)
 
     return run
@@ -173,10 +181,11 @@ def more_asks(parts: int, kind: int):
     """Those of ``kind`` words whose parts are answered with two or more."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(texts_of(docs))
-        totals = totals_of(grams, replies(answers), range(2, kind))
-        bucket = docs["bucket"][0].as_py() if len(docs) else 0
-        return packed_rows(bucket, parts, {kind: np.unique(grams.of(kind)[grams.asked(kind, totals)], return_counts=True)})
+        grams, got = Grams(texts_of(docs)), replies(answers)
+        grams.lengthen()
+        while grams.kind < kind:
+            grams.lengthen(grams.totals(got))
+        return packed_rows(docs["bucket"][0].as_py() if len(docs) else 0, parts, {kind: grams.distinct()})
 
     return run
 
@@ -212,17 +221,21 @@ def counted(table: pa.Table) -> pa.Table:
 def scores(order: int, backoff: float, own: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         grams, got = Grams(texts_of(docs)), replies(answers)
-        totals, sizes, row = totals_of(grams, got, range(1, order + 1)), grams.sizes, grams.row
+        sizes, row, step = grams.sizes, grams.row, np.log10(backoff)
         words = (int(got[0][0]) if 0 in got else 0) - (0 if own else sizes)
         before = np.log10(np.maximum(1, np.broadcast_to(words, sizes.shape)))[row]  # log count of the context
-        step, most = np.log10(backoff), np.minimum(order, grams.place + 1)
-        each = np.zeros(len(row))
-        for kind in range(1, order + 1):
-            left = totals[kind] - (0 if own else grams.own(kind))
-            seen = (grams.place >= kind - 1) & (left > 0)
+        most = np.minimum(order, grams.place + 1)
+        each = most * step - before
+        while True:
+            totals = grams.totals(got)
+            left = totals if own else totals - grams.own()
+            seen = (grams.place >= grams.kind - 1) & (left > 0)
             logs = np.log10(np.maximum(1, left))
-            each = np.where(seen, logs - before + (most - kind) * step, each if kind > 1 else most * step - before)
+            each = np.where(seen, logs - before + (most - grams.kind) * step, each)
+            if grams.kind == order:
+                break
             before = np.concatenate([logs[:1], logs[:-1]])
+            grams.lengthen(totals)
         total = np.bincount(row, each, len(sizes)) if len(sizes) else np.zeros(0)
         return pa.table({"doc_id": docs["doc_id"].cast(pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(total, pa.float64())})
 
@@ -260,7 +273,7 @@ def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, own: boo
     n-grams count for it too. A null or empty text has no words and score 0. Null ids
     and repeated rows are kept; repeated rows count as often as they occur, and each
     is another document to the others. Further columns are left out; an empty table
-    gives none. Equal 64-bit hashes count as equal n-grams.
+    gives none. Equal 56-bit hashes count as equal n-grams: with 10^12 of them, 14 in a million.
     """
     rows, buckets = dealt(docs, bucket_bytes, least_buckets, id_col, text_col)
     answered = answers_of(rows, buckets, order)
