@@ -174,7 +174,7 @@ def merging_round(number: int, size: int, keep: int, scrap: int, last: bool, wit
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 2048, keep: int = 16, scrap: int = 16, with_ids: bool = False, cache: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 2048, keep: int = 16, scrap: int = 16, with_ids: bool = False, cache: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in windows of at most ``size`` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset

@@ -64,7 +64,7 @@ def encoder(path: str, end_id: int, segment: int, cache: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, segment: int = SEGMENT, cache: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, segment: int = SEGMENT, cache: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents to ``folder``, which must not exist yet.
 
     Order: ascending id, null ids first, ties by the text's hash and the text. A null

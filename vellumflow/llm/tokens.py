@@ -4,7 +4,8 @@ The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. A
 text is cut where the pre-tokenizer always cuts (before white space that
 follows something else, and between letters or digits and other signs), each
 distinct piece is encoded once by the library, and the pieces' ids are joined.
-The cache of pieces is emptied when it is full, so that memory is bounded.
+Pieces that weren't met since the cache was last full are dropped when it is full
+again, so that memory is bounded and frequent ones stay.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def byte_signs() -> dict[int, str]:
 class PieceCache(dict):
     """Little-endian ids of each piece, made by the tokenizers library when first met."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 600_000):
         import sys
 
         from tokenizers import Tokenizer
@@ -52,6 +53,7 @@ class PieceCache(dict):
         self.kind = "H" if self.width == 2 else "I"
         self.swap = sys.byteorder == "big"
         self.most, self.signs = most, byte_signs()
+        self.old: dict[str, bytes] = {}  # what was met before the cache was last full
         self.model = self.tokenizer.model
 
     def packed(self, ids: list[int]) -> bytes:
@@ -61,18 +63,25 @@ class PieceCache(dict):
         return a.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if WORD.fullmatch(piece):
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = out = self.packed(ids)
+        out = self.old.get(piece)
+        if out is None:
+            if WORD.fullmatch(piece):
+                if piece.isascii():  # letters stand for themselves
+                    signs = self.signs[32] + piece[1:] if piece[0] == " " else piece
+                else:
+                    signs = piece.encode().decode("latin-1").translate(self.signs)
+                out = self.packed([t.id for t in self.model.tokenize(signs)])
+            else:
+                out = self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, ``width`` bytes each, little-endian."""
         if not self.cuts or any(a in text for a in self.added):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) > self.most:
+        if 2 * len(self) > self.most:
+            self.old = self.copy()
             self.clear()
         pieces = (COARSE if OTHER.search(text) else FINE).findall(text)
         return b"".join(map(self.__getitem__, pieces))
@@ -81,7 +90,7 @@ class PieceCache(dict):
 _caches: dict[tuple[str, int], PieceCache] = {}
 
 
-def piece_cache(path: str, most: int = 1_500_000) -> PieceCache:
+def piece_cache(path: str, most: int = 600_000) -> PieceCache:
     """The worker's own cache for a tokenizer file, kept between tasks."""
     if (path, most) not in _caches:
         _caches[path, most] = PieceCache(path, most)
