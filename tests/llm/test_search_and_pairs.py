@@ -23,16 +23,76 @@ def brute_top_k(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shards", [1, 5])
+@pytest.mark.parametrize("shards", [1, 5, 40])
 def test_top_k_matches_brute_force_with_ties(spark, shards):
     rng = np.random.default_rng(1)
     vectors = np.vstack([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(1, 8)), 80, 0)]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0, 1.0) for i, v in enumerate(vectors)], VECTORS)
-    got = kd_search.top_k(df, k=7, every=10, leaf=8, shard_rows=-(-len(vectors) // shards), block_rows=6)
+    got = kd_search.top_k(df, k=7, every=10, leaf=8, shard_rows=-(-len(vectors) // shards))
     rows = [(i, np.floor(64 * v.astype(np.float64)).astype(int)) for i, v in enumerate(vectors)]
     assert sorted(map(tuple, got.collect())) == brute_top_k(rows, 7, 10)
 
 
+def clustered(rng, clusters, each, width):
+    centres = rng.normal(size=(clusters, width))
+    centres *= 8 / np.linalg.norm(centres, axis=1)[:, None]
+    return (np.repeat(centres, each, 0) + 0.05 * rng.normal(size=(clusters * each, width))).astype(np.float32)
+
+
+def test_boxes_drop_shards_before_anything_is_sent(spark):
+    """On clustered vectors a query goes to few of the other shards, and the result is still exact."""
+    vectors = clustered(np.random.default_rng(4), 16, 60, 12)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1.0) for i, v in enumerate(vectors)], VECTORS)
+    sent = {}
+    real = kd_search.asked_shards
+    try:
+        kd_search.asked_shards = lambda *a: sent.setdefault("asked", real(*a))
+        got = kd_search.top_k(df, k=5, every=10, leaf=8, shard_rows=60)
+        rows = [(i, np.floor(64 * v.astype(np.float64)).astype(int)) for i, v in enumerate(vectors)]
+        assert sorted(map(tuple, got.collect())) == brute_top_k(rows, 5, 10)
+    finally:
+        kd_search.asked_shards = real
+    queries, shards = len(vectors) // 10, 16
+    assert sent["asked"].count() < 0.2 * queries * (shards - 1)
+
+
+def test_kth_score_prunes_subtrees():
+    """Best first opens a small part of the nodes and finds the same as a look at all; a score from elsewhere prunes from the start."""
+    rng = np.random.default_rng(6)
+    points = np.floor(64 * clustered(rng, 32, 100, 10).astype(np.float64)).astype(np.int64)
+    tree = kd_search.Tree.build(points, np.arange(len(points)), 16)
+    assert (tree.span[tree.child == 0][:, 1] - tree.span[tree.child == 0][:, 0]).max() <= 16
+    q, own = points[::50], np.arange(len(points))[::50]
+    args = tree, tree.points, tree.low, tree.high, q, own
+    best, ids, opened = kd_search.best_first(*args, np.full(len(q), kd_search.NONE), 10)
+    score = q @ points.T
+    score[np.arange(len(q)), own] = kd_search.NONE
+    order = np.lexsort((np.broadcast_to(np.arange(len(points)), score.shape), -score), axis=1)[:, :10]
+    assert (ids == order).all() and (best == np.take_along_axis(score, order, 1)).all()
+    assert opened < 0.25 * len(q) * len(tree.child)
+    again = kd_search.best_first(*args, best[:, -1], 10)
+    assert (again[1] == ids).all() and again[2] <= opened
+    beyond = kd_search.best_first(*args, best[:, 0] + 1, 10)
+    assert (beyond[0] == kd_search.NONE).all() and beyond[2] < opened
+
+
+def test_copies_of_one_vector_and_id_are_dealt_out(spark):
+    """A third of the rows have one vector, another third one id."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(5000, [float(i), 0.0]) for i in range(400)] + [(1000 + i, rng.normal(size=2).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows], VECTORS)
+    seen = {}
+    real = kd_search.sharded_points
+    try:
+        kd_search.sharded_points = lambda *a: seen.setdefault("s", real(*a))
+        got = kd_search.top_k(df, k=3, every=100, shard_rows=50, leaf=8)
+    finally:
+        kd_search.sharded_points = real
+    once = {i: np.floor(64 * np.float32(v).astype(np.float64)).astype(int) for i, v in reversed(rows)}
+    assert sorted(map(tuple, got.collect())) == brute_top_k(sorted(once.items()), 3, 100)
+    assert max(r["count"] for r in seen["s"].groupBy("shard").count().collect()) < 150
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (20, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (6, [])]
@@ -47,7 +107,7 @@ def test_top_k_edges(spark):
 def test_unions_cover_every_spread_of_four_bits():
     for spread in product(range(5), repeat=6):
         if sum(spread) <= 4:
-            assert min(sum(spread[p] for p in u) for u in near_duplicates.EXACT.unions) <= 1
+            assert min(sum(spread[p] for p in u) for u in near_duplicates.UNIONS) <= 1
 
 
 def brute_fingerprint(text):
@@ -76,11 +136,10 @@ def brute_components(prints):
 
 @pytest.mark.parametrize("text", ["", "   \n", "one", "A b C", "a b c d", "Été ÉTÉ " * 9, "x y z w " * 40 + "end"])
 def test_fingerprint(text):
-    assert near_duplicates.fingerprint(text.encode()).tolist() == [brute_fingerprint(text)]
+    assert near_duplicates.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
-def test_links_lose_nothing(spark):
-    rng = random.Random(3)
+def prints_with_copies(rng):
     prints = [rng.getrandbits(64) for _ in range(60)]
     for p in prints[:30]:
         for _ in range(6):  # chains too: each copy from the last one
@@ -88,10 +147,20 @@ def test_links_lose_nothing(spark):
             prints.append(p)
     hot = rng.getrandbits(64)
     prints += [hot ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(400)]
-    prints = sorted(set(prints))
+    hot = rng.getrandbits(64)  # a dense anchor of texts that are linked to few of the others
+    prints += [hot ^ sum(1 << b for b in rng.sample(range(33, 64), 12)) for _ in range(300)]
+    return sorted(set(prints))
+
+
+@pytest.mark.parametrize("run_length", [near_duplicates._RUN, 40, 3])
+def test_links_lose_nothing(spark, run_length):
+    prints = prints_with_copies(random.Random(3))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(s,) for s in signed], "print0 long")
-    links = near_duplicates.print_links(df)
+    df = spark.createDataFrame([(s,) for s in signed], "print long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if run_length > 40 else 25)
+    links = near_duplicates.print_links(df, run_length=run_length)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in links.collect())
     found = {r["node"]: r["root"] for r in components(links).collect()}
     want = brute_components(prints)
     got = [found.get(s, s) for s in signed]
@@ -107,61 +176,24 @@ def test_near_duplicates_on_documents(spark, sf_dir):
     prints = [brute_fingerprint(r["text"]) for r in rows]
     want = [(r["doc_id"], f"{p:016x}", rows[c]["doc_id"]) for r, p, c in zip(rows, prints, brute_components(prints), strict=True)]
     assert sorted(map(tuple, near_duplicates.near_duplicates(docs).collect())) == want
-    kept = near_duplicates.drop_near_duplicates(docs, near_duplicates.EXACT)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
-
-
-def jaccard(a, b, width=5):
-    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_wide_finds_similar_texts_and_leaves_others(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
-    rows, close = [], []
-    for i in range(120):
-        words = [word() for _ in range(rng.randint(60, 500))]
-        rows.append((2 * i, " ".join(words)))
-        copy = [word() if rng.random() < 0.008 else w for w in words]
-        rows.append((2 * i + 1, " ".join(copy)))
-        if jaccard(rows[-2][1], rows[-1][1]) >= 0.9:
-            close.append(2 * i + 1)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in near_duplicates.drop_near_duplicates(df).collect()}
-    assert kept >= {2 * i for i in range(120)}
-    assert len(close) > 40 and sum(i not in kept for i in close) >= 0.8 * len(close)
-
-
-def test_wide_unions_meet_most_pairs():
-    rng, cover = random.Random(9), near_duplicates.WIDE
-    met = {}
-    for n in (4, 8, 12, 16):
-        flips = [sum(1 << b for b in rng.sample(range(128), n)).to_bytes(16, "little") for _ in range(4000)]
-        words = np.frombuffer(b"".join(flips), "<u8").reshape(-1, 2)
-        met[n] = np.any([np.bitwise_count(near_duplicates.projected(words, cover, u)) <= 1 for u in range(12)], axis=0).mean()
-    assert met[8] > 0.99 and met[12] > 0.98 and met[16] > 0.9
-
-
-@pytest.mark.parametrize("cover", [near_duplicates.EXACT, near_duplicates.WIDE])
-def test_anchors_cover(cover):
+
+
+def test_anchors_cover():
     rng = np.random.default_rng(5)
-    prints = rng.integers(0, 1 << 63, (200, cover.halves), dtype=np.uint64)
-    for u in range(len(cover.unions)):
-        x, near, homes = near_duplicates.projected(prints, cover, u), [set() for _ in prints], {}
-        for rows, anchor, home in near_duplicates.anchors(prints, cover, u):
+    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for u in range(len(near_duplicates.UNIONS)):
+        x, near, homes = near_duplicates.projected(prints, u), [set() for _ in prints], {}
+        for rows, anchor, home in near_duplicates.anchors(prints, u):
             for r, a in zip(rows.tolist(), anchor.tolist(), strict=True):
                 assert a not in near[r] and (int(x[r]) ^ a).bit_count() <= (1 if home else 2)
                 near[r].add(a)
                 if home:
                     homes[r] = a
+        places = [f + k for p in near_duplicates.UNIONS[u] for f, n in [near_duplicates.PARTS[p]] for k in range(n)]
         for r in range(0, 200, 20):  # every text one flip away has this home among its anchors
-            for bit in range(cover.bits(u)):
-                other = prints[r : r + 1].copy()
-                first = [f + k for p in cover.unions[u] for f, n in [cover.parts[p]] for k in range(n)][bit]
-                other[0, first // 64] ^= np.uint64(1 << first % 64)
-                assert homes[r] in {int(a[0]) for _, a, _ in near_duplicates.anchors(other, cover, u) if len(a)}
+            for place in places:
+                other = prints[r : r + 1] ^ np.uint64(1 << place)
+                assert homes[r] in {int(a[0]) for _, a, _ in near_duplicates.anchors(other, u) if len(a)}
 
 
 def test_near_duplicates_edges(spark):

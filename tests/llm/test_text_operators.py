@@ -75,16 +75,66 @@ def test_oracle(spark, sf_dir, name):
         assert all(x == y or isinstance(x, float) and math.isclose(x, y, abs_tol=1e-9) for x, y in zip(a, b, strict=True)), c
 
 
+def bigrams_by_hand(text):
+    words = re.sub(r"[^\w]+|_", " ", text.lower()).split()
+    return Counter(zip(words, words[1:], strict=False))
+
+
+def dice_by_hand(a, b):
+    a, b = bigrams_by_hand(a), bigrams_by_hand(b)
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+MIT = dict(license_scan.all_templates())["MIT"]
+PROSE = "The river ran by the old town and nobody knew who had built its bridge of stone. "
+
+
 def test_licenses(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-    rows = [(1, "Some text.\nRELEASED under the mit licence!\nReleased   under the MIT License", "a"), (1, "Licensed under CC BY-NC 4.0.", "a"), (1, "Licensed under CC BY-NC 4.0.", "a"), (None, "\n".join(mit.split(", ")), "a"), (4, "under the bridge of the town", "a"), (5, None, "a"), (6, "", "a"), (7, "the license " * 20000, "a")]
+    notice = next(t for n, t in license_scan.NOTICES if n == "MIT" and len(t) > 200)
+    rows = [(1, "Some text.\nRELEASED under the mit licence!\nReleased   under the MIT License", "a"), (1, "Licensed under CC BY-NC 4.0.", "a"), (1, "Licensed under CC BY-NC 4.0.", "a"), (None, "\n".join(notice.split(", ")), "a"), (4, "under the bridge of the town", "a"), (5, None, "a"), (6, "", "a"), (7, "the license " * 20000, "a")]
     got = sorted(map(tuple, license_scan.scan_licenses(docs_of(spark, rows)).collect()), key=str)
-    assert (1, 3, "MIT", 1.0) in got and got.count((1, 1, "CC-BY-NC-4.0", 1.0)) == 2
-    assert [r[:3] for r in got if r[0] is None] == [(None, 0, "MIT")]
+    assert (1, "line", 3, "MIT", 1.0) in got and got.count((1, "line", 1, "CC-BY-NC-4.0", 1.0)) == 2
+    assert {r[1:4] for r in got if r[0] is None} == {("text", 0, "MIT"), ("window", 1, "MIT")}
     assert {r[0] for r in got} == {1, None}
     assert license_scan.scan_licenses(docs_of(spark, [])).collect() == []
 
 
+def test_licenses_within_longer_texts(spark):
+    """A notice wrapped over lines inside a text, one within a line, and whole licences, as they are and edited."""
+    notice = next(t for n, t in license_scan.NOTICES if n == "MIT" and len(t) > 200)
+    wrapped = "\n".join(re.findall(r".{1,40}(?:\s|$)", notice))
+    whole = dict(license_scan.all_templates())
+    rows = [(1, PROSE * 30 + "\n" + wrapped + "\n" + PROSE * 30), (2, PROSE * 5 + "Released under the MIT License. " + PROSE * 5), (3, PROSE * 40)]
+    rows += [(10 + k, whole[n]) for k, n in enumerate(("MIT", "BSD-3-Clause", "Apache-2.0", "ISC", "BSD-2-Clause"))]
+    rows += [(20, "Copyright 2020 Somebody\n\n" + MIT.replace("authors", "writers").replace("dealings", "doings")), (21, PROSE * 9 + whole["Apache-2.0"] + PROSE * 9)]
+    got = [tuple(r) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    first = len(re.findall(r"\w+", PROSE)) * 30 + 1
+    assert (1, "window", first, "MIT", 1.0) in got and not [r for r in got if r[0] == 1 and r[1] != "window"]
+    assert (2, "window", len(re.findall(r"\w+", PROSE)) * 5 + 1, "MIT", 1.0) in got
+    assert not [r for r in got if r[0] == 3]
+    for k, n in enumerate(("MIT", "BSD-3-Clause", "Apache-2.0", "ISC", "BSD-2-Clause")):
+        assert (10 + k, "text", 0, n, 1.0) in got and (10 + k, "window", 1, n, 1.0) in got
+    edited = [r for r in got if r[0] == 20 and r[1] == "text"]
+    assert [r[3] for r in edited] == ["MIT"] and math.isclose(edited[0][4], dice_by_hand(rows[-2][1], MIT))
+    assert (21, "window", len(re.findall(r"\w+", PROSE)) * 9 + 1, "Apache-2.0", 1.0) in got
+
+
+def test_licenses_of_own_templates(spark):
+    """Ties go to the smaller name; a unit of one bigram counts; pruning loses nothing."""
+    own = [("zeta", "a b"), ("alpha", "a b"), ("long", "one two three four five six seven")]
+    texts = ["a b", "A, b!", "a", "b a", "x a b y", "one two three four five six", "two three four five six seven eight", "one two four five six seven", "one\ntwo three\nfour five six seven"]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=own).collect()
+    lines = {(r["doc_id"], r["place"]): (r["license"], round(r["dice"], 9)) for r in got if r["unit"] != "window"}
+    want = {}
+    for k, t in enumerate(texts):
+        units = t.split("\n")
+        for at, u in [*enumerate(units, 1), *([(0, t)] if len(units) > 1 else [])]:
+            if len(u.split()) > 1 and (best := min((-round(dice_by_hand(u, x), 9), n) for n, x in own))[0] <= -0.8:
+                want[k, at] = (best[1], -best[0])
+    assert lines == want and lines[0, 1] == ("alpha", 1.0)
+    assert (4, 2, "alpha", 1.0) in {(r["doc_id"], r["place"], r["license"], r["dice"]) for r in got if r["unit"] == "window"}
+
+
 def measured_by_hand(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]

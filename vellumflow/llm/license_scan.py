@@ -1,27 +1,37 @@
 """Licence scan in DataFrame operations only: Dice coefficient over word bigrams.
 
-Units are a document's lines and, if it has several, its whole text. A unit is
-lower-cased and other signs than letters and digits become spaces. Its word
-bigrams, repeats included, are compared with those of the templates whose number
-allows the threshold: with coefficient t, numbers a and b satisfy
-t / (2 - t) <= a / b <= (2 - t) / t. A unit has one bigram less than words, so
-many are pruned before any bigram is made. The bigrams of the others meet those
-of the templates, a table fixed in size by the code, in a broadcast join; only
-the few that match are shuffled, by their unit.
+A text is lower-cased, other signs than letters and digits become spaces, and its
+word bigrams, repeats included, are compared with those of licence templates: short
+notices, and whole licences (``licenses/``). Units are a document's lines, its whole
+text if it has several, and windows of each template's size at any place, which find
+a notice that is wrapped over lines or stands within a longer text.
+
+With coefficient t, numbers a and b of bigrams satisfy t / (2 - t) <= a / b <=
+(2 - t) / t, so a unit whose number fits no template is pruned before any bigram is
+made. Before that whole texts are: what reaches t has t / (2 - t) of a template's
+bigrams, so it has one of a few of its words that touch all but fewer. The bigrams of
+the rest meet those of the templates, a table fixed in size by the templates, in a
+broadcast join; only those that match are shuffled, by their document.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumflow.llm.shared import written
+
 THRESHOLD = 0.8
+FOUND = ["doc_id", "unit", "place", "license", "dice"]
+_SCALE = 1 << 20  # places of a window, whatever its size
 
-#: Licence notices and short licence texts, by name.
-TEMPLATES: list[tuple[str, str]] = [
+#: Licence notices, by name.
+NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("MIT", "Released under the MIT License."),
@@ -44,7 +54,18 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
-def template_bigrams(templates: list[tuple[str, str]]) -> list[tuple[str, dict[str, int]]]:
+# Words that most texts have, which are no sign of a licence.
+COMMON = frozenset("a all an and any are as at be but by for from has have in is it may no not of on or other shall such that the their this to under use was were will with you your".split())
+
+
+@cache
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """Name and text of the notices and of the whole licences of ``licenses/``."""
+    whole = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    return (*NOTICES, *whole)
+
+
+def template_bigrams(templates) -> list[tuple[str, dict[str, int]]]:
     """Name and bigram counts of each template."""
     out = []
     for name, text in templates:
@@ -53,35 +74,84 @@ def template_bigrams(templates: list[tuple[str, str]]) -> list[tuple[str, dict[s
     return out
 
 
+def marks(known: list[tuple[str, dict[str, int]]], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with some template has one.
+
+    Of each template the longest, common ones last, until the bigrams without them are too few.
+    """
+    out: set[str] = set()
+    for _, bigrams in known:
+        need, left = threshold / (2 - threshold) * sum(bigrams.values()), dict(bigrams)
+        for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(left.values()) < need - 1e-9:
+                break
+            out.add(word)
+            left = {b: n for b, n in left.items() if word not in b.split()}
+    return sorted(out)
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, license, dice: the best template of each unit that reaches ``threshold``.
+def bigrams_of(words: Column) -> Column:
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
 
-    line counts from 1; 0 stands for the whole of a text of several lines. Ties go
-    to the smaller name. Null and empty texts give no row; a row per matching unit
-    of each row of ``docs``, repeated rows and null ids too; further columns are left out.
+def scan_licenses(docs: DataFrame, *, templates=None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, unit, place, license, dice: what reaches ``threshold``.
+
+    unit ``line``: the best template of a line, at its number from 1; ``text``: the
+    best of the whole of a text of several lines, at 0. Ties go to the smaller name.
+    ``window``: at the number of its first word, from 1, a window of a template's size;
+    of windows that overlap, the one with most matching bigrams, the first of them, and
+    of templates of one licence the best at that place. Null and empty texts give no
+    row; repeated rows and null ids are kept; further columns are left out; an empty
+    table gives no rows.
     """
-    known = template_bigrams(templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    known = template_bigrams(all_templates() if templates is None else templates)
     sizes = [sum(b.values()) for _, b in known]
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    units = F.concat(F.array(F.when(F.size(lines) > 1, normalised(text))), F.transform(lines, normalised))
-    parts = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(units).alias("line", "unit"))
-    words = F.split("unit", " ")
-    n = F.size(words) - 1
-    sized = parts.filter(F.octet_length("unit") >= 4).filter(n.between(max(1, min(sizes) * low), max(sizes) * high))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    paired = sized.select(F.monotonically_increasing_id().alias("row"), "doc_id", "line", n.alias("n"), pairs.alias("pairs"))
-    met = paired.select("row", "doc_id", "line", "n", F.explode("pairs").alias("bigram"))
     rows = ", ".join(f"({k}, '{name}', {sizes[k]}, '{g}', {c})" for k, (name, own) in enumerate(known) for g, c in sorted(own.items()))
     table = docs.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, size, bigram, most)")
+    text = F.col(text_col)
+    marked = F.arrays_overlap(F.split(normalised(text), " "), F.array(*map(F.lit, marks(known, threshold))))
+    kept = docs.filter(text.isNotNull() & marked).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    kept = written(kept, "license-candidates")
+    return whole_units(kept, table, sorted(set(sizes)), threshold).unionByName(windows(kept, table, threshold))
+
+
+def whole_units(kept: DataFrame, table: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    lines = F.split("text", "\n")
+    units = F.concat(F.array(F.when(F.size(lines) > 1, normalised(F.col("text")))), F.transform(lines, normalised))
+    words = F.split("words", " ")
+    n = F.size(words) - 1
+    fits = F.exists(F.array(*map(F.lit, sizes)), lambda s: (n >= s * low) & (n <= s * high))
+    parts = kept.select("row", "doc_id", F.posexplode(units).alias("place", "words")).filter((n > 0) & fits)
+    met = parts.select("row", "doc_id", "place", n.alias("n"), F.explode(bigrams_of(words)).alias("bigram"))
     found = met.join(F.broadcast(table), "bigram").filter((F.col("n") >= F.col("size") * low) & (F.col("n") <= F.col("size") * high))
-    unit = ["row", "doc_id", "line", "n"]
-    each = found.groupBy(*unit, "template", "license", "size", "bigram").agg(F.least(F.count("*"), F.first("most")).alias("common"))
-    dice = each.groupBy(*unit, "template", "license", "size").agg((F.lit(2.0) * F.sum("common") / (F.col("n") + F.col("size"))).alias("dice")).filter(F.col("dice") >= threshold)
-    best = dice.groupBy("row", "doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
-    return best.select("doc_id", "line", F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
+    unit = ["row", "doc_id", "place", "n", "template", "license", "size"]
+    each = found.groupBy(*unit, "bigram").agg(F.least(F.count("*"), F.first("most")).alias("common"))
+    dice = each.groupBy(*unit).agg((F.lit(2.0) * F.sum("common") / (F.col("n") + F.col("size"))).alias("dice")).filter(F.col("dice") >= threshold)
+    best = dice.groupBy("row", "doc_id", "place").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
+    return best.select("doc_id", F.when(F.col("place") > 0, "line").otherwise("text").alias("unit"), "place", F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
+
+
+def windows(kept: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    words = F.split(normalised(F.col("text")), " ")
+    placed = kept.select("row", "doc_id", F.posexplode(bigrams_of(words)).alias("pos", "bigram")).join(F.broadcast(table), "bigram")
+    of = Window.partitionBy("row", "template")
+    following = of.orderBy(F.expr(f"pos * {_SCALE}L div size")).rangeBetween(0, _SCALE - 1)  # the places of a window that begins here
+    met = placed.withColumn("all", F.count("*").over(of)).filter(F.col("all") >= F.col("size") * threshold)
+    met = written(met.withColumn("inside", F.count("*").over(following)), "license-matches")
+    starts = met.filter(F.col("inside") >= F.col("size") * threshold)
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(of.orderBy("pos")) >= F.col("size"), F.lit(False))
+    numbered = starts.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(of.orderBy("pos")))
+    best = numbered.groupBy("row", "template", "run").agg(F.min(F.struct((-F.col("inside")).alias("i"), "pos")).alias("best")).select("row", "template", F.col("best.pos").alias("start"))
+    within = met.join(best, ["row", "template"]).filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("size")))
+    unit = ["row", "doc_id", "template", "start", "license", "size"]
+    each = within.groupBy(*unit, "bigram").agg(F.least(F.count("*"), F.first("most")).alias("common"))
+    dice = each.groupBy(*unit).agg((F.sum("common") / F.col("size")).alias("dice")).filter(F.col("dice") >= threshold)
+    named = dice.groupBy("row", "doc_id", "start", "license").agg(F.max("dice").alias("dice"))
+    return named.select("doc_id", F.lit("window").alias("unit"), (F.col("start") + 1).alias("place"), "license", "dice")

@@ -6,7 +6,7 @@ the tests hold them against brute force, exact round trips or held-out accuracy.
 
 from __future__ import annotations
 
-from vellumflow.llm.license_scan import TEMPLATES, THRESHOLD, template_bigrams
+from vellumflow.llm.license_scan import THRESHOLD, all_templates, template_bigrams
 from vellumflow.llm.quality_rules import MEASURES, POLICIES, RULES, mask
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,17 +29,27 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - flo
 
 
 def license_sql() -> str:
-    known = template_bigrams(TEMPLATES)
+    known = template_bigrams(all_templates())
     rows = ", ".join(f"({k}, '{name}', {sum(own.values())}, '{g}', {c})" for k, (name, own) in enumerate(known) for g, c in sorted(own.items()))
     low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
-    return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, 0 AS line, text AS unit FROM d WHERE len(ls) > 1 UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1))::INT, unnest(ls) FROM d),
-w AS (SELECT doc_id, line, regexp_extract_all(lower(unit), '[\\p{{L}}\\p{{N}}]+') AS ws FROM u),
-b AS (SELECT doc_id, line, len(ws) - 1 AS n, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1),
+    words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
 t AS (SELECT * FROM (VALUES {rows}) AS t(template, license, size, bigram, most)),
-c AS (SELECT doc_id, line, n, template, license, size, least(count(*), any_value(most)) AS common FROM b JOIN t ON bigram = g[1] || ' ' || g[2] WHERE n >= size * {low!r}::DOUBLE AND n <= size * {high!r}::DOUBLE GROUP BY doc_id, line, n, template, license, size, bigram),
-s AS (SELECT doc_id, line, license, 2.0::DOUBLE * sum(common) / (n + size) AS dice FROM c GROUP BY doc_id, line, n, template, license, size)
-SELECT doc_id, line, license, dice FROM s WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1"""
+u AS (SELECT rid, 0 AS line, {words.format("text")} AS ws FROM d WHERE len(ls) > 1 UNION ALL SELECT rid, line, {words.format("l")} FROM (SELECT rid, unnest(range(1, len(ls) + 1))::INT AS line, unnest(ls) AS l FROM d)),
+b AS (SELECT rid, line, len(ws) - 1 AS n, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM u WHERE len(ws) > 1),
+c AS (SELECT rid, line, n, template, license, size, least(count(*), any_value(most)) AS common FROM b JOIN t ON bigram = g[1] || ' ' || g[2] WHERE n >= size * {low!r}::DOUBLE AND n <= size * {high!r}::DOUBLE GROUP BY rid, line, n, template, license, size, bigram),
+s AS (SELECT rid, line, license, 2.0::DOUBLE * sum(common) / (n + size) AS dice FROM c GROUP BY rid, line, n, template, license, size),
+k AS (SELECT rid, CASE WHEN line > 0 THEN 'line' ELSE 'text' END AS unit, line AS place, license, dice FROM s WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY row_number() OVER (PARTITION BY rid, line ORDER BY dice DESC, license) = 1),
+w AS (SELECT rid, {words.format("text")} AS ws FROM d),
+p AS (SELECT rid, unnest(range(0, len(ws) - 1))::INT AS pos, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1),
+m AS (SELECT rid, pos, template, license, size, bigram, most, count(*) OVER (PARTITION BY rid, template ORDER BY pos RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS inside FROM p JOIN t ON bigram = g[1] || ' ' || g[2]),
+a AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY rid, template ORDER BY pos) >= size, false)::INT AS apart FROM m WHERE inside >= size * {THRESHOLD}::DOUBLE),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY pos) AS run FROM a),
+f AS (SELECT rid, template, pos AS start FROM r QUALIFY row_number() OVER (PARTITION BY rid, template, run ORDER BY inside DESC, pos) = 1),
+e AS (SELECT m.rid, m.template, start, license, size, least(count(*), any_value(most)) AS common FROM m JOIN f ON m.rid = f.rid AND m.template = f.template AND pos >= start AND pos < start + size GROUP BY m.rid, m.template, start, license, size, bigram),
+g AS (SELECT rid, start, license, sum(common)::DOUBLE / size AS dice FROM e GROUP BY rid, template, start, license, size),
+z AS (SELECT rid, 'window' AS unit, start + 1 AS place, license, max(dice) AS dice FROM g WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY rid, start, license)
+SELECT doc_id, unit, place, license, dice FROM (SELECT * FROM k UNION ALL SELECT * FROM z) JOIN d USING (rid)"""
 
 
 LEDGER = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
