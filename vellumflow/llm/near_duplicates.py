@@ -1,29 +1,23 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint's bits are cut into parts, and some unions of parts are looked at
-apart. On each union the anchors are a covering code of radius 1: a perfect
-Hamming code beside the remaining bits as they are. A fingerprint has a home
-anchor within distance 1, and is replicated to all anchors within 1 + 1; so two
-fingerprints with at most one differing bit in the union meet at the home of
-either, and are linked if they differ in at most ``most`` bits in all. Equal
-fingerprints are one before that, and an anchor yields links that connect what
-its pairs connect, never all pairs.
-
-``EXACT``: 64 bits, six parts, six unions of 31 to 33 bits. Any four bits leave
-some union at most one of them (the tests try every spread), so no pair of four
-differing bits is missed.
-
-``WIDE``: 128 bits of the distinct shingles, of which 16 may differ. Texts that
-share half of their shingles differ in about 34 with a deviation of 5, as rarely
-linked as by ``EXACT``. Twelve unions of 21 or 22 bits, which aren't complete: 3.6 %
-of pairs at 16 bits never meet, 0.5 % at 14. The pipeline links by exact coefficients
-(``similar_texts``) instead.
+A fingerprint's 64 bits are cut into six parts, and six unions of three parts, 31 to
+33 bits each, are looked at apart. On each union the anchors are a covering code of
+radius 1: a perfect Hamming code of length 31 beside the remaining bits as they are.
+A fingerprint has a home anchor within distance 1, and is replicated to all anchors
+within 1 + 1; so two fingerprints with at most one differing bit in the union meet
+at the home of either, and are linked if they differ in at most four bits in all.
+Any four bits leave some union at most one of them (the tests try every spread), so
+no pair is missed. Equal fingerprints are one before that, and an anchor yields
+links that connect what its pairs connect, never all pairs.
+
+An anchor of very many fingerprints is linked in runs of bounded length; what then
+still lies outside its largest component is compared with all of it in a join,
+whose hot keys Spark can split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,168 +28,116 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
 from vellumflow.llm.shared import column_name, small, written
-from vellumflow.llm.similar_texts import frequent, prefix_column, rooted_texts
+from vellumflow.llm.similar_texts import frequent, measured_column, rooted_texts
 
 _SHINGLES = 1 << 14  # shingles whose bits are held side by side
 _CHUNK = 1 << 18  # pairs that are held side by side
 _ALL_PAIRS = 1 << 9  # pairs of an anchor up to which all are compared side by side
-_MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number with well spread bits
+_RUN = 1 << 18  # fingerprints of an anchor that a task links at once
 
+# First bit and bits of each part, and the parts of each union; length of the Hamming code, and the most bits of a link.
+PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+UNIONS = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
+CODE, MOST, WIDTH = 31, 4, 4
 
-@dataclass(frozen=True)
-class Cover:
-    """Parts as (first bit, bits), unions of parts, length of the Hamming code, and the most bits of a link."""
 
-    parts: tuple[tuple[int, int], ...]
-    unions: tuple[tuple[int, ...], ...]
-    code: int
-    most: int
-    width: int  # words of a shingle
-    halves: int  # 64-bit words of a fingerprint
+def bits_of(union: int) -> int:
+    return sum(PARTS[p][1] for p in UNIONS[union])
 
-    def bits(self, union: int) -> int:
-        return sum(self.parts[p][1] for p in self.unions[union])
 
-
-def cut(sizes: list[int]) -> tuple[tuple[int, int], ...]:
-    return tuple((sum(sizes[:k]), n) for k, n in enumerate(sizes))
-
-
-EXACT = Cover(cut([11] * 4 + [10] * 2), ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5)), 31, 4, 4, 1)
-WIDE = Cover(cut([11, 11, 11, 11, 10, 10] * 2), tuple((k, (k + 1) % 12) for k in range(12)), 15, 16, 5, 2)
-
-
-def fingerprint(text: bytes, cover: Cover = EXACT) -> np.ndarray:
-    """SimHash of the text's shingles, A-Z lower-cased, as 64-bit words; zeros without words.
-
-    One word: all shingles by XXH64, repeats included. Two: distinct ones by XXH128.
-    """
-    words, width = text.lower().split(), cover.width
+def fingerprint(text: bytes) -> int:
+    """SimHash of the text's four-word shingles, A-Z lower-cased, repeats included; 0 without words."""
+    words = text.lower().split()
     if not words:
-        return np.zeros(cover.halves, np.uint64)
+        return 0
     flat = b" ".join(words)
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[:-1])]
-    n = max(1, len(words) - width + 1)
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    counts, seed = np.zeros(64 * cover.halves, np.int64), 42
-    known: set[bytes] = set()
+    n = max(1, len(words) - WIDTH + 1)
+    last = ends[WIDTH - 1 :] if len(words) >= WIDTH else ends[-1:]
+    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for k in range(0, n, _SHINGLES):
         spans = zip(starts[k : min(n, k + _SHINGLES)], last[k : k + _SHINGLES], strict=True)
-        if cover.halves == 1:
-            digest = xxhash.xxh64_intdigest
-            h = np.array([digest(flat[s:e], seed) for s, e in spans], "<u8").view(np.uint8)
-        else:
-            digest = xxhash.xxh128_digest
-            new = {digest(flat[s:e], seed) for s, e in spans} - known
-            known |= new
-            h = np.frombuffer(b"".join(new), np.uint8)
-        counts += np.unpackbits(h.reshape(-1, 8 * cover.halves), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > (n if cover.halves == 1 else len(known)), bitorder="little").view("<u8").astype(np.uint64)
-
-
-def nodes(prints: np.ndarray) -> np.ndarray:
-    """A number for each fingerprint: itself, or the mixture of its two words."""
-    out = prints[:, 0].copy()
-    for k in range(1, prints.shape[1]):
-        out = (out ^ out >> np.uint64(31)) * _MIX ^ prints[:, k]
-    return out
+        h = np.array([digest(flat[s:e], 42) for s, e in spans], "<u8").view(np.uint8)
+        counts += np.unpackbits(h.reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text: Column, cover: Cover = EXACT) -> Column:
-    """Array of node and fingerprint words of a text column; null counts as empty."""
+def fingerprint_column(text: Column) -> Column:
+    """Fingerprint of a text column as a signed long; null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
-        prints = np.array([fingerprint(t.as_py() or b"", cover) for t in texts], np.uint64).reshape(-1, cover.halves)
-        flat = np.concatenate([nodes(prints)[:, None], prints], axis=1).reshape(-1).view(np.int64)
-        offsets = np.arange(len(prints) + 1, dtype=np.int32) * (cover.halves + 1)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return pa.array(np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64))
 
-    return F.arrow_udf(run, "array<long>")(text.cast("binary"))
+    return F.arrow_udf(run, "long")(text.cast("binary"))
 
 
-def _syndromes(code: int) -> np.ndarray:
+def _syndromes() -> np.ndarray:
     """Per byte place and byte, the XOR of the places (from 1) of its bits in the code."""
     out = np.zeros((4, 256), np.uint64)
     for place in range(4):
         for byte in range(256):
             for bit in range(8):
-                if byte >> bit & 1 and place * 8 + bit < code:
+                if byte >> bit & 1 and place * 8 + bit < CODE:
                     out[place, byte] ^= np.uint64(place * 8 + bit + 1)
     return out
 
 
-def _pairs(code: int) -> np.ndarray:
+def _pairs() -> np.ndarray:
     """Per syndrome (a row each), the pairs of places whose flips lead to a code word."""
-    return np.array([[1 << (a - 1) | 1 << (b - 1) for a, b in combinations(range(1, code + 1), 2) if a ^ b == s] if s else [0] * (code // 2) for s in range(code + 1)], np.uint64)
+    places = range(1, CODE + 1)
+    return np.array([[1 << (a - 1) | 1 << (b - 1) for a, b in combinations(places, 2) if a ^ b == s] if s else [0] * (CODE // 2) for s in range(CODE + 1)], np.uint64)
 
 
-TABLES = {code: (_syndromes(code), _pairs(code)) for code in {EXACT.code, WIDE.code}}
+SYNDROMES, PAIRS = _syndromes(), _pairs()
 
 
-def projected(prints: np.ndarray, cover: Cover, union: int) -> np.ndarray:
+def projected(prints: np.ndarray, union: int) -> np.ndarray:
     out, at = np.zeros(len(prints), np.uint64), 0
-    for p in cover.unions[union]:
-        first, bits = cover.parts[p]
-        for half in range(cover.halves):  # a part may lie in two words
-            low, high = max(first, 64 * half), min(first + bits, 64 * half + 64)
-            if low < high:
-                out |= (prints[:, half] >> np.uint64(low - 64 * half) & np.uint64((1 << (high - low)) - 1)) << np.uint64(at)
-                at += high - low
+    for first, bits in (PARTS[p] for p in UNIONS[union]):
+        out |= (prints >> np.uint64(first) & np.uint64((1 << bits) - 1)) << np.uint64(at)
+        at += bits
     return out
 
 
-def anchors(prints: np.ndarray, cover: Cover, union: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def anchors(prints: np.ndarray, union: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(rows, anchors, home): the anchors within 2 of each fingerprint on the union, each once, the home first."""
-    x, bits = projected(prints, cover, union), cover.bits(union)
-    syndromes, pairs = TABLES[cover.code]
+    x, bits = projected(prints, union), bits_of(union)
     rows = np.arange(len(x))
     syndrome = np.zeros(len(x), np.uint64)
     for place in range(4):
-        syndrome ^= syndromes[place][(x >> np.uint64(8 * place) & np.uint64(0xFF)).astype(np.int64)]
+        syndrome ^= SYNDROMES[place][(x >> np.uint64(8 * place) & np.uint64(0xFF)).astype(np.int64)]
     off = syndrome > 0
     home = np.where(off, x ^ (np.uint64(1) << (np.maximum(syndrome, np.uint64(1)) - np.uint64(1))), x)
     yield rows, home, True
-    extra = range(cover.code, bits)
+    extra = range(CODE, bits)
     for b in extra:
         yield rows, home ^ np.uint64(1 << b), False
     on = rows[~off]
     for a, b in combinations(extra, 2):
         yield on, home[on] ^ np.uint64(1 << a | 1 << b), False
     far = rows[off]
-    for k in range(pairs.shape[1]):
-        yield far, x[far] ^ pairs[syndrome[far].astype(np.int64), k], False
-
-
-def replicate(cover: Cover):
-    """place (union, anchor and, last bit, 0 for home) and fingerprint: a row for each anchor of a fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(cover.halves)], 1)
-            for union in range(len(cover.unions)):
-                for rows, anchor, home in anchors(prints, cover, union):
-                    place = np.uint64(union) << np.uint64(40) | anchor << np.uint64(1) | np.uint64(not home)
-                    yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), *(pa.array(prints[rows, k].view(np.int64)) for k in range(cover.halves))], names=["place", *print_names(cover)])
-
-    return run
+    for k in range(PAIRS.shape[1]):
+        yield far, x[far] ^ PAIRS[syndrome[far].astype(np.int64), k], False
 
 
-def print_names(cover: Cover) -> list[str]:
-    return [f"print{k}" for k in range(cover.halves)]
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place (union, anchor and, last bit, 0 for home) and print: a row for each anchor of a fingerprint."""
+    for batch in batches:
+        prints = batch.column(0).to_numpy().view(np.uint64)
+        for union in range(len(UNIONS)):
+            for rows, anchor, home in anchors(prints, union):
+                place = np.uint64(union) << np.uint64(40) | anchor << np.uint64(1) | np.uint64(not home)
+                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(prints[rows].view(np.int64))], names=["place", "print"])
 
 
 def forest(homes: int, members: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """Places of links that connect what the pairs of one of the first ``homes`` members and any other connect.
 
-    members: distinct fingerprints, a row each. A home of the largest component so
+    members: distinct fingerprints. A home of the largest component so
     far is compared with what lies outside it only, so a dense group of copies
     costs about its size, not its square.
     """
@@ -204,7 +146,7 @@ def forest(homes: int, members: np.ndarray, most: int) -> tuple[list[int], list[
     main = -1
     for at in range(homes):
         look = outside if label[at] == main else everything
-        near = look[differing(members[look], members[at]) <= most]
+        near = look[np.bitwise_count(members[look] ^ members[at]) <= most]
         parts, first = np.unique(label[near], return_index=True)
         new = parts != label[at]
         if new.any():
@@ -216,92 +158,128 @@ def forest(homes: int, members: np.ndarray, most: int) -> tuple[list[int], list[
     return a, b
 
 
-def anchor_links(cover: Cover):
-    """Links a, b (nodes) of the fingerprints that meet at an anchor; the input is sorted by place, so homes come first."""
-
-    def linked(place: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        key = place >> 1
-        edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-        size = np.diff(edge, append=len(key))
-        home = np.add.reduceat((place & 1 == 0).astype(np.int64), edge)
-        keep = (home > 0) & (size > 1)
-        edge, size, home = edge[keep], size[keep], home[keep]
-        big = home * size > _ALL_PAIRS
-        left, right = [], []
-        for e, n, h in zip(edge[big].tolist(), size[big].tolist(), home[big].tolist(), strict=True):
-            x, y = forest(h, prints[e : e + n], cover.most)
-            left.append(e + np.array(x, np.int64)), right.append(e + np.array(y, np.int64))
-        edge, size, home = edge[~big], size[~big], home[~big]
-        for at in range(0, len(edge), _CHUNK // _ALL_PAIRS):  # the others: their pairs side by side, a bounded number at a time
-            e, n, h = (v[at : at + _CHUNK // _ALL_PAIRS] for v in (edge, size, home))
-            pairs = n * h
-            group = np.repeat(np.arange(len(e)), pairs)
-            k = np.arange(len(group)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-            x, y = e[group] + k // n[group], e[group] + k % n[group]
-            near = (x != y) & (differing(prints[x], prints[y]) <= cover.most)
-            left.append(x[near]), right.append(y[near])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        a, b = nodes(prints[x]).view(np.int64), nodes(prints[y]).view(np.int64)
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def linked(place: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a > b of the fingerprints of whole anchors; sorted by place, so homes come first."""
+    key = place >> 1
+    edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    size = np.diff(edge, append=len(key))
+    home = np.add.reduceat((place & 1 == 0).astype(np.int64), edge) if len(edge) else edge
+    keep = (home > 0) & (size > 1)
+    edge, size, home = edge[keep], size[keep], home[keep]
+    big = home * size > _ALL_PAIRS
+    left, right = [], []
+    for e, n, h in zip(edge[big].tolist(), size[big].tolist(), home[big].tolist(), strict=True):
+        x, y = forest(h, prints[e : e + n], MOST)
+        left.append(e + np.array(x, np.int64)), right.append(e + np.array(y, np.int64))
+    edge, size, home = edge[~big], size[~big], home[~big]
+    for at in range(0, len(edge), _CHUNK // _ALL_PAIRS):  # the others: their pairs side by side, a bounded number at a time
+        e, n, h = (v[at : at + _CHUNK // _ALL_PAIRS] for v in (edge, size, home))
+        pairs = n * h
+        group = np.repeat(np.arange(len(e)), pairs)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        x, y = e[group] + k // n[group], e[group] + k % n[group]
+        near = (x != y) & (np.bitwise_count(prints[x] ^ prints[y]) <= MOST)
+        left.append(x[near]), right.append(y[near])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    a, b = prints[x].view(np.int64), prints[y].view(np.int64)
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def anchor_links(run_length: int):
+    """a, b: links of the fingerprints that meet at an anchor; the input is sorted by place.
+
+    An anchor of more than ``run_length`` is linked run by run, its first home
+    beside every run, and its rows come again as place, a for the rest of its pairs.
+    """
+
+    def rows(a: np.ndarray, b: np.ndarray | None, place: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if place is None else pa.array(place)], names=["a", "b", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def whole() -> Iterator[pa.RecordBatch]:
-            if sum(len(p) for p, _ in held):
-                yield linked(np.concatenate([p for p, _ in held]), np.concatenate([f for _, f in held]))
+        number, key = 0, None  # rows held, the anchor of the last one
+        first: tuple[np.ndarray, np.ndarray] | None = None  # that anchor's first row, once it is linked run by run
+
+        def add(place: np.ndarray, prints: np.ndarray) -> None:
+            nonlocal number
+            held.append((place, prints))
+            number += len(place)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            if number:
+                place, prints = (np.concatenate(c) for c in zip(*held, strict=True))
+                if first:
+                    yield rows(prints.view(np.int64), None, place)
+                    place, prints = np.concatenate([first[0], place]), np.concatenate([first[1], prints])
+                yield rows(*linked(place, prints), None)
             held.clear()
+            number = 0
 
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            prints = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(cover.halves)], 1)
+            place, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(place):
                 continue
-            upto = int(np.searchsorted(place >> 1, place[-1] >> 1))  # the last key may go on in the next batch
-            if upto or held and held[-1][0][0] >> 1 != place[0] >> 1:
-                held.append((place[:upto], prints[:upto]))
-                yield from whole()
-            held.append((place[upto:], prints[upto:]))
-        yield from whole()
+            keys = place >> 1
+            if keys[-1] == key:
+                add(place, prints)
+            else:
+                own = 0 if key is None else int(np.searchsorted(keys, key, side="right"))  # goes on with the last anchor
+                upto = int(np.searchsorted(keys, keys[-1]))  # what follows may go on in the next batch
+                add(place[:own], prints[:own])
+                if first:
+                    yield from out()
+                    first = None
+                add(place[own:upto], prints[own:upto])
+                yield from out()
+                add(place[upto:], prints[upto:])
+                key = keys[-1]
+            if number > run_length:
+                first = first or (held[0][0][:1], held[0][1][:1])
+                yield from out()
+        yield from out()
 
     return run
 
 
-def print_links(prints: DataFrame, cover: Cover = EXACT) -> DataFrame:
-    """Links a, b of nodes that connect the distinct fingerprints (columns print0, ...) that meet and differ in few bits."""
-    names = print_names(cover)
-    placed = prints.select(*names).mapInArrow(replicate(cover), ", ".join(f"{c} long" for c in ["place", *names]))
+def print_links(prints: DataFrame, *, run_length: int = _RUN) -> DataFrame:
+    """Links a, b that connect the distinct fingerprints (column print) that meet and differ in few bits, a written table."""
+    placed = prints.select("print").mapInArrow(replicate, "place long, print long")
     met = placed.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
-    return met.mapInArrow(anchor_links(cover), "a long, b long")
+    found = written(met.mapInArrow(anchor_links(run_length), "a long, b long, place long"), "anchor-links")
+    links = found.filter("b is not null").select("a", "b")
+    dense = found.filter("b is null").select("place", F.col("a").alias("print"))
+    return links if dense.isEmpty() else written(links.unionByName(dense_links(dense, links)), "anchor-links")
 
 
-def printed_documents(docs: DataFrame, cover: Cover, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """doc_id, further columns, node and fingerprint words, as a written table."""
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, fingerprint_column(F.col(text_col), cover).alias("_words"))
-    named = [F.get("_words", F.lit(0)).alias("node"), *(F.get("_words", F.lit(k + 1)).alias(n) for k, n in enumerate(print_names(cover)))]
-    return written(made.select(*[c for c in made.columns if c != "_words"], *named), "prints")
+def dense_links(dense: DataFrame, links: DataFrame) -> DataFrame:
+    """Links at anchors that were linked run by run, of what lies outside their largest component with everything."""
+    roots = written(components(links).select(F.col("node").alias("print"), "root"), "roots")
+    placed = dense.select(F.shiftright("place", 1).alias("anchor"), (F.col("place") % 2 == 0).alias("home"), "print")
+    rooted = written(placed.join(small(roots, 32), "print", "left").withColumn("root", F.coalesce("root", "print")), "dense")
+    largest = rooted.groupBy("anchor", "root").agg(F.count("*").alias("size")).groupBy("anchor").agg(F.max(F.struct("size", "root")).alias("most"))
+    outside = rooted.join(largest.select("anchor", F.col("most.root").alias("main")), "anchor").filter("root <> main").drop("main")
+    x, y = outside.alias("x"), rooted.alias("y")
+    near = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.home") | F.col("y.home")) & (F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= MOST)
+    return x.join(y, near).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, a row per row of ``docs``.
 
     component_id is the smallest id of the documents reached by links of at most
-    four differing bits (``EXACT``), itself included. Texts without words, null ones
-    too, have fingerprint zero and are linked like others. Null ids are kept and
-    never name a component unless it has no other id. Repeated rows are kept;
-    further columns are left out; an empty table gives none.
+    four differing bits, itself included. Texts without words, null ones too, have
+    fingerprint zero and are linked like others. Null ids are kept and never name a
+    component unless it has no other id. Repeated rows are kept; further columns are
+    left out; an empty table gives none.
     """
-    printed = printed_documents(docs, EXACT, id_col, text_col)
-    named = component_of_prints(printed, EXACT)
-    out = printed.join(small(named, 40), "node")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("print0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def component_of_prints(printed: DataFrame, cover: Cover) -> DataFrame:
-    """node, component_id, root: a row per distinct fingerprint of a written table doc_id, node, print0, ..."""
-    first = written(printed.groupBy("node", *print_names(cover)).agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    return component_of_nodes(first, written(components(print_links(first, cover)), "roots"))
+    printed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("print")), "prints")
+    first = written(printed.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("first_id")), "distinct-prints")
+    named = component_of_nodes(first, written(components(print_links(first.select(F.col("node").alias("print")))), "roots"))
+    out = printed.join(small(named.withColumnRenamed("node", "print"), 40), "print")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def component_of_nodes(first: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -314,35 +292,44 @@ def component_of_nodes(first: DataFrame, rooted: DataFrame) -> DataFrame:
     return written(joined.select("node", F.when(alone, F.col("first_id")).otherwise(F.col("lowest")).alias("component_id"), F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root")), "components")
 
 
-def drop_near_duplicates(docs: DataFrame, cover: Cover | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def close_nodes(printed: DataFrame) -> DataFrame:
+    """Candidates a, b: nodes whose fingerprints are equal or linked; of a fingerprint's nodes the smallest stands for all."""
+    nodes = written(printed.select("node", "print").distinct(), "node-prints")
+    first = written(nodes.groupBy("print").agg(F.min("node").alias("first")), "distinct-prints")
+    equal = nodes.join(small(first, 32), "print").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = written(print_links(first.select("print")).distinct(), "links")
+    named = first.join(small(links, 32), F.col("print") == F.col("a")).select(F.col("first").alias("x"), F.col("b").alias("other"))
+    named = written(named, "links")
+    across = first.join(small(named, 32), F.col("print") == F.col("other")).select(F.col("x").alias("a"), F.col("first").alias("b"))
+    return equal.unionByName(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates, with the columns of ``docs``.
 
     Links are the pairs whose five-word shingles have a Jaccard coefficient of 0.8 or
-    more, all of them (``similar_texts``), or with a ``cover`` those of its fingerprints.
-    The row with the smallest id of the group stays; of rows of the group that share
-    it, one stays. A group without any id keeps a row of each of its sets of shingles
-    or fingerprints.
+    more: candidates by fingerprints of the shingles and their anchors, completed and
+    decided by exact coefficients (``similar_texts``). The row with the smallest id of
+    the group stays; of rows of the group that share it, one stays. A group without
+    any id keeps a row of each of its sets of shingles. Texts without words are one
+    group; an empty table gives no rows.
     """
-    row, mark = column_name(docs, "row_hash"), column_name(docs, "kept_row")
+    row = column_name(docs, "row_hash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]))
-    if cover:
-        printed = printed_documents(hashed, cover, id_col, text_col, F.col(row).alias("row"))
-        repeated = _repeats(printed)
-        placed = printed.join(small(component_of_prints(printed, cover), 48), "node")
-    else:
-        made = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), prefix_column(F.col(text_col), *frequent(docs, text_col)).alias("_words"))
-        printed = written(made.select("doc_id", "row", F.get("_words", F.lit(0)).alias("node"), F.get("_words", F.lit(1)).alias("n"), F.slice("_words", F.lit(3), F.size("_words")).alias("prefix")), "prints")
-        repeated = _repeats(printed)
-        first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-        placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted_texts(hashed, printed, row, text_col, repeated)), 48), "node")
-    # of a component's rows with its id, or of those with one node where there is no id, one
-    named = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.when(F.col("doc_id").isNull(), F.col("node")).alias("n"))
-    kept = written(named.agg(F.min("row").alias(mark)).select(mark).distinct(), "kept")
-    out = hashed.join(kept, F.col(row) == F.col(mark), "left_semi")
-    return (out.dropDuplicates([row]) if repeated else out).select(*columns)
-
-
-def _repeats(printed: DataFrame) -> bool:
-    """Whether some row is there twice, so that a row's hash names several."""
-    return bool(printed.groupBy("row").count().filter("count > 1").limit(1).count())
+    whole = [F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]]
+    hashed = docs.withColumn(row, F.struct(F.xxhash64(*whole).alias("h"), F.xxhash64(F.lit(7), *whole).alias("k")))  # 128 bits tell rows apart
+    made = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), measured_column(F.col(text_col), *frequent(docs, text_col)).alias("_m"))
+    printed = written(made.select("doc_id", "row", *[F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print"))], F.slice("_m", F.lit(4), F.size("_m")).alias("prefix")), "prints")
+    rooted = rooted_texts(hashed, printed, row, text_col, close_nodes(printed))
+    first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-nodes")
+    placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted), 48), "node")
+    # rows that may stay are those with the component's id; where there is none, every node is a group
+    may = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    grouped = written(placed.select("row", may.alias("may"), F.when(F.col("component_id").isNull(), F.col("node")).otherwise(F.col("root")).alias("group")), "groups")
+    several = written(grouped.groupBy("group").agg(F.min(F.when(F.col("may"), F.col("row"))).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n"), "several")
+    decided = written(grouped.join(small(several, 64), "group").groupBy("row").agg(F.first(F.col("row") == F.col("kept")).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "decided")
+    gone, repeated = decided.select(F.col("row").alias("_row")), decided.filter("stays").select(F.col("row").alias("_row"))
+    out = hashed.join(small(gone, 40), F.col(row) == F.col("_row"), "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(hashed.join(small(repeated, 40), F.col(row) == F.col("_row"), "left_semi").dropDuplicates([row]))
+    return out.select(*columns)

@@ -1,15 +1,22 @@
 """All pairs of texts whose five-word shingles have a Jaccard coefficient of 0.8 or more.
 
 A text is the set of its distinct shingles, as 64-bit hashes; texts of one set are
-one node. With the shingles of all texts in one order, two sets with coefficient
-0.8 share one among the first n - ceil(0.8 n) + 1 of each (prefix filter), so every
-such pair meets at a shingle. At the first shingle they share, the places in
-both sets bound the overlap, and so do the numbers of shingles in ranges of hashes, which
-drops most other pairs. What is left is counted exactly. The order puts shingles first that a sample shows to be rare: it decides
-how many pairs are looked at, never which are linked.
-
-At a shingle of many texts a few of them are first compared with all others; then
-the pairs that are still in different components are compared, all of them.
+one node. Links come in two steps, and every link is decided by the exact
+coefficient of the two texts.
+
+First the SimHash of the sets gives candidates by covering anchors
+(``near_duplicates``), which finds the closest texts and joins most of a group of
+copies at the price of its size. Fingerprints can't find the rest: at a coefficient
+of 0.8 they differ in about 9 of 64 bits. So an exact step completes what they
+found. With the shingles of all texts in one order, two sets with coefficient 0.8
+share one among the first n - ceil(0.8 n) + 1 of each (prefix filter), so every
+such pair meets at a shingle, where the places in both sets bound the overlap.
+Pairs that are in one component by then are passed over. The order puts shingles
+first that a sample shows to be rare: it decides how many pairs are looked at,
+never which are linked.
+
+At a shingle of many texts, a few of them are first compared with all others; then
+the texts outside the shingle's largest component are compared with all of it.
 """
 
 from __future__ import annotations
@@ -18,9 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
@@ -32,6 +38,7 @@ _SAMPLE = 0.125  # share of the texts in the sketch
 _ALL_PAIRS = 64  # texts of a shingle up to which all pairs are compared at once
 _CENTRES = 8  # texts of a larger one that are compared with all others first
 _CHUNK = 1 << 16  # rows of a batch
+MADE = "array<long>"  # node, number of shingles, fingerprint, prefix
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -54,6 +61,12 @@ def node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 42)
 
 
+def simhash(found: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the distinct shingles."""
+    counts = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+
+
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of hashes that are frequent in a sample, sorted, and their counts."""
 
@@ -88,54 +101,18 @@ def prefix(found: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.nda
     return found[np.argsort(weight, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
-def prefix_column(text: Column, buckets: np.ndarray, counts: np.ndarray) -> Column:
-    """Array of node, number of shingles and prefix of a text column; null counts as empty."""
+def measured_column(text: Column, buckets: np.ndarray, counts: np.ndarray) -> Column:
+    """Array (MADE) of node, number of shingles, fingerprint and prefix of a text column; null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             found = shingles(t.as_py() or b"")
-            out.append(np.concatenate([np.array([node(found), len(found)], np.uint64), prefix(found, buckets, counts)]).view(np.int64))
+            out.append(np.concatenate([np.array([node(found), len(found), simhash(found)], np.uint64), prefix(found, buckets, counts)]).view(np.int64))
         offsets = np.cumsum([0, *(len(v) for v in out)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
-    return F.arrow_udf(run, "array<long>")(text.cast("binary"))
-
-
-def counts_column(text: Column) -> Column:
-    """Shingles of a text by range of their hashes, as 16-bit numbers; none where one is larger.
-
-    There are about half as many ranges as shingles, a power of two.
-    """
-
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            found = shingles(t.as_py() or b"")
-            bits = max(1, len(found).bit_length() - 2)
-            counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            out.append(counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None)
-        return pa.array(out, pa.binary())
-
-    return F.arrow_udf(run, "binary")(text)
-
-
-def bounded_column(x: Column, y: Column) -> Column:
-    """Whether two texts with these counts can have a coefficient of 0.8; no pair that has it is refused."""
-
-    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(xs, ys, strict=True):
-            if p.as_py() is None or q.as_py() is None:
-                out.append(True)
-                continue
-            u, v = (np.frombuffer(c.as_py(), "<u2").astype(np.int64) for c in (p, q))
-            few = min(len(u), len(v))
-            u, v = u.reshape(few, -1).sum(1), v.reshape(few, -1).sum(1)
-            out.append(bool(9 * np.minimum(u, v).sum() >= 4 * (u.sum() + v.sum())))
-        return pa.array(out, pa.bool_())
-
-    return F.arrow_udf(run, "boolean")(x, y)
+    return F.arrow_udf(run, MADE)(text.cast("binary"))
 
 
 def similar_column(x: Column, y: Column) -> Column:
@@ -154,122 +131,72 @@ def similar_column(x: Column, y: Column) -> Column:
     return F.arrow_udf(run, "boolean")(x, y)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key (a shingle), node, and number of shingles and place in one: a row per shingle of a prefix."""
-    for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
-        name, n, lists = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
-        sizes = pc.list_value_length(lists).to_numpy()
-        key = lists.flatten().to_numpy()
-        place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(name, sizes)), pa.array(np.repeat(n, sizes) << 32 | place)], names=["key", "node", "size"])
-
-
-def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets with these numbers and places can have coefficient 0.8, if the shingle is the first they share."""
-    (n, i), (m, j) = ((v >> 32, v & 0xFFFFFFFF) for v in (x, y))
-    return 9 * np.minimum(n - i, m - j) >= 4 * (n + m)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of keys; the input is sorted by key, its first column."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        upto = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
-        if upto or held and held[-1][0][0] != columns[0][0]:
-            held.append([c[:upto] for c in columns])
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = []
-        held.append([c[upto:] for c in columns])
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return edge, np.diff(edge, append=len(key))
-
-
-def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: pairs to compare; and a, key, size: the texts of a shingle that has many, to be looked at again."""
-    for key, name, size in _groups(batches):
-        edge, many = _runs(key)
-        left, right, again = [], [], []
-        for e, n in zip(edge[many > _ALL_PAIRS].tolist(), many[many > _ALL_PAIRS].tolist(), strict=True):
-            again.append(np.arange(e, e + n))
-            for c in range(e, e + _CENTRES):
-                left.append(np.full(e + n - c - 1, c)), right.append(np.arange(c + 1, e + n))
-        for n in range(2, _ALL_PAIRS + 1):
-            at = edge[many == n]
-            if len(at):
-                i, j = np.triu_indices(n, 1)
-                left.append((at[:, None] + i).ravel()), right.append((at[:, None] + j).ravel())
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        near = possible(size[x], size[y])
-        a, b = _ordered(name[x[near]], name[y[near]])
-        none = pa.nulls(len(a), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names=["a", "b", "key", "size"])
-        z = np.concatenate(again) if again else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(name[z]), pa.nulls(len(z), pa.int64()), pa.array(key[z]), pa.array(size[z])], names=["a", "b", "key", "size"])
-
-
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: the pairs of a shingle that lie in different components."""
-    for key, name, size, root in _groups(batches):
-        left, right, held = [], [], 0
-        for e, n in zip(*(v.tolist() for v in _runs(key)), strict=True):
-            own = root[e : e + n]
-            for k in range(n) if (own != own[0]).any() else ():
-                to = e + k + 1 + np.flatnonzero((own[k + 1 :] != own[k]) & possible(size[e + k], size[e + k + 1 : e + n]))
-                left.append(np.full(len(to), name[e + k])), right.append(name[to])
-                held += len(to)
-                if held > _CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in _ordered(np.concatenate(left), np.concatenate(right))], names=["a", "b"])
-                    left, right, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _ordered(np.concatenate(left), np.concatenate(right))], names=["a", "b"])
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b of nodes whose texts (node, text, counts) have a coefficient of 0.8 or more."""
-    counted = texts.select("node", "counts")
-    close = pairs.join(counted.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(counted.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
-    pairs = written(close.filter(bounded_column(F.col("x"), F.col("y"))).select("a", "b"), "close-pairs")
+def similar(pairs: DataFrame, rows: DataFrame, printed: DataFrame, row: str, text_col: str) -> DataFrame:
+    """The pairs a, b of nodes, a written table, whose texts have a coefficient of 0.8 or more, written.
+
+    rows: texts and a hash ``row`` of each row; printed: row, node. Texts are dealt to
+    their pairs, as they take less room than their shingles.
+    """
+    needed = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+    first = written(printed.join(small(needed, 24), "node", "left_semi").groupBy("node").agg(F.min("row").alias("first_row")), "rows")
+    texts = rows.join(small(first, 48), F.col(row) == F.col("first_row")).select("node", F.col(text_col).cast("binary").alias("text"))
+    texts = written(texts, "texts").dropDuplicates(["node"])
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.filter(similar_column(F.col("x"), F.col("y"))).select("a", "b")
+    return written(both.filter(similar_column(F.col("x"), F.col("y"))).select("a", "b"), "similar")
 
 
-def rooted_texts(rows: DataFrame, printed: DataFrame, row: str, text_col: str, repeated: bool) -> DataFrame:
-    """node, root of the nodes that are linked to others.
+def met_at_shingles(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, n, place, root, many: the prefixes' shingles that several nodes have, many being their number, written.
 
-    rows: texts and a hash ``row`` of each row, ``repeated`` if some hash is there twice;
-    printed: a written table row, node, n, prefix. Texts are dealt to their pairs, as
-    they take less room than their shingles.
+    nodes: node, n, prefix, a row per node; roots: node, root of the nodes that are linked so far.
     """
-    spread = printed.select("node", "n", "prefix").dropDuplicates(["node"]).mapInArrow(_spread, "key long, node long, size long")
-    met = spread.repartition("key").sortWithinPartitions("key", "node")
-    found = written(met.mapInArrow(_first_pairs, "a long, b long, key long, size long"), "candidates")
-    pairs = written(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    again = found.filter("b is null").select("key", F.col("a").alias("node"), "size")
-    needed = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(again.select("node")).distinct(), "needed")
-    first = written(printed.join(small(needed, 24), "node", "left_semi").groupBy("node").agg(F.min("row").alias("first_row")), "rows")
-    texts = rows.join(small(first, 32), F.col(row) == F.col("first_row")).select("node", F.col(text_col).cast("binary").alias("text"))
-    texts = texts.dropDuplicates(["node"]) if repeated else texts
-    texts = written(texts.withColumn("counts", counts_column(F.col("text"))), "texts")
-    links = written(_similar(pairs, texts), "similar")
+    rooted = nodes.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = rooted.select("node", "n", "root", F.posexplode("prefix").alias("place", "key"))
+    counted = spread.withColumn("many", F.count("*").over(Window.partitionBy("key")))
+    return written(counted.filter("many > 1").select("key", "node", "n", "place", "root", "many"), "met")
+
+
+def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a > b: the nodes that meet at a key, lie in different components, and may have coefficient 0.8, written.
+
+    If the key is the first shingle that two sets share, they share at most what
+    follows it in the smaller rest; the pair is looked at there at the latest.
+    """
+    x, y = left.alias("x"), right.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (9 * rest >= 4 * (F.col("x.n") + F.col("y.n")))
+    both = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    return written(both.distinct(), "pairs")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """All pairs of a shingle that few nodes have, and those with a few centres of any other."""
+    few, lots = met.filter(F.col("many") <= _ALL_PAIRS), met.filter(F.col("many") > _ALL_PAIRS)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    centres = lots.withColumn("nth", nth).filter(F.col("nth") <= _CENTRES).drop("nth")
+    return pairs_of(few.unionByName(lots), few.unionByName(centres))
+
+
+def other_pairs(lots: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of a shingle that lie in different components: whoever is outside its largest, with all."""
+    placed = written(lots.drop("root").join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node")), "met")
+    largest = placed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"))
+    outside = placed.join(largest.select("key", F.col("most.root").alias("main")), "key").filter("root <> main").drop("main")
+    return pairs_of(outside, placed)
+
+
+def rooted_texts(rows: DataFrame, printed: DataFrame, row: str, text_col: str, candidates: DataFrame) -> DataFrame:
+    """node, root of the nodes that are linked to others, a written table.
+
+    rows: texts and a hash ``row`` of each row; printed: a written table row, node, n,
+    print, prefix; candidates: pairs a, b of nodes by their fingerprints.
+    """
+    links = similar(written(candidates, "pairs"), rows, printed, row, text_col)
     rooted = written(components(links), "roots")
-    if again.isEmpty():
-        return rooted
-    placed = again.join(small(rooted, 32), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    more = placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_other_pairs, "a long, b long")
-    more = written(more.distinct(), "pairs")
-    if more.isEmpty():
+    met = met_at_shingles(printed.select("node", "n", "prefix").dropDuplicates(["node"]), rooted)
+    links = links.unionByName(similar(first_pairs(met), rows, printed, row, text_col))
+    rooted = written(components(links), "roots")
+    lots = met.filter(F.col("many") > _ALL_PAIRS)
+    if lots.isEmpty() or (more := other_pairs(lots, rooted)).isEmpty():
         return rooted
-    return written(components(links.union(_similar(more, texts))), "roots")
+    return written(components(links.unionByName(similar(more, rows, printed, row, text_col))), "roots")
