@@ -27,6 +27,69 @@ def test_pipeline_interface():
         ner.predict_batch([])
 
 
+def test_evaluate_lists():
+    ner = entities.NERPipeline()
+    gold = [[{"word": "jehan rousseau", "entity_group": "PER"}], [{"word": "Lyon", "entity_group": "ORG"}]]
+    assert ner.evaluate(TEXTS[:2], gold) == {"precision": 0.25, "recall": 0.5, "f1": 0.3333, "n_pred": 4, "n_gold": 2, "n_correct": 1}
+    assert ner.evaluate([], []) == {"precision": 0.0, "recall": 0.0, "f1": 0.0, "n_pred": 0, "n_gold": 0, "n_correct": 0}
+    with pytest.raises(ValueError, match="2 texts and 1"):
+        ner.evaluate(TEXTS[:2], gold[:1])
+
+
+def test_a_text_s_error_is_its_own(spark):
+    class Fails:
+        """A predictor that can't take one word."""
+
+        def __call__(self, texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("poison")
+            return [[{"word": "w", "entity_group": "MISC", "score": 1.0, "start": 0, "end": 1}] for _ in texts]
+
+    df = spark.createDataFrame([(i, "poison here" if i == 7 else None if i == 8 else f"text {i}") for i in range(40)], "i int, text string").repartition(1)
+    rows = {r["i"]: r for r in entities.analyze(df, "text", Fails).collect()}
+    assert rows[7]["problem"] == "RuntimeError: poison" and rows[7]["n_entities"] == 0 and rows[8]["problem"] == "blank"
+    assert all(rows[i]["n_entities"] == 1 and rows[i]["problem"] is None for i in range(40) if i not in (7, 8))
+    assert [tuple(r) for r in entities.entity_errors(df, "i", "text", Fails).collect()] == [(7, "RuntimeError: poison")]
+    assert entities.entity_table(df, "i", "text", Fails).count() == 38
+
+
+def test_a_worker_makes_one_predictor(monkeypatch):
+    monkeypatch.setattr(entities, "_made", {})
+    made = []
+    make = lambda: made.append(1) or len(made)
+    assert [entities._predictor(b"a", make), entities._predictor(b"a", make), entities._predictor(b"b", make)] == [1, 1, 2]
+
+
+def test_only_texts_are_taken(spark):
+    from vellumflow import api
+    from vellumflow.functions import text
+    from vellumflow.operators import stats
+
+    numbers = spark.createDataFrame([(42,)], "text int")
+    for call in (lambda: text.with_normalized(numbers), lambda: entities.analyze(numbers), lambda: stats.normalization_impact(numbers), lambda: api.analyze_texts(spark, [42])):
+        with pytest.raises(TypeError, match="texts are expected"):
+            call()
+
+
+def test_http_answers(spark):
+    import json
+    import threading
+    import urllib.request
+
+    from vellumflow import serve
+
+    assert serve.answer(spark, "GET", "/health", b"")[1]["status"] == "ok"
+    assert [serve.answer(spark, m, p, b)[0] for m, p, b in (("GET", "/x", b""), ("GET", "/analyze", b""), ("POST", "/analyze", b'{"text": "  "}'), ("POST", "/analyze", b"{}"), ("POST", "/analyze", b"["), ("POST", "/analyze", b'{"text": 5}'))] == [404, 405, 422, 422, 422, 422]
+    http = serve.server(spark, 0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        ask = urllib.request.Request(f"http://127.0.0.1:{http.server_port}/analyze", json.dumps({"text": TEXTS[0]}).encode())
+        got = json.loads(urllib.request.urlopen(ask).read())
+    finally:
+        http.shutdown()
+    assert got["original"] == TEXTS[0] and [e["word"] for e in got["entities"]] == ["Jehan Rousseau", "Paris"]
+
+
 def test_analyze(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
     rows = entities.analyze(df).orderBy("i").collect()

@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,8 +43,58 @@ def test_mcnemar(spark):
 
 def test_bootstrap(spark):
     df = spark.createDataFrame([(i, float(i % 4 == 0)) for i in range(400)], "i int, v double")
-    low, high, n = metrics.bootstrap_ci(df, "i", "v", rounds=300).first()
+    low, high, n = metrics.bootstrap_ci(df, "v", rounds=300).first()
     assert 0.19 < low < 0.25 < high < 0.31 and n == 300
+    assert abs(low - 0.2076) < 0.015 and abs(high - 0.2924) < 0.015  # 0.25 -+ 1.96 standard errors
+    one_by_one = metrics.bootstrap_ci(df, "v", rounds=300, few=1000).first()
+    assert abs(one_by_one["low"] - low) < 0.015 and abs(one_by_one["high"] - high) < 0.015
+    assert metrics.bootstrap_ci(df.limit(0), "v", rounds=10).first()["n_rounds"] == 0
+    same = metrics.bootstrap_ci(spark.createDataFrame([(None,), (2.5,), (2.5,)], "v double"), "v", rounds=50).first()
+    assert (same["low"], same["high"]) == (2.5, 2.5)
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_in_every_band(spark):
+    rng, rows = random.Random(3), []
+    for n, changes in ((0, 0), (5, 9), (60, 0), (60, 3), (60, 20), (400, 40), (700, 500), (900, 300)):
+        a = [rng.choice("abcdé😀́") for _ in range(n)]
+        b = list(a)
+        for _ in range(changes):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("xyzß")) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        rows.append(("".join(a), "".join(b)))
+    rows.append(("", "abc"))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", metrics.edit_distance(F.col("a"), F.col("b")).alias("d"), metrics.token_distance(F.split("a", ""), F.split("b", "")).alias("t")).collect()
+    for r in got:
+        assert r["d"] == table_distance(r["a"], r["b"])
+        if r["a"] and r["b"]:
+            assert r["t"] == r["d"]
+    nulls = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string")
+    assert [r[0] for r in nulls.select(metrics.edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None]
+
+
+def test_word_distances_as_folded(spark):
+    rows = [("a b c", "a c"), ("", "x y"), ("x x x y", "x y x"), ("one", "two three"), ("p q r s t", "p r q s")]
+    df = spark.createDataFrame(rows, "a string, b string").select(metrics.words(F.col("a")).alias("a"), metrics.words(F.col("b")).alias("b"))
+    for r in df.select("a", "b", metrics.token_distance(F.col("a"), F.col("b")).alias("d"), metrics.folded_distance(F.col("a"), F.col("b")).alias("f")).collect():
+        assert r["d"] == r["f"] == table_distance(r["a"], r["b"])
+
+
+def test_first_last_and_allowed(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(10)], "i int, source_corpus string")
+    assert [r["i"] for r in corpus.first_rows(df, ["i"]).collect()] == [0]
+    assert [r["i"] for r in corpus.last_rows(df, ["i"], 3).collect()] == [7, 8, 9]
+    assert corpus.last_rows(df.limit(0), ["i"]).collect() == []
+    kinds = spark.createDataFrame([("s0", "CC-BY-4.0 "), ("s1", "secret"), (None, "cc0")], "source_corpus string, license string")
+    assert {r["i"] for r in corpus.allowed_sources(df, kinds, ["cc-by-4.0", "CC0"]).collect()} == {0, 3, 6, 9}
 
 
 def test_review(spark):
@@ -165,6 +217,6 @@ def test_requests_and_commands(spark, tmp_path, capsys):
     cli.main(["evaluate", str(tmp_path / "in")])
     assert '"accuracy": 1.0' in capsys.readouterr().out
     cli.main(["tei", str(tmp_path / "in"), str(tmp_path / "t")])
-    assert spark.read.text(str(tmp_path / "t")).count() == 60
+    assert spark.read.parquet(str(tmp_path / "t")).filter("tei like '<TEI%'").count() == 60
     with pytest.raises(SystemExit):
         cli.main(["transcribe", "x"])

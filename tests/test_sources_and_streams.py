@@ -1,4 +1,6 @@
 import json
+import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -76,8 +78,44 @@ def test_crops_and_tei_files(spark, tmp_path):
     df = spark.createDataFrame([({"height": 2, "width": 3, "data": bytearray(b"abcdef")}, {"x0": 1, "y0": 0, "x1": 9, "y1": 1})], "image struct<height:int,width:int,data:binary>, box struct<x0:int,y0:int,x1:int,y1:int>")
     cut = writers.crops(df).first()["crop"]
     assert (cut["height"], cut["width"], bytes(cut["data"])) == (1, 2, b"bc")
-    writers.write_tei(spark.createDataFrame([("d1", "<TEI>é</TEI>")], "id string, tei string"), str(tmp_path / "t"), "id")
-    assert spark.read.text(str(tmp_path / "t" / "id=d1")).first()[0] == "<TEI>é</TEI>"
+    documents = [("d1", "<TEI>é</TEI>"), ("d2", "<TEI>\n  two lines\n</TEI>\n")]
+    made = spark.createDataFrame(documents, "id string, tei string")
+    writers.write_tei(made, str(tmp_path / "t"), "id")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == documents  # line breaks stay
+    assert writers.write_tei_files(made, str(tmp_path / "f"), "id") == 2
+    assert [(tmp_path / "f" / f"{i}.xml").read_text() for i, _ in documents] == [d for _, d in documents]
+
+
+def test_numbered_png_crops(spark, tmp_path):
+    schema = "n int, image struct<height:int,width:int,data:binary>, box struct<x0:int,y0:int,x1:int,y1:int>"
+    image = {"height": 2, "width": 3, "data": bytearray(b"abcdef")}
+    df = spark.createDataFrame([(2, image, {"x0": 1, "y0": 0, "x1": 9, "y1": 2}), (1, image, {"x0": 0, "y0": 1, "x1": 1, "y1": 2}), (3, image, {"x0": 3, "y0": 0, "x1": 3, "y1": 2})], schema)
+    rows = writers.numbered_crops(df, ["n"]).orderBy("name").collect()
+    assert [(r["n"], r["name"]) for r in rows] == [(1, "line_00000.png"), (2, "line_00001.png"), (3, "line_00002.png")] and rows[2]["png"] is None
+    assert writers.write_files(writers.numbered_crops(df, ["n"]).filter("png is not null"), str(tmp_path / "c"), "name", "png") == 2
+    raw, at, chunks = (tmp_path / "c" / "line_00001.png").read_bytes(), 8, {}
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    while at < len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        chunks[kind] = raw[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", raw[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + chunks[kind])
+        at += 12 + size
+    assert list(chunks) == [b"IHDR", b"IDAT", b"IEND"] and struct.unpack(">IIBBBBB", chunks[b"IHDR"]) == (2, 2, 8, 0, 0, 0, 0)
+    assert zlib.decompress(chunks[b"IDAT"]) == b"\0bc\0ef"
+
+
+def test_pairs_skip_missing_images(spark, tmp_path):
+    (tmp_path / "i.png").write_bytes(b"x")
+    df = spark.createDataFrame([("images/i.png", "one"), ("images/j.png", "two")], "image_path string, text string")
+    assert writers.write_pairs(df, str(tmp_path / "p"), files=readers.list_files(spark, str(tmp_path), ".png")) == 1
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [("i", "images/i.png", "one")]
+
+
+def test_arrow_files_are_written(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "concat('t', id) AS text").repartition(2)
+    assert writers.write_arrow(df, str(tmp_path / "a"), {"lines": '{"counts": 10}'}) == 2
+    assert sorted(map(tuple, readers.read_arrow_files(spark, str(tmp_path / "a"), "id long, text string").collect())) == [(i, f"t{i}") for i in range(10)]
+    assert {(r["key"], r["value"]) for r in readers.arrow_metadata(spark, str(tmp_path / "a")).collect()} == {("lines", '{"counts": 10}')}
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -18,6 +18,8 @@ def analyze_texts(spark: SparkSession, texts: list[str], make=GazetteerPredictor
 
     A text of which the rules leave nothing has no entities.
     """
+    if bad := [type(t).__name__ for t in texts if t is not None and not isinstance(t, str)]:
+        raise TypeError(f"texts are expected, not {bad[0]}")
     if any(t is None or not t.strip() for t in texts):
         raise ValueError("a text is blank")
     rows = analyze(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", make).orderBy("i").collect()

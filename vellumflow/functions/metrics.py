@@ -10,9 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Distances up to which an edit distance is looked for in a band, one after the other.
+BANDS = (4, 32, 256)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance in code points: none for equal texts, and else by the narrowest band that holds it.
+
+    A band of width t costs t times the length, so near texts don't cost the square of it.
+    """
+    banded = [F.element_at(F.transform(F.array(F.levenshtein(a, b, t)), lambda d: F.when(d >= 0, d)), 1) for t in BANDS]
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+
+
 def cer(pred: Column, gold: Column) -> Column:
     """Edit distance over the gold text's length in code points; 0 for an empty gold text, may exceed 1."""
-    return F.when(F.length(gold) == 0, F.lit(0.0)).otherwise(F.levenshtein(pred, gold) / F.length(gold))
+    return F.when(F.length(gold) == 0, F.lit(0.0)).otherwise(edit_distance(pred, gold) / F.length(gold))
 
 
 def words(text: Column) -> Column:
@@ -20,6 +33,24 @@ def words(text: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of texts.
+
+    Each distinct token becomes one code point, and the two strings are compared;
+    a pair with more tokens than there are code points is folded row by row.
+    """
+    known = F.array_distinct(F.concat(a, b))
+
+    def spelt(tokens: Column) -> Column:
+        units = F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(known, t) + 255), 4, "0"))
+        return F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")
+
+    return F.when(F.size(known) < _CODES, edit_distance(spelt(a), spelt(b))).otherwise(folded_distance(a, b))
+
+
+_CODES = 0xD800 - 256  # code points from 256 on, below those that UTF-16 keeps for itself
+
+
+def folded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays, one row of the table folded after the other."""
     n = F.size(b)
     start = F.sequence(F.lit(0), n)
@@ -139,20 +170,32 @@ def chi2_p(chi2: float) -> float:
     return math.erfc(math.sqrt(max(0.0, chi2) / 2))
 
 
-def bootstrap_ci(df: DataFrame, id_col: str, value_col: str, *, rounds: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean, each round weighting rows by a hash-drawn Poisson(1) count.
-
-    Rows are exploded over rounds on the map side and pre-aggregated per round, so
-    only ``rounds`` rows are shuffled per task, however many rows ``df`` has.
-    """
-    each = df.select(F.col(id_col).cast("string").alias("_id"), F.col(value_col).cast("double").alias("_v")).filter("_v is not null").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_r", "_id")), 1, 13), 16, 10).cast("double") / float(16**13)
+def poisson(u: Column) -> Column:
+    """The Poisson(1) count of a number in [0, 1)."""
     steps, total, p = [], 0.0, math.exp(-1)
     for k in range(8):
         total += p
         steps.append(total)
         p /= k + 1
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    means = each.groupBy("_r").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("m"))
+    return sum(((u >= s).cast("int") for s in steps), F.lit(0))
+
+
+def bootstrap_ci(df: DataFrame, value_col: str, *, rounds: int = 1000, seed: int = 42, level: float = 0.95, few: int = 64) -> DataFrame:
+    """Percentile interval of the mean, each round weighting rows by Poisson(1) counts drawn from hashes.
+
+    Equal values are counted first, and a round draws once for a value: its rows'
+    counts add up to a Poisson count of their number, near a normal one where they
+    are more than ``few``; the rows of a rarer value draw one by one. So the work
+    is rounds times distinct values, whatever the rows, and draws are summed by
+    round before the shuffle.
+    """
+    counts = df.select(F.col(value_col).cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("_c"))
+    each = counts.withColumn("_i", F.explode(F.when(F.col("_c") > few, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "_c"))))
+    each = each.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "_r", "_v", "_i").cast("binary"))
+    u, w = (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / float(16**13) for at in (1, 14))
+    normal = F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * w)
+    weight = F.when(F.col("_i") == 0, F.greatest(F.lit(0.0), F.floor(F.col("_c") + F.sqrt("_c") * normal + 0.5).cast("double"))).otherwise(poisson(u).cast("double"))
+    means = each.groupBy("_r").agg(F.try_divide(F.sum(F.col("_v") * weight), F.sum(weight)).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high"), F.count("m").alias("n_rounds"))

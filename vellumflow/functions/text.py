@@ -12,6 +12,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Abbreviations and their expansions.
 ABBREVIATIONS = {
@@ -130,8 +131,17 @@ def normalize(text: Column, *, expand_abbr: bool = True, uv_ij: bool = True, pun
     return normalize_punctuation(out) if punct else out
 
 
+def text_column(df: DataFrame, name: str) -> Column:
+    """A column of texts; TypeError for any other type, which would be cast without a word otherwise."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, StringType):
+        raise TypeError(f"column {name} is {kind.simpleString()}; texts are expected")
+    return F.col(name)
+
+
 def with_normalized(df: DataFrame, text_col: str = "text", out: str = "normalized", **options) -> DataFrame:
-    """``df`` and the normalised text, or null for null."""
+    """``df`` and the normalised text, or null for null; TypeError if the column isn't one of texts."""
+    text_column(df, text_col)
     return df.withColumn(out, normalize(F.col(text_col), **options))
 
 

@@ -83,6 +83,22 @@ def value_counts(df: DataFrame, col: str, *, normalize: bool = False, digits: in
     return counts.join(F.broadcast(total)).select(col, F.round(F.col("n") / F.col("_total"), digits).alias("share")).orderBy(F.desc("share"), col)
 
 
+def first_rows(df: DataFrame, order: list[str], n: int = 1) -> DataFrame:
+    """The first ``n`` rows in an order; each task passes on ``n`` at most."""
+    return df.orderBy(*order).limit(n)
+
+
+def last_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The last ``n`` rows in an order (nulls are its first), in that order."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def allowed_sources(df: DataFrame, sources: DataFrame, allowed: list[str], *, source: str = "source_corpus", license_col: str = "license") -> DataFrame:
+    """Rows whose source has an allowed licence, by a table of sources; sources that it lacks are refused."""
+    good = sources.filter(F.lower(F.trim(license_col)).isin([a.lower().strip() for a in allowed])).select(F.col(source).alias("_source")).distinct()
+    return df.join(good, F.col(source) == F.col("_source"), "left_semi")
+
+
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer), those with the smallest hash of seed and id."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)

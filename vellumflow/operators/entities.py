@@ -11,11 +11,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumflow.functions.text import is_blank, normalize, prefix
+from vellumflow.functions.text import is_blank, normalize, prefix, text_column
 from vellumflow.operators.corpus import column_or
 
 ENTITY = T.StructType([T.StructField("word", T.StringType()), T.StructField("entity_group", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -73,44 +74,101 @@ class NERPipeline:
             self._predictor = self._make()
         return self._predictor(texts)
 
+    def evaluate(self, texts: list[str], gold: list[list[dict]]) -> dict:
+        """Scores of the predictions against each text's gold entities, as of the table form; ValueError for unequal lengths."""
+        if len(texts) != len(gold):
+            raise ValueError(f"{len(texts)} texts and {len(gold)} lists of gold entities")
+        sets = [[{(e["word"].lower(), e["entity_group"]) for e in es} for es in side] for side in (self.predict_batch(texts) if texts else [], gold)]
+        n_pred, n_gold = (sum(map(len, side)) for side in sets)
+        n_correct = sum(len(p & g) for p, g in zip(*sets, strict=True))
+        p, r = n_correct / max(1, n_pred), n_correct / max(1, n_gold)
+        f1 = 2 * p * r / (p + r) if p + r else 0.0
+        return {"precision": round(p, 4), "recall": round(r, 4), "f1": round(f1, 4), "n_pred": n_pred, "n_gold": n_gold, "n_correct": n_correct}
 
-def entities_column(text: Column, make: Callable[[], Predictor] = GazetteerPredictor, name: str = "gazetteer") -> Column:
-    """Array of entities; null and blank texts have null. The predictor is made once per worker."""
 
-    @F.pandas_udf(T.ArrayType(ENTITY))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predictor = make()
+_made: dict[bytes, Predictor] = {}  # this worker's predictors, by what makes them
+
+
+def _predictor(key: bytes, make: Callable[[], Predictor]) -> Predictor:
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _each(predictor: Predictor, texts: list[str]) -> Iterator[tuple[list[dict], str | None]]:
+    """Entities and null, or none and the error, for each text; one by one only if the batch fails."""
+    try:
+        yield from ((found, None) for found in predictor(texts))
+        return
+    except Exception:  # noqa: BLE001  any text may be the cause, and the others have results
+        pass
+    for text in texts:
+        try:
+            yield predictor([text])[0], None
+        except Exception as e:  # noqa: BLE001
+            yield [], f"{type(e).__name__}: {e}"
+
+
+RECOGNISED = T.StructType([T.StructField("entities", T.ArrayType(ENTITY)), T.StructField("error", T.StringType())])
+
+
+def recognised(text: Column, make: Callable[[], Predictor] = GazetteerPredictor) -> Column:
+    """Struct of entities and error; null and blank texts have neither.
+
+    The predictor is made once per worker, whatever the number of tasks. An error of
+    the predictor is its text's alone.
+    """
+    key = cloudpickle.dumps(make)
+
+    @F.pandas_udf(RECOGNISED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predictor = _predictor(key, make)
         for texts in batches:
             good = texts.map(lambda t: t is not None and bool(t.strip()))
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out = pd.DataFrame({"entities": pd.Series([None] * len(texts), index=texts.index, dtype=object), "error": pd.Series([None] * len(texts), index=texts.index, dtype=object)})
             if good.any():
-                found = predictor(texts[good].tolist())
-                out[good] = pd.Series([[{k: e.get(k) for k in ENTITY.names} for e in es] for es in found], index=texts.index[good], dtype=object)
+                found = list(_each(predictor, texts[good].tolist()))
+                out.loc[good, "entities"] = pd.Series([[{k: e.get(k) for k in ENTITY.names} for e in es] for es, _ in found], index=texts.index[good], dtype=object)
+                out.loc[good, "error"] = pd.Series([e for _, e in found], index=texts.index[good], dtype=object)
             yield out
 
     return run(text)
 
 
+def entities_column(text: Column, make: Callable[[], Predictor] = GazetteerPredictor) -> Column:
+    """Array of entities; null and blank texts have null, texts that fail none."""
+    return recognised(text, make)["entities"]
+
+
 def analyze(df: DataFrame, text_col: str = "text", make: Callable[[], Predictor] = GazetteerPredictor) -> DataFrame:
     """original, normalized, entities, n_entities, problem: a row per row of ``df``.
 
     problem is ``blank`` for a null or blank text, ``blank_after_normalize`` where
-    the rules leave nothing, else null; such rows have no entities.
+    the rules leave nothing, the predictor's error, else null; such rows have no
+    entities. A column that isn't one of texts is a TypeError.
     """
-    text = F.col(text_col)
+    text = text_column(df, text_col)
     rows = df.withColumn("original", text).withColumn("normalized", normalize(text))
     problem = F.when(is_blank(text), F.lit("blank")).when(is_blank(F.col("normalized")), F.lit("blank_after_normalize"))
-    found = rows.withColumn("problem", problem).withColumn("entities", entities_column(F.col("normalized"), make))
+    found = rows.withColumn("_found", recognised(F.col("normalized"), make)).withColumn("problem", F.coalesce(problem, F.col("_found.error"))).withColumn("entities", F.col("_found.entities")).drop("_found")
     rounded = F.transform("entities", lambda e: F.struct(e["word"].alias("word"), e["entity_group"].alias("entity_group"), F.round(e["score"], 4).alias("score"), F.coalesce(e["start"], F.lit(0)).alias("start"), F.coalesce(e["end"], F.lit(0)).alias("end")))
     return found.withColumn("entities", rounded).withColumn("n_entities", F.coalesce(F.size("entities"), F.lit(0))).withColumn("n_entities", F.greatest("n_entities", F.lit(0)))
 
 
 def entity_table(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Predictor] = GazetteerPredictor, *, chars: int | None = None) -> DataFrame:
-    """text_idx, word, entity, score, source, century: a row per entity, of whole texts or of their first ``chars`` code points."""
+    """text_idx, word, entity, score, source, century: a row per entity, of whole texts or of their first ``chars`` code points.
+
+    A text at which the predictor fails has no row; :func:`entity_errors` has them.
+    """
     rows = df.select(F.col(id_col).alias("text_idx"), column_or(df, "source").alias("source"), column_or(df, "century").alias("century"), F.explode(entities_column(prefix(F.col(text_col), chars) if chars else F.col(text_col), make)).alias("e"))
     return rows.select("text_idx", F.col("e.word").alias("word"), F.col("e.entity_group").alias("entity"), F.col("e.score").alias("score"), "source", "century")
 
 
+def entity_errors(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Predictor] = GazetteerPredictor) -> DataFrame:
+    """text_idx, error of the texts at which the predictor fails."""
+    return df.select(F.col(id_col).alias("text_idx"), recognised(F.col(text_col), make)["error"].alias("error")).filter("error is not null")
+
+
 def entity_summary(facts: DataFrame) -> DataFrame:
     """entity, n, mean_score, share_high (scores over 0.8)."""
     return facts.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean_score"), F.round(F.avg((F.col("score") > 0.8).cast("int")), 4).alias("share_high"))

@@ -147,7 +147,7 @@ def crop(image: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
 def preprocess_images(df: DataFrame, image_col: str = "image", *, sauvola_k: float = 0.2) -> DataFrame:
     """``df`` and deskewed, clahe, binary: one pass over each image; null for null images."""
 
-    @F.pandas_udf(f"deskewed {IMAGE}, clahe {IMAGE}, binary {IMAGE}".replace("<", "<"))
+    @F.pandas_udf(f"deskewed {IMAGE}, clahe {IMAGE}, binary {IMAGE}")
     def run(images: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for h, w, data in zip(images["height"], images["width"], images["data"], strict=True):

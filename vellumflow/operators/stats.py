@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions.metrics import cer
-from vellumflow.functions.text import ABBREVIATIONS, normalize
+from vellumflow.functions.text import ABBREVIATIONS, normalize, text_column
 
 #: Signs that stand for an abbreviation; the keys that are words are left out.
 SIGNS = [k for k in ABBREVIATIONS if not k.isascii()]
@@ -37,12 +37,13 @@ def top_signs(df: DataFrame, text: Column, k: int = 5, signs: list[str] | None =
 
 
 def alphabet(df: DataFrame, text: Column) -> DataFrame:
-    """sign, n for every code point: a text's own distinct signs are counted before the shuffle."""
+    """sign, n for every code point; a task's signs are counted before the shuffle."""
     return df.select(F.explode(F.split(text, "")).alias("sign")).filter("sign <> ''").groupBy("sign").agg(F.count("*").alias("n"))
 
 
 def normalization_impact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """original, normalized, cer_modification, changed for each line."""
+    """original, normalized, cer_modification, changed for each line; TypeError if they aren't texts."""
+    text_column(df, text_col)
     rows = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("original"), normalize(F.col(text_col)).alias("normalized"))
     return rows.select("original", "normalized", cer(F.col("normalized"), F.col("original")).alias("cer_modification"), (F.col("original") != F.col("normalized")).alias("changed"))
 

@@ -41,9 +41,46 @@ def cer_pairs(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("mean_cer"), F.round(metrics.accuracy(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("accuracy"))
 
 
+def folded(line):
+    """Lines with one sign for any beyond ASCII, as DuckDB's edit distance counts bytes."""
+    return F.regexp_replace(line, r"[^\x00-\x7F]", "?")
+
+
+def cer_ascii_pairs(spark, sf_dir):
+    rows = doc_lines(spark, sf_dir).withColumn("gold", folded(F.col("line")))
+    return rows.select("doc_id", "line_no", F.round(metrics.cer(F.replace("gold", F.lit("th"), F.lit("t")), F.col("gold")), 6).alias("cer"))
+
+
+def impact_ascii(spark, sf_dir):
+    rows = doc_lines(spark, sf_dir).withColumn("n", folded(text.normalize(F.col("line")))).withColumn("line", folded(F.col("line")))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("line") != F.col("n")).alias("n_changed"), F.round(F.avg(metrics.cer(F.col("n"), F.col("line"))), 6).alias("mean_cer"))
+
+
+def recognition(spark, sf_dir):
+    """German lines stand for those without a prediction."""
+    rows = doc_lines(spark, sf_dir).withColumn("gold", folded(F.col("line")))
+    pred = F.when(F.col("lang") != "de", F.replace("gold", F.lit("th"), F.lit("t")))
+    return stats.recognition_summary(rows, pred, F.col("gold"))
+
+
 def wer_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.regexp_replace("text", r"\bthe ", "").alias("pred"))
-    return rows.select("item_id", F.round(metrics.wer(F.col("pred"), F.col("text")), 6).alias("wer"))
+    rows = doc_lines(spark, sf_dir).withColumn("pred", F.regexp_replace("line", r"\b(the|de|la|der) ", ""))
+    return rows.select("doc_id", "line_no", F.round(metrics.wer(F.col("pred"), F.col("line")), 6).alias("wer"))
+
+
+def first_row(spark, sf_dir):
+    return corpus.first_rows(table(spark, sf_dir, "documents").select("lang", "doc_id", "source"), ["lang", "doc_id"])
+
+
+def tail_rows(spark, sf_dir):
+    return corpus.last_rows(table(spark, sf_dir, "documents").select("lang", "doc_id", "source"), ["lang", "doc_id"])
+
+
+def licensed(spark, sf_dir):
+    """Licences by source, made from the sources' names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    kinds = docs.select("source").distinct().withColumn("license", F.when(F.col("source").endswith("1"), " CC-BY-4.0").when(F.col("source").endswith("2"), "cc0-1.0").otherwise("unknown"))
+    return corpus.allowed_sources(docs, kinds, ["CC0-1.0", "CC-BY-4.0"], source="source")
 
 
 def filter_langs(spark, sf_dir):
@@ -87,6 +124,10 @@ def split_search(spark, sf_dir):
     return corpus.split_search(table(spark, sf_dir, "documents"), "source", "lang", ["en", "fr", "de", "es"], seeds=60)
 
 
+def split_search_by_size(spark, sf_dir):
+    return corpus.split_search(table(spark, sf_dir, "documents"), "source", seeds=60)
+
+
 def split_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return corpus.with_split(docs, "source", corpus.group_split(docs, "source")).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_groups"))
@@ -128,9 +169,21 @@ def edges(spark, sf_dir):
     return entities.cooccurrences(facts(spark, sf_dir))
 
 
-def analysed(spark, sf_dir):
-    rows = entities.analyze(table(spark, sf_dir, "benchmark"), "text", partial(entities.GazetteerPredictor, NAMES))
-    return rows.select("item_id", "original", "normalized", "n_entities", "problem")
+def analysed(name, key, spark, sf_dir):
+    rows = entities.analyze(table(spark, sf_dir, name), "text", partial(entities.GazetteerPredictor, NAMES))
+    return rows.select(key, "original", "normalized", "n_entities", "problem")
+
+
+def tei_two_entities(spark, sf_dir):
+    """Each document with its first two words as entities, the second one given first; none where it has no second."""
+    pattern = r"^([^ \n]+)[ \n]([^ \n]+)"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", *[F.regexp_extract("text", pattern, k).alias(w) for k, w in ((1, "a"), (2, "b"))])
+
+    def span(word, label, start):
+        return F.struct(F.col(word).alias("word"), F.lit(label).alias("entity_group"), F.lit(0.9).alias("score"), start.alias("start"), (start + F.length(word)).alias("end"))
+
+    spans = F.when(F.col("b") != "", F.array(span("b", "LOC", F.length("a") + 1), span("a", "PER", F.lit(0))))
+    return docs.select("doc_id", tei.build_tei(F.col("text"), spans, F.col("source")).alias("tei"))
 
 
 def tei_documents(spark, sf_dir):
@@ -169,7 +222,7 @@ def mcnemar(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    return metrics.bootstrap_ci(table(spark, sf_dir, "labels"), "doc_id", "quality", rounds=1000)
+    return metrics.bootstrap_ci(table(spark, sf_dir, "labels"), "quality", rounds=1000)
 
 
 def ious(spark, sf_dir):
@@ -184,6 +237,14 @@ def ious(spark, sf_dir):
     return metrics.iou_summary(boxed).withColumns({c: F.round(c, 6) for c in ("mean_iou", "median_iou")})
 
 
+def clipped_boxes(spark, sf_dir):
+    """Polygons made from order lines as text, their boxes within a page of 40 by 6."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
+    points = F.format_string("%d,%d %d,%d  -3,%d", "q", "n", F.col("n") - 2, F.col("q") - 20, F.col("n") + 2)
+    box = metrics.clip(metrics.bbox(text.polygon(points)), F.lit(40), F.lit(6))
+    return items.withColumn("box", box).groupBy("l_linenumber").agg(F.count("*").alias("n"), *[F.sum(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def conversations(spark, sf_dir):
     return corpus.group_documents(table(spark, sf_dir, "conversations"), "conv_id", "text", ["turn"])
 
@@ -224,8 +285,14 @@ def queries() -> dict:
         "punct_norm": partial(rule, text.normalize_punctuation),
         "char_prefix": partial(rule, partial(text.prefix, n=32)),
         "normalization_impact": impact,
+        "normalization_impact_ascii": impact_ascii,
         "cer_by_lang": cer_pairs,
+        "cer_ascii_pairs": cer_ascii_pairs,
+        "recognition_summary": recognition,
         "wer_pairs": wer_pairs,
+        "first_row": first_row,
+        "tail_rows": tail_rows,
+        "allowed_sources": licensed,
         "filter_lang_set": filter_langs,
         "has_labels": partial(labelled, 0),
         "missing_labels": partial(labelled, 1),
@@ -236,6 +303,7 @@ def queries() -> dict:
         "sample_md5": sampled,
         "group_split": group_split,
         "split_search": split_search,
+        "split_search_by_size": split_search_by_size,
         "split_rows": split_rows,
         "split_leak_check": leak_check,
         "content_sha256": content_hashes,
@@ -244,8 +312,10 @@ def queries() -> dict:
         "entity_density": entity_density,
         "entity_prf": entity_scores,
         "cooccurrence_edges": edges,
-        "analyze_benchmark": analysed,
+        "analyze_benchmark": partial(analysed, "benchmark", "item_id"),
+        "analyze_documents": partial(analysed, "documents", "doc_id"),
         "tei_docs": tei_documents,
+        "tei_two_entities": tei_two_entities,
         "eda_stats": eda,
         "needs_review_rate": review_rates,
         "top_abbrev_chars": top_signs,
@@ -253,6 +323,7 @@ def queries() -> dict:
         "mcnemar_labels": mcnemar,
         "bootstrap_ci": bootstrap,
         "bbox_iou": ious,
+        "clipped_boxes": clipped_boxes,
         "shelf_docs": conversations,
         "ctfidf_terms": topic_terms,
         "kmeans_topics": vector_topics,

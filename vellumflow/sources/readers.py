@@ -150,7 +150,7 @@ def arrow_metadata(spark: SparkSession, path: str, glob: str = "*.arrow") -> Dat
 
 def requests(spark: SparkSession, texts: list[str]) -> DataFrame:
     """A table of given texts, for a handful of requests."""
-    return spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text", F.col("text"))
+    return spark.createDataFrame([(t,) for t in texts], "text string")
 
 
 def tidy(df: DataFrame, col: str = "text") -> DataFrame:

@@ -1,15 +1,19 @@
-"""Writers: tables, journals, manifests, TEI files, line pairs, Arrow files."""
+"""Writers: tables, journals, manifests, TEI, line pairs, crops as PNG, Arrow files."""
 
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumflow.operators.corpus import dense_index
+
 
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
     """Header, quotes doubled; ``one_file`` only for tables that one task may hold."""
@@ -27,11 +31,15 @@ def append_journal(spark: SparkSession, path: str, entry: dict) -> None:
 
 
 def _hadoop_text(spark: SparkSession, path: str, text: str) -> None:
+    _hadoop_bytes(spark, path, text.encode())
+
+
+def _hadoop_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
@@ -54,15 +62,67 @@ def write_manifest(spark: SparkSession, path: str, hashes: DataFrame, *, seed1:
 
 
 def write_tei(df: DataFrame, path: str, id_col: str, tei_col: str = "tei") -> None:
-    """A folder per id, UTF-8, a document per line-free file part."""
-    df.select(F.col(id_col).alias("id"), F.regexp_replace(tei_col, "\n", " ").alias("value")).write.mode("overwrite").partitionBy("id").text(path)
+    """id, tei as Parquet in files of Spark's sizes: documents as they are, line breaks included."""
+    df.select(F.col(id_col).cast("string").alias("id"), F.col(tei_col).alias("tei")).write.mode("overwrite").parquet(path)
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> int:
+    """One file for each row, of its text or bytes as they are; the number of files.
+
+    For what is read file by file: the rows pass through the driver one at a time, so
+    tables for further work are better written as such.
+    """
+    n = 0
+    for row in df.select(F.col(name).cast("string").alias("n"), F.col(content).cast("binary").alias("c")).toLocalIterator():
+        _hadoop_bytes(df.sparkSession, f"{folder.rstrip('/')}/{row['n']}", bytes(row["c"] or b""))
+        n += 1
+    return n
+
+
+def write_tei_files(df: DataFrame, folder: str, id_col: str, tei_col: str = "tei") -> int:
+    """``id.xml`` for each document, UTF-8; the number of files."""
+    return write_files(df.withColumn("_name", F.concat(F.col(id_col).cast("string"), F.lit(".xml"))), folder, "_name", tei_col)
+
+
+def png(image: Column) -> Column:
+    """A grey image (height, width, data) as the bytes of a PNG file; null for null or an empty image."""
 
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-def write_pairs(df: DataFrame, path: str, *, image_path: str = "image_path", text: str = "text") -> int:
-    """Name, image and text of each line as Parquet, in place of a folder of links; the number of rows."""
+    @F.pandas_udf("binary")
+    def encode(images: pd.DataFrame) -> pd.Series:
+        out = []
+        for h, w, data in images[["height", "width", "data"]].itertuples(index=False):
+            if data is None or not h or not w:
+                out.append(None)
+                continue
+            h, w = int(h), int(w)
+            lines = np.zeros((h, w + 1), np.uint8)  # each line begins with its filter, none
+            lines[:, 1:] = np.frombuffer(data, np.uint8).reshape(h, w)
+            head = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+            out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
+        return pd.Series(out, dtype=object)
+
+    return encode(image)
+
+
+def numbered_crops(df: DataFrame, order: list[str], *, image: str = "image", box: str = "box", pattern: str = "line_%05d.png") -> DataFrame:
+    """``df`` with name, png: the crops numbered from 0 in an order; empty crops have null."""
+    numbered = dense_index(df, order, out="_number")
+    return crops(numbered, image, box).withColumn("name", F.format_string(pattern, "_number")).withColumn("png", png(F.col("crop"))).drop("_number", "crop")
+
+
+def write_pairs(df: DataFrame, path: str, *, image_path: str = "image_path", text: str = "text", files: DataFrame | None = None) -> int:
+    """Name, image and text of each line as Parquet, in place of a folder of links; the number of rows.
+
+    With ``files`` (a column path, as of ``list_files``), lines whose image isn't among them are left out.
+    """
     from vellumflow.functions.text import basename
+    from vellumflow.sources.readers import existing
 
-    df.select(basename(F.col(image_path)).alias("name"), F.col(image_path).alias("image_path"), F.col(text).alias("gt")).write.mode("overwrite").parquet(path)
+    there = existing(df, image_path, files)[0] if files is not None else df
+    there.select(basename(F.col(image_path)).alias("name"), F.col(image_path).alias("image_path"), F.col(text).alias("gt")).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path).count()
 
 
@@ -89,6 +149,15 @@ def arrow_bytes(df: DataFrame, metadata: dict[str, str] | None = None) -> DataFr
     return df.mapInArrow(pack, "content binary")
 
 
+def write_arrow(df: DataFrame, folder: str, metadata: dict[str, str] | None = None) -> int:
+    """An Arrow file ``part-N.arrow`` for each partition, with the schema metadata; the number of files.
+
+    A partition's file passes through the driver whole, so partitions bound what it holds.
+    """
+    made = arrow_bytes(df, metadata).withColumn("name", F.format_string("part-%05d.arrow", F.spark_partition_id()))
+    return write_files(made, folder, "name", "content")
+
+
 def crops(df: DataFrame, image: str = "image", box: str = "box") -> DataFrame:
     """``df`` and crop: the part of the image within the clipped box."""
     @F.pandas_udf("struct<height:int,width:int,data:binary>")
