@@ -27,7 +27,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules of policy v1.
+    """Documents that pass the rules of policy v1, by the bits of their written ledger.
 
     A text without 50 words fails, so null and empty ones go; repeated rows are judged alike.
     """
@@ -37,7 +37,9 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id.
 
-    Links are all pairs whose five-word shingles have a Jaccard coefficient of 0.8 or more.
+    Links are all pairs whose five-word shingles have a Jaccard coefficient of 0.8 or
+    more: fingerprints that meet at covering anchors propose, an exact step completes
+    them, and each link is decided by the coefficient.
 
     Texts without words are one group. Of repeated rows one stays; a group without
     any id keeps a row of each of its sets of shingles.
