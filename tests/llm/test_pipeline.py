@@ -3,9 +3,10 @@
 from collections import Counter
 
 import pytest
+from test_similar_texts import brute_kept
 
 import corpus_pipeline
-from vellumflow.llm import mixing, near_duplicates, quality_classifier, quality_rules
+from vellumflow.llm import mixing, quality_classifier, quality_rules
 from vellumflow.llm.tokens import PieceCache, default_tokenizer
 
 
@@ -17,7 +18,7 @@ def test_stages(spark, sf_dir):
     keeps = [
         lambda d: {r["doc_id"]: 1 for r in d.collect() if scores[r["doc_id"]]},
         lambda d: {r["doc_id"]: 1 for r in quality_rules.rule_ledger(d).filter(quality_rules.passes("v1")).collect()},
-        lambda d: {r["component_id"]: 1 for r in near_duplicates.near_duplicates(d).collect()},
+        lambda d: dict.fromkeys(brute_kept([(r["doc_id"], r["text"]) for r in d.collect()]), 1),  # all pairs of five-word shingles
         lambda d: {r["doc_id"]: r["copies"] for r in mixing.mix_ledger(d).collect() if r["copies"]},
     ]
     at = docs
@@ -36,12 +37,35 @@ def test_stages(spark, sf_dir):
     assert got == want
 
 
-@pytest.mark.parametrize("k", range(4))
-def test_stages_keep_extra_columns_and_take_nothing(spark, sf_dir, k):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, measured string, quality_score double, copy int, row_hash long"
-    stage = corpus_pipeline.STAGES[k][1]
-    df = spark.createDataFrame([(1, "plain words of a text " * 3 + " ".join(f"word{i}" for i in range(80)), "en", None, 1, "m", 0.1, 2, 3), (None, None, None, None, None, None, None, None, None), (4, "long text " * 20000, "en", "s", 5, None, None, None, None)], schema)
-    df = df.union(df)
-    assert stage(spark, df, sf_dir).columns == df.columns
+LONG, PLAIN = "long text " * 20000, " ".join(f"word{i} of it" for i in range(80))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_extra_columns_and_all_kinds_of_rows(spark, sf_dir, k):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, names that clash."""
+    name, stage = corpus_pipeline.STAGES[k]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, measured string, quality_score double, copy int, row_hash long, rule_ledger int, sequence_id int, mix_rate int"
+    rest = ("m", 0.1, 2, 3, 4, 5, 6)
+    rows = [(1, PLAIN, "en", None, 1, *rest), (None,) * 12, (4, LONG, "en", "s", 5, *(None,) * 7), (5, "", "en", "s", 0, *rest)] * 2
+    df = spark.createDataFrame(rows, schema)
     assert stage(spark, df.limit(0), sf_dir).collect() == []
-    stage(spark, df, sf_dir).collect()
+    out = stage(spark, df, sf_dir)
+    if name == "packing":
+        tokens, want = PieceCache(default_tokenizer()), Counter()
+        for r in rows:
+            want[r[0]] += len(tokens.encode(r[1] or "")) // 2 + 1
+        got = Counter()
+        for r in out.collect():
+            got[r["doc_id"]] += r["length"]
+        assert got == want
+        return
+    assert out.columns == df.columns
+    kept = Counter(map(tuple, out.collect()))
+    assert set(kept) <= set(rows)
+    if name == "quality rules":  # the long text repeats itself, the others have too few words
+        assert kept == {rows[0]: 2}
+    if name == "near-duplicates":  # a null and an empty text are one group, with one id
+        assert kept == {rows[0]: 1, rows[2]: 1, rows[3]: 1}
+    if name == "mixing":
+        ledger = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix_ledger(df).collect()}
+        assert kept == Counter({r: n for r in rows[:4] if (n := 2 * ledger[r[0], r[3], len((r[1] or "").split())])})
