@@ -293,15 +293,15 @@ def component_of_nodes(first: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def close_nodes(printed: DataFrame) -> DataFrame:
-    """Candidates a, b: nodes whose fingerprints are equal or linked; of a fingerprint's nodes the smallest stands for all."""
+    """Candidates a > b: nodes whose fingerprints are equal or linked, each with its component's leading node."""
     nodes = written(printed.select("node", "print").distinct(), "node-prints")
     first = written(nodes.groupBy("print").agg(F.min("node").alias("first")), "distinct-prints")
-    equal = nodes.join(small(first, 32), "print").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = written(print_links(first.select("print")).distinct(), "links")
-    named = first.join(small(links, 32), F.col("print") == F.col("a")).select(F.col("first").alias("x"), F.col("b").alias("other"))
-    named = written(named, "links")
-    across = first.join(small(named, 32), F.col("print") == F.col("other")).select(F.col("x").alias("a"), F.col("first").alias("b"))
-    return equal.unionByName(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rooted = written(components(print_links(first.select("print"))).select(F.col("node").alias("print"), "root"), "roots")
+    named = written(first.join(small(rooted, 32), "print").select("print", "first", "root"), "named")
+    leads = written(named.groupBy("root").agg(F.min("first").alias("lead")), "leads")
+    led = written(named.join(small(leads, 32), "root").select("print", "lead"), "led")
+    every = first.join(small(led, 32), "print", "left").select("print", F.coalesce("lead", "first").alias("lead"))
+    return nodes.join(every, "print").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,11 +33,11 @@ from vellumflow.llm.components import components
 from vellumflow.llm.shared import small, written
 
 WIDTH = 5  # words of a shingle
-_BUCKETS = 20  # bits of a shingle that the sketch of frequencies tells apart
-_SAMPLE = 0.125  # share of the texts in the sketch
+_SAMPLE = 1 / 16  # share of the texts whose shingles are counted for their order
+_OFTEN = 3  # texts of the sample that make a shingle a frequent one
+_KNOWN = 1 << 20  # most frequent shingles that the order tells apart
 _ALL_PAIRS = 64  # texts of a shingle up to which all pairs are compared at once
 _CENTRES = 8  # texts of a larger one that are compared with all others first
-_CHUNK = 1 << 16  # rows of a batch
 MADE = "array<long>"  # node, number of shingles, fingerprint, prefix
 
 
@@ -68,47 +68,42 @@ def simhash(found: np.ndarray) -> int:
 
 
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of hashes that are frequent in a sample, sorted, and their counts."""
+    """Shingles that several texts of a sample have, the most frequent ones, sorted, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << _BUCKETS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                np.add.at(counts, (shingles(t.as_py() or b"") >> np.uint64(64 - _BUCKETS)).astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        for k in range(0, len(used), _CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(used[k : k + _CHUNK]), pa.array(counts[used[k : k + _CHUNK]])], names=["bucket", "n"])
+            for k in range(0, batch.num_rows, 256):
+                found = [shingles(t.as_py() or b"") for t in batch.column(0)[k : k + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
     texts = docs.select(F.col(text_col).cast("binary").alias("text")).sample(_SAMPLE, 1)
-    sketch = written(texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sketch")
-    mean = (sketch.agg(F.sum("n")).first()[0] or 0) / (1 << _BUCKETS)
-    found = sketch.filter(F.col("n") > mean + 8 * mean**0.5 + 8).toArrow()
-    buckets, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("bucket", "n"))
-    order = np.argsort(buckets)
-    return buckets[order], counts[order]
+    counted = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= _OFTEN)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(_KNOWN).toArrow()
+    known, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], counts[order]
 
 
-def prefix(found: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of a text of which every similar one has at least one among its own, rare ones first."""
     n = len(found)
     if not n:
         return found
     weight = np.zeros(n, np.int64)
-    if len(buckets):
-        own = (found >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
-        weight = np.where(buckets[at] == own, counts[at], 0)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        weight = np.where(known[at] == found, counts[at], 0)
     return found[np.argsort(weight, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
-def measured_column(text: Column, buckets: np.ndarray, counts: np.ndarray) -> Column:
+def measured_column(text: Column, known: np.ndarray, counts: np.ndarray) -> Column:
     """Array (MADE) of node, number of shingles, fingerprint and prefix of a text column; null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             found = shingles(t.as_py() or b"")
-            out.append(np.concatenate([np.array([node(found), len(found), simhash(found)], np.uint64), prefix(found, buckets, counts)]).view(np.int64))
+            out.append(np.concatenate([np.array([node(found), len(found), simhash(found)], np.uint64), prefix(found, known, counts)]).view(np.int64))
         offsets = np.cumsum([0, *(len(v) for v in out)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
@@ -150,10 +145,11 @@ def met_at_shingles(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
     nodes: node, n, prefix, a row per node; roots: node, root of the nodes that are linked so far.
     """
-    rooted = nodes.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = rooted.select("node", "n", "root", F.posexplode("prefix").alias("place", "key"))
-    counted = spread.withColumn("many", F.count("*").over(Window.partitionBy("key")))
-    return written(counted.filter("many > 1").select("key", "node", "n", "place", "root", "many"), "met")
+    spread = nodes.select("node", "n", F.posexplode("prefix").alias("place", "key"))
+    packed = spread.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("size"))  # what is shuffled is most of the stage's
+    counted = packed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")
+    rooted = counted.join(small(roots, 32), "node", "left")
+    return written(rooted.select("key", "node", F.shiftright("size", 32).alias("n"), (F.col("size") % (1 << 32)).cast("int").alias("place"), F.coalesce("root", "node").alias("root"), "many"), "met")
 
 
 def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
