@@ -10,10 +10,18 @@ from vellumflow.llm import mixing, quality_classifier, quality_rules
 from vellumflow.llm.tokens import PieceCache, default_tokenizer
 
 
-def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near-duplicates", "mixing", "packing"]
+def test_stages(spark, sf_dir, monkeypatch):
+    """What ``run`` hands from stage to stage, each held against plain Python on the stage's own input."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "quality rules", "near-duplicates", "mixing", "packing"]
+    given = {}
+
+    def watched(name, stage):
+        return name, lambda spark, at, sf: (given.update({name: at}), stage(spark, at, sf))[1]
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, sf_dir)
     scores = {r["doc_id"]: r["predicted"] for r in quality_classifier.score_documents(docs, quality_classifier.fit_quality(docs, labels)).collect()}
     keeps = [
         lambda d: {r["doc_id"]: 1 for r in d.collect() if scores[r["doc_id"]]},
@@ -21,18 +29,13 @@ def test_stages(spark, sf_dir):
         lambda d: dict.fromkeys(brute_kept([(r["doc_id"], r["text"]) for r in d.collect()]), 1),  # all pairs of five-word shingles
         lambda d: {r["doc_id"]: r["copies"] for r in mixing.mix_ledger(d).collect() if r["copies"]},
     ]
-    at = docs
-    for (name, stage), keep in zip(corpus_pipeline.STAGES, keeps, strict=False):
-        out = stage(spark, at, sf_dir)
-        assert out.columns == docs.columns, name
-        assert Counter(r["doc_id"] for r in out.collect()) == Counter(keep(at)), name
-        at = out
-    tokens = PieceCache(default_tokenizer())
-    want = Counter()
-    for r in at.collect():
+    for name, following, keep in zip(names, names[1:], keeps, strict=False):
+        assert given[following].columns == docs.columns, name
+        assert Counter(r["doc_id"] for r in given[following].collect()) == Counter(keep(given[name])), name
+    tokens, want, got = PieceCache(default_tokenizer()), Counter(), Counter()
+    for r in given["packing"].collect():
         want[r["doc_id"]] += len(tokens.encode(r["text"])) // 2 + 1
-    got = Counter()
-    for r in corpus_pipeline.run(spark, sf_dir).collect():
+    for r in packed.collect():
         got[r["doc_id"]] += r["length"]
     assert got == want
 

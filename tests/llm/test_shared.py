@@ -28,6 +28,15 @@ def test_nothing_is_left_behind(spark):
     assert mixing.mix(docs).count() >= 0  # the folder is made anew
 
 
+def test_batch_size_is_the_session_s_again(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError), shared.text_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+        raise RuntimeError
+    assert spark.conf.get(key) == before
+
+
 def test_shuffled_joins_give_the_same_rows(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared.new_path(spark, "token-files")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import column_name, small, written
+from vellumflow.llm.shared import column_name, small, text_batches, written
 from vellumflow.llm.similar_texts import frequent, measured_column, rooted_texts
 
 _SHINGLES = 1 << 14  # shingles whose bits are held side by side
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component unless it has no other id. Repeated rows are kept; further columns are
     left out; an empty table gives none.
     """
-    printed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("print")), "prints")
+    with text_batches(docs.sparkSession):
+        printed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("print")), "prints")
     first = written(printed.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     named = component_of_nodes(first, written(components(print_links(first.select(F.col("node").alias("print")))), "roots"))
     out = printed.join(small(named.withColumnRenamed("node", "print"), 40), "print")
@@ -319,7 +320,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     whole = [F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]]
     hashed = docs.withColumn(row, F.struct(F.xxhash64(*whole).alias("h"), F.xxhash64(F.lit(7), *whole).alias("k")))  # 128 bits tell rows apart
     made = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), measured_column(F.col(text_col), *frequent(docs, text_col)).alias("_m"))
-    printed = written(made.select("doc_id", "row", *[F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print"))], F.slice("_m", F.lit(4), F.size("_m")).alias("prefix")), "prints")
+    measured = made.select("doc_id", "row", *[F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print"))], F.slice("_m", F.lit(4), F.size("_m")).alias("prefix"))
+    with text_batches(docs.sparkSession):
+        printed = written(measured, "prints")
     rooted = rooted_texts(hashed, printed, row, text_col, close_nodes(printed))
     first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-nodes")
     placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted), 48), "node")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.shared import new_path
+from vellumflow.llm.shared import new_path, text_batches
 from vellumflow.llm.tokens import as_text, piece_cache
 
 #: Groups of leftovers that one task of a merging round takes.
@@ -191,7 +191,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: in
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     path = new_path(spark, "packed")
-    given.mapInArrow(first_round(tokenizer, end_id, size, keep, scrap, with_ids, cache), STORED).write.parquet(f"{path}/round=0")
+    with text_batches(spark):
+        given.mapInArrow(first_round(tokenizer, end_id, size, keep, scrap, with_ids, cache), STORED).write.parquet(f"{path}/round=0")
     table = lambda n: spark.read.schema(STORED).parquet(f"{path}/round={n}")
     done, number = [table(0).filter(~F.col("open"))], 0
     while True:

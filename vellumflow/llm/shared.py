@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,18 @@ def forget_all(spark: SparkSession) -> None:
     forget(spark, path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for what is written within, whose rows hold whole texts; the session's own size after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, row_bytes, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its measured size is under ``most`` bytes, else unmarked.
 

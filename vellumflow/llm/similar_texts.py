@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import small, written
+from vellumflow.llm.shared import small, text_batches, written
 
 WIDTH = 5  # words of a shingle
 _SAMPLE = 1 / 16  # share of the texts whose shingles are counted for their order
@@ -78,7 +78,8 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
     texts = docs.select(F.col(text_col).cast("binary").alias("text")).sample(_SAMPLE, 1)
     counted = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= _OFTEN)
-    found = counted.orderBy(F.desc("n"), "shingle").limit(_KNOWN).toArrow()
+    with text_batches(docs.sparkSession):
+        found = counted.orderBy(F.desc("n"), "shingle").limit(_KNOWN).toArrow()
     known, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(known)
     return known[order], counts[order]
@@ -137,7 +138,8 @@ def similar(pairs: DataFrame, rows: DataFrame, printed: DataFrame, row: str, tex
     texts = rows.join(small(first, 48), F.col(row) == F.col("first_row")).select("node", F.col(text_col).cast("binary").alias("text"))
     texts = written(texts, "texts").dropDuplicates(["node"])
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return written(both.filter(similar_column(F.col("x"), F.col("y"))).select("a", "b"), "similar")
+    with text_batches(pairs.sparkSession):
+        return written(both.filter(similar_column(F.col("x"), F.col("y"))).select("a", "b"), "similar")
 
 
 def met_at_shingles(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.rans import SCALE, Segment, encode_segment
-from vellumflow.llm.shared import small
+from vellumflow.llm.shared import small, text_batches
 from vellumflow.llm.tokens import as_text, piece_cache
 
 #: Ids after which a segment is closed, at the end of a document.
@@ -79,7 +79,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     hashed = given.withColumn("hash", F.xxhash64("text"))
     ordered = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
-    ordered.mapInArrow(encoder(tokenizer, end_id, segment, cache), STORED).write.parquet(folder)
+    with text_batches(docs.sparkSession):
+        ordered.mapInArrow(encoder(tokenizer, end_id, segment, cache), STORED).write.parquet(folder)
 
 
 def decoded(with_ids: bool):
