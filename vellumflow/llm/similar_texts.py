@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
 from vellumflow.llm.shared import small, text_batches, written
+from vellumflow.llm.tokens import drop_caches
 
 WIDTH = 5  # words of a shingle
 _SAMPLE = 1 / 16  # share of the texts whose shingles are counted for their order
@@ -101,6 +102,7 @@ def measured_column(text: Column, known: np.ndarray, counts: np.ndarray) -> Colu
     """Array (MADE) of node, number of shingles, fingerprint and prefix of a text column; null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
+        drop_caches()
         out = []
         for t in texts:
             found = shingles(t.as_py() or b"")
@@ -115,6 +117,7 @@ def similar_column(x: Column, y: Column) -> Column:
     """Whether two texts' shingles have a coefficient of 0.8 or more; a text is cut once for a run of its rows."""
 
     def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        drop_caches()
         out, last = [], [(None, None), (None, None)]
         for pair in zip(xs, ys, strict=True):
             for k, t in enumerate(pair):
