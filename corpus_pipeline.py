@@ -61,9 +61,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids are kept; repeated rows are packed as often as they occur.
     """
-    return packing.pack_documents(docs, default_tokenizer())
+    return packing.pack_documents(docs, default_tokenizer(), cache=PIECES)
 
 
+#: Pieces that a worker's tokenizer keeps while packing; fewer than packing alone, as the worker has served other stages.
+PIECES = 200_000
 STAGES = [("quality classifier", classify), ("quality rules", apply_rules), ("near-duplicates", deduplicate), ("mixing", mix), ("packing", pack)]
 
 
