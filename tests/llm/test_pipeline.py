@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from test_similar_texts import brute_kept
+from test_ngram_join import brute_kept
 
 import corpus_pipeline
 from vellumflow.llm import mixing, quality_classifier, quality_rules

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.components import components
+from vellumflow.llm.components import component_of_nodes, components
+from vellumflow.llm.ngram_join import linked_nodes, measured, with_row_hash
 from vellumflow.llm.shared import column_name, small, text_batches, written
-from vellumflow.llm.similar_texts import frequent, measured_column, rooted_texts
 
 _SHINGLES = 1 << 14  # shingles whose bits are held side by side
 _CHUNK = 1 << 18  # pairs that are held side by side
@@ -283,16 +283,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_of_nodes(first: DataFrame, rooted: DataFrame) -> DataFrame:
-    """node, component_id, root of a written table node, first_id, given node, root of the linked ones."""
-    member = first.join(rooted, "node")
-    lowest = written(member.groupBy("root").agg(F.min("first_id").alias("lowest")), "lowest")
-    named = written(rooted.join(small(lowest, 40), "root").select("node", "lowest", "root"), "named")
-    joined = first.join(small(named, 48), "node", "left")
-    alone = F.col("root").isNull()
-    return written(joined.select("node", F.when(alone, F.col("first_id")).otherwise(F.col("lowest")).alias("component_id"), F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root")), "components")
-
-
 def close_nodes(printed: DataFrame) -> DataFrame:
     """Candidates a > b: nodes whose fingerprints are equal or linked, each with its component's leading node."""
     nodes = written(printed.select("node", "print").distinct(), "node-prints")
@@ -310,7 +300,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Links are the pairs whose five-word shingles have a Jaccard coefficient of 0.8 or
     more: candidates by fingerprints of the shingles and their anchors, completed and
-    decided by exact coefficients (``similar_texts``). The row with the smallest id of
+    decided by exact coefficients (``ngram_join``). The row with the smallest id of
     the group stays; of rows of the group that share it, one stays. A group without
     any id keeps a row of each of its sets of shingles. Texts without words are one
     group; an empty table gives no rows.
@@ -318,12 +308,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     row = column_name(docs, "row_hash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = [F.col(id_col), F.col(text_col), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]]
-    hashed = docs.withColumn(row, F.struct(F.xxhash64(*whole).alias("h"), F.xxhash64(F.lit(7), *whole).alias("k")))  # 128 bits tell rows apart
-    made = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), measured_column(F.col(text_col), *frequent(docs, text_col)).alias("_m"))
-    measured = made.select("doc_id", "row", *[F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print"))], F.slice("_m", F.lit(4), F.size("_m")).alias("prefix"))
-    with text_batches(docs.sparkSession):
-        printed = written(measured, "prints")
-    rooted = rooted_texts(hashed, printed, row, text_col, close_nodes(printed))
+    hashed = with_row_hash(docs, row, *whole)
+    printed = measured(hashed, row, id_col, text_col)
+    rooted = linked_nodes(hashed, printed, row, text_col, close_nodes(printed))
     first = written(printed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-nodes")
     placed = printed.select("doc_id", "row", "node").join(small(component_of_nodes(first, rooted), 48), "node")
     # rows that may stay are those with the component's id; where there is none, every node is a group

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this folder that SQL can express.
 
-op4 and op7 to op10 need a hash, a trained model or a tokenizer that SQL lacks;
+op4 and op7 to op11 need a hash, a trained model or a tokenizer that SQL lacks;
 the tests hold them against brute force, exact round trips or held-out accuracy.
 """
 
@@ -88,6 +88,27 @@ a AS (SELECT rid, count(*) AS n, sum(s) AS s FROM s GROUP BY rid)
 SELECT doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.s, 0), 6) AS log_score FROM t LEFT JOIN a USING (rid)"""
 
 
+JOIN = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM d),
+e AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS (SELECT rid AS a, rid AS b FROM s UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM c JOIN s ON c.a = s.rid JOIN s t ON c.b = t.rid GROUP BY s.rid, s.doc_id, len(s.g)"""
+
+AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+f AS (SELECT part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails,
+  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic FROM d),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order FROM l v JOIN l w ON w.c <> v.c JOIN l x ON x.c NOT IN (v.c, w.c) JOIN l y ON y.c NOT IN (v.c, w.c, x.c) JOIN l z ON z.c NOT IN (v.c, w.c, x.c, y.c)),
+t AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, list_transform(string_split(filter_order, ''), lambda c: ascii(c) - 64)[1:step] AS upto FROM o, range(1, 6) r(step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+m AS (SELECT part, filter_order, step, own, n, good, toxic, fails[ascii(own) - 64] AS here, len(list_filter(upto[1:step - 1], lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS k FROM g, t),
+a AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (here AND k = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost FROM m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     assert MEASURES[:1] == ["n_words"]
     return {
@@ -98,4 +119,6 @@ def oracle_sql() -> dict[str, str]:
         "rule_ablation": ablation_sql("v1"),
         "rule_policies": policies_sql(),
         "op6_lm_scoring": LM,
+        "op12_ngram_join": JOIN,
+        "op13_filter_audit": AUDIT,
     }

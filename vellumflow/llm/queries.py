@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import kd_search, license_scan, lm_scoring, mixing, near_duplicates, packing, quality_classifier, quality_rules, token_files, url_filter
+from vellumflow.llm import filter_audit, kd_search, license_scan, lm_scoring, mixing, near_duplicates, ngram_join, packing, quality_classifier, quality_rules, token_alignment, token_files, url_filter
 from vellumflow.llm.shared import new_path
 from vellumflow.llm.tokens import default_tokenizer
 
@@ -61,6 +61,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, quality_classifier.fit_quality(docs, labels))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def rule_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version applied to one written ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +96,9 @@ def queries() -> dict:
         "op8_pack": op8_pack,
         "op9_token_files": op9_token_files,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_filter_audit": op13_filter_audit,
         "rule_ablation": op5_ablation,
         "rule_policies": rule_policies,
     }

@@ -81,6 +81,24 @@ def forget(spark: SparkSession, *paths: str) -> None:
         files.delete(at, True)
 
 
+class Scratch:
+    """Tables of one step: deleted together when the block ends, so what outlives it must be written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, kind: str) -> DataFrame:
+        table, path = written_at(df, kind)
+        self.paths.append(path)
+        return table
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        forget(self.spark, *self.paths)
+
+
 def forget_all(spark: SparkSession) -> None:
     """Delete every table that this application wrote; results that read them are of no use afterwards."""
     path = own_folder(spark)

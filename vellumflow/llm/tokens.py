@@ -97,11 +97,6 @@ def piece_cache(path: str, most: int = 600_000) -> PieceCache:
     return _caches[path, most]
 
 
-def drop_caches() -> None:
-    """Free the worker's caches; for stages that need the memory of one that has ended."""
-    _caches.clear()
-
-
 def as_text(raw: bytes | None) -> str:
     """Text of a value read as binary; null is empty, bad bytes become U+FFFD."""
     return "" if raw is None else raw.decode("utf-8", "replace")
@@ -111,3 +106,9 @@ def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def default_piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
