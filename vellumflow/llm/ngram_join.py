@@ -1,32 +1,30 @@
 """All links of texts whose word n-grams have a Jaccard coefficient of 0.8 or more.
 
 The incidence of texts (rows) and n-grams (columns) is a sparse matrix, and its
-product with itself holds the overlap of every pair. It is computed in blocks of
-columns: Spark's partitions by n-gram multiply their columns apart, and the
-partial counts of a pair are added before and after a shuffle by pair. Bounds from
-the sizes keep the product small, and none of them loses a link:
+product with itself holds the overlap of every pair. It is computed in blocks: the
+leading columns of all rows first, dealt by column, so that Spark's partitions
+multiply theirs apart; then, for each pair that is left, the count over its whole
+rows. Bounds from the sizes discard pairs in between, and none of them loses a link:
 
-- Two sets of n and m n-grams with coefficient 0.8 share 4 (n + m) / 9 of them, so
-  neither is under 0.8 times the other.
+- Two sets of n and m n-grams with coefficient 0.8 share 4 (n + m) / 9 of them.
 - With the columns in one order, such sets share one of the first
-  n - ceil(0.8 n) + 1 of each. These leading columns are multiplied first; where the
-  first shared one stands bounds what can follow it.
-- All that two sets share stands in both leading parts, or after that of one of
-  them: the count of shared leading columns plus the larger rest is a bound too.
+  n - ceil(0.8 n) + 1 of each, and where the first shared one stands bounds what can
+  follow it.
+- They differ in at most (n + m) / 9 n-grams. Of each set the parities of its n-grams
+  on 512 places are kept, and where these differ the sets do.
 
-For pairs that pass, the whole rows are multiplied, which decides them. The order
-puts columns first that a sample of the texts shows to be rare; it decides how many
-pairs are looked at, never which are linked.
+The order puts columns first that a sample of the texts shows to be rare; it decides
+how many pairs are looked at, never which are linked.
 
 Texts of one set are one row. To keep groups of near copies from costing their
-square, every row is multiplied with the least row of each of its columns first;
-after that only pairs in different components are looked at, in columns that still
+square, every row is multiplied with the lead of each of its columns first; after that only pairs in different components are looked at, in columns that still
 have several: whoever is outside a column's largest component, with all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +39,8 @@ WIDTH = 5  # words of an n-gram
 _SAMPLE = 1 / 16  # share of the texts whose n-grams are counted for their order
 _OFTEN = 3  # texts of the sample that make an n-gram a frequent one
 _KNOWN = 1 << 20  # most frequent n-grams that the order tells apart
+_PLACES = 9  # logarithm of the bits of a set's parities
+PARITY = [f"b{k}" for k in range((1 << _PLACES) // 64)]
 _WORDS = 1 << 18  # words whose hashes a worker keeps
 _COLUMNS_BYTES = 64 << 20  # most bytes of the met columns for a broadcast
 _FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([k]), 42) | 1) for k in range(WIDTH + 1)]
@@ -85,6 +85,12 @@ def simhash(found: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """PARITY words of bits: a bit is 1 if an odd number of n-grams falls on it."""
+    counts = np.bincount((found >> np.uint64(64 - _PLACES)).astype(np.int64), minlength=1 << _PLACES)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
+
+
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that several texts of a sample have, the most frequent ones, sorted, and their counts there."""
 
@@ -121,13 +127,13 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def measured_column(text: Column, known: np.ndarray, counts: np.ndarray) -> Column:
-    """Array of node, number of n-grams, fingerprint and leading columns of a text column; null counts as empty."""
+    """Array of node, number of n-grams, fingerprint, parities and leading columns of a text column; null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             found = ngrams(t.as_py() or b"")
-            out.append(np.concatenate([np.array([node(found), len(found), simhash(found)], np.uint64), leading(found, known, counts)]).view(np.int64))
+            out.append(np.concatenate([np.array([node(found), len(found), simhash(found)], np.uint64), parities(found), leading(found, known, counts)]).view(np.int64))
         return lists(out)
 
     return F.arrow_udf(run, "array<long>")(text.cast("binary"))
@@ -146,20 +152,20 @@ def with_row_hash(docs: DataFrame, row: str, *columns: Column) -> DataFrame:
 
 
 def measured(rows: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, node, n, print, prefix (the leading columns) for every row, a written table."""
+    """doc_id, row, node, n, print, PARITY, prefix (the leading columns) for every row, a written table."""
     made = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), measured_column(F.col(text_col), *frequent(rows, text_col)).alias("_m"))
-    parts = [F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print"))]
+    parts = [F.get("_m", F.lit(k)).alias(c) for k, c in enumerate(("node", "n", "print", *PARITY))]
     with text_batches(rows.sparkSession):
-        return written(made.select("doc_id", "row", *parts, F.slice("_m", F.lit(4), F.size("_m")).alias("prefix")), "sets")
+        return written(made.select("doc_id", "row", *parts, F.slice("_m", F.lit(len(parts) + 1), F.size("_m")).alias("prefix")), "sets")
 
 
 def incidence(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, node, n, place: the leading columns that several nodes have, each node once, a written table."""
+    """key, node, n, place, PARITY: the leading columns that several nodes have, each node once, a written table."""
     copies = scratch.written(sets.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).filter("c > 1").drop("c"), "copies")
-    once = sets.select("row", "node", "n", "prefix").join(small(copies, 48), "node", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
+    once = sets.select("row", "node", "n", "prefix", *PARITY).join(small(copies, 48), "node", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
     places = once.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
     columns = scratch.written(places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "columns")
-    met = places.join(small(columns, 24, _COLUMNS_BYTES), "key", "left_semi")
+    met = places.join(small(columns, 24, _COLUMNS_BYTES), "key", "left_semi").join(once.select("node", *PARITY), "node")
     return scratch.written(met.dropDuplicates(["key", "node"]), "incidence")  # rows that are alike in all give a node twice
 
 
@@ -167,60 +173,62 @@ def enough(overlap: Column, total: Column) -> Column:
     return 9 * overlap >= 4 * total
 
 
-def rest_of(n: Column) -> Column:
-    """N-grams after the leading ones."""
-    return F.ceil(n * 4 / 5).cast("int") - 1
+def may_link(x: str, y: str) -> Column:
+    """Bounds of two rows at a column, if it is the first they share.
+
+    They share at most what follows there in the smaller rest; and each bit in which
+    their parities differ is an n-gram that only one of them has.
+    """
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in PARITY])
+    return enough(rest, total) & (9 * apart <= total)
+
+
+def pair_of(x: str, y: str) -> list[Column]:
+    return [F.greatest(f"{x}.node", f"{y}.node").alias("a"), F.least(f"{x}.node", f"{y}.node").alias("b")]
 
 
 def star_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
-    """a > b: nodes and the least node of each of their columns, where the place allows a link."""
-    leads = scratch.written(met.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("lead")), "leads")
-    both = met.join(leads, "key").filter(F.col("node") != F.col("lead.node"))
-    rest = F.least(F.col("n") - F.col("place"), F.col("lead.n") - F.col("lead.place"))
-    near = both.filter(enough(rest, F.col("n") + F.col("lead.n")))
-    return scratch.written(near.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "pairs")
+    """a > b: nodes and the lead of each of their columns, if they may link: the node that has the fewest n-grams before it, so most in common with its group."""
+    leads = scratch.written(met.groupBy("key").agg(F.min(F.struct("place", "node", "n", *PARITY)).alias("y")), "leads").select("key", "y.*")
+    product = met.alias("x").join(leads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
+    return scratch.written(product.select(*pair_of("x", "y")).distinct(), "pairs")
 
 
 def cross_pairs(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """a > b: nodes of different components whose counted overlap of leading columns allows a link."""
+    """a > b: nodes of different components that meet in a column, if they may link."""
     placed = scratch.written(met.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
     mains = scratch.written(parts.filter("roots > 1").select("key", F.col("most.root").alias("main")), "mains")
     mixed = scratch.written(placed.join(mains, "key"), "mixed")
     x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
-    total, size = F.col("x.n") + F.col("y.n"), F.least("x.n", "y.n")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") > F.col("y.node"))  # outside the largest, a pair is met from both ends
-    product = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & enough(size, total))
-    terms = product.select(
-        F.greatest("x.node", "y.node").alias("a"),
-        F.least("x.node", "y.node").alias("b"),
-        total.alias("total"),
-        F.greatest(rest_of(F.col("x.n")), rest_of(F.col("y.n"))).alias("later"),
-        F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).alias("rest"),
-    )
-    counted = terms.groupBy("a", "b", "total", "later").agg(F.count("*").alias("shared"), F.max("rest").alias("rest"))
-    bound = F.least("rest", F.col("shared") + F.col("later"))
-    return scratch.written(counted.filter(enough(bound, F.col("total"))).select("a", "b"), "pairs")
+    product = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may_link("x", "y"))
+    return scratch.written(product.select(*pair_of("x", "y")).distinct(), "pairs")
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def links_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, row: str, text_col: str) -> DataFrame:
     """The pairs a, b, a written table, whose whole rows overlap enough, written.
 
-    rows: texts and a hash ``row`` of each; sets: row, node. A pair fetches one of
-    its rows to the other, and the n-grams are computed anew for the nodes needed.
+    rows: texts and a hash ``row`` of each; sets: row, node. One of a pair's rows is
+    fetched to the other; whole rows are computed anew for the nodes needed.
     """
     with Scratch(pairs.sparkSession) as scratch:
-        needed = scratch.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+        needed = scratch.written(nodes_of(pairs), "needed")
         first = scratch.written(sets.join(small(needed, 24), "node", "left_semi").groupBy("node").agg(F.min("row").alias("first_row")), "rows")
         texts = rows.join(small(first, 48), F.col(row) == F.col("first_row")).select("node", F.col(text_col).alias("text"))
         with text_batches(pairs.sparkSession):
             whole = scratch.written(texts.select("node", ngrams_column(F.col("text")).alias("keys")), "whole-rows")
         if whole.count() > first.count():  # rows that are alike in all
             whole = whole.dropDuplicates(["node"])
-        x, y = whole.select(F.col("node").alias("a"), F.col("keys").alias("x")), whole.select(F.col("node").alias("b"), F.col("keys").alias("y"))
-        both = pairs.join(y, "b").join(x, "a")
-        linked = both.filter(enough(F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")))
-        return written(linked.select("a", "b"), "links")
+        x, y = (whole.select(F.col("node").alias(n), F.col("keys").alias(k)) for n, k in (("a", "x"), ("b", "y")))
+        overlap = F.size(F.array_intersect("x", "y"))
+        return written(pairs.join(y, "b").join(x, "a").filter(enough(overlap, F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
 def linked_nodes(rows: DataFrame, sets: DataFrame, row: str, text_col: str, candidates: DataFrame | None = None) -> DataFrame:

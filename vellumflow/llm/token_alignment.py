@@ -30,7 +30,7 @@ from vellumflow.llm.tokens import WORD, WS, PieceCache, byte_signs, default_piec
 _STEP = 256  # rows whose arrays are built side by side
 _TRANSITIONS = 1 << 20  # transitions that a worker keeps
 _PIECES = 100_000  # other pieces than words that a worker keeps
-_CHARS = 64 << 20  # characters, and a hundred for each, of the segments that a worker keeps
+_CHARS = 16 << 20  # characters, and a hundred for each, of the segments that a worker keeps
 MARK = "\u2581"  # a space in the SentencePiece model
 _MIXED = re.compile(f"[{WS}] ")  # a space that follows white space is no cut
 _CUT = re.compile(f"(?<=[^{WS}])(?= )")
@@ -149,7 +149,7 @@ class Aligner(dict):
     A segment is a space and what follows up to a space after something visible.
     Both tokenizers cut there (checked for the model), so a text's tokens are those of
     its segments, and the transducer is at its start between them. The items are
-    kept until they hold too many characters. Where a tokenizer may reach over such
+    put aside when they hold too many characters, and those met again come back. Where a tokenizer may reach over such
     cuts, a text is one segment.
     """
 
@@ -160,7 +160,7 @@ class Aligner(dict):
         self.a, self.b = PlainPieces(a_path), SentencePieceProcessor(model_file=b_path)
         self.machine = Transducer(a_token_bytes(self.a.tokenizer), b_token_bytes(self.b))
         self.alone = [self.b.piece_to_id(MARK)]  # what the model's own space is, alone
-        self.held, self.sizes = 0, {}
+        self.held, self.sizes, self.old = 0, {}, {}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         sample = "a  b c "
         kept = "".join(self.b.encode(sample, out_type=str)) == MARK + sample.replace(" ", MARK)  # spaces stay as they are
@@ -175,16 +175,25 @@ class Aligner(dict):
         return text.split(" ")
 
     def learn(self, parts: list[str]) -> None:
+        """Items of segments that aren't here; those met before the items were last put aside come back."""
         if self.held > _CHARS:
+            self.old = self.copy()
             self.clear()
             self.held = 0
-        a_bytes, align = self.machine.bytes[0], self.machine.align
-        for part, b in zip(parts, self.b.encode(parts, num_threads=1), strict=True):
-            packed = self.a.encode(" " + part)
-            a, b = array(self.a.kind, packed), b if part else self.alone
-            cuts = align(a, b) if b"".join([a_bytes[k] for k in a]) == b" " + part.encode() else None
-            self[part] = None if cuts is None else (array("I", a).tobytes(), array("I", b).tobytes(), *self.packed_sizes(cuts))
-            self.held += len(part) + 100
+        again = self.old.keys() & parts
+        self.update((p, self.old[p]) for p in again)
+        new = [p for p in parts if p not in again]
+        a_bytes, align, merge, kind = self.machine.bytes[0], self.machine.align, self.a.merge, self.a.kind
+        for part, b in zip(new, self.b.encode(new, num_threads=1), strict=True):
+            text = " " + part
+            if merge and WORD.fullmatch(text):  # merges keep the bytes
+                a, same = merge(text.encode()), True
+            else:
+                a = array(kind, self.a.encode(text))
+                same = b"".join([a_bytes[k] for k in a]) == text.encode()
+            cuts = align(a, b if part else self.alone) if same else None
+            self[part] = None if cuts is None else (array("I", a).tobytes(), array("I", b or self.alone).tobytes(), *self.packed_sizes(cuts))
+        self.held += sum(map(len, parts)) + 100 * len(parts)
 
     def packed_sizes(self, cuts: tuple[list[int], list[int]]) -> tuple[bytes, bytes]:
         """Most segments have one of a few forms, kept once."""
