@@ -1,11 +1,11 @@
 import math
-
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumflow.functions import metrics
+from vellumflow.functions import distances, metrics
 from vellumflow.operators import contract, corpus, stats, topics
 
 
@@ -62,7 +62,7 @@ def table_distance(a, b):
     return row[-1]
 
 
-def test_edit_distances_in_every_band(spark):
+def test_edit_distances_of_few_and_many_edits(spark):
     rng, rows = random.Random(3), []
     for n, changes in ((0, 0), (5, 9), (60, 0), (60, 3), (60, 20), (400, 40), (700, 500), (900, 300)):
         a = [rng.choice("abcdé😀́") for _ in range(n)]
@@ -81,11 +81,33 @@ def test_edit_distances_in_every_band(spark):
     assert [r[0] for r in nulls.select(metrics.edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None]
 
 
-def test_word_distances_as_folded(spark):
-    rows = [("a b c", "a c"), ("", "x y"), ("x x x y", "x y x"), ("one", "two three"), ("p q r s t", "p r q s")]
+def test_word_distances_against_the_whole_table(spark):
+    rng = random.Random(4)
+    rows = [("a b c", "a c"), ("", "x y"), ("x x x y", "y x y"), ("one", "two three"), ("p q r s t", "p r q s"), ("same", "same")]
+    for _ in range(60):
+        rows.append(tuple(" ".join(rng.choice("pqrst") for _ in range(rng.randint(0, 40))) for _ in range(2)))
     df = spark.createDataFrame(rows, "a string, b string").select(metrics.words(F.col("a")).alias("a"), metrics.words(F.col("b")).alias("b"))
-    for r in df.select("a", "b", metrics.token_distance(F.col("a"), F.col("b")).alias("d"), metrics.folded_distance(F.col("a"), F.col("b")).alias("f")).collect():
-        assert r["d"] == r["f"] == table_distance(r["a"], r["b"])
+    for r in df.select("a", "b", metrics.token_distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert r["d"] == table_distance(r["a"], r["b"])
+    nulls = spark.createDataFrame([(None, ["a"]), (["a"], None), (["a", None], [None]), (["b"], ["c"])], "a array<string>, b array<string>")
+    assert [r[0] for r in nulls.select(metrics.token_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 1, 1]
+
+
+def test_diagonals_against_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(400):
+        signs = rng.choice((2, 4, 30))
+        a = [rng.randrange(signs) for _ in range(rng.randint(0, 30))]
+        b = [x for x in a if rng.random() < 0.8] if rng.random() < 0.6 else [rng.randrange(signs) for _ in range(rng.randint(0, 30))]
+        assert distances.distance(np.array(a, np.int64), np.array(b, np.int64)) == table_distance(a, b)
+
+
+def test_a_line_of_thirty_thousand_signs(spark):
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefg ithe") for _ in range(30_000))
+    n = line.count("th")
+    df = spark.createDataFrame([(line, line.replace("th", "t"))], "a string, b string")
+    assert df.select(metrics.edit_distance(F.col("a"), F.col("b"))).first()[0] == n > 200
 
 
 def test_first_last_and_allowed(spark):

@@ -9,18 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Distances up to which an edit distance is looked for in a band, one after the other.
-BANDS = (4, 32, 256)
-
+from vellumflow.functions import distances
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance in code points: none for equal texts, and else by the narrowest band that holds it.
-
-    A band of width t costs t times the length, so near texts don't cost the square of it.
-    """
-    banded = [F.element_at(F.transform(F.array(F.levenshtein(a, b, t)), lambda d: F.when(d >= 0, d)), 1) for t in BANDS]
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+    """Edit distance in code points; equal texts cost nothing, others n + d² steps for n signs and d edits."""
+    return F.when(a == b, F.lit(0)).otherwise(F.arrow_udf(distances.text_distances, "int")(F.when(a != b, a), b))
 
 
 def cer(pred: Column, gold: Column) -> Column:
@@ -33,40 +26,8 @@ def words(text: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of texts.
-
-    Each distinct token becomes one code point, and the two strings are compared;
-    a pair with more tokens than there are code points is folded row by row.
-    """
-    known = F.array_distinct(F.concat(a, b))
-
-    def spelt(tokens: Column) -> Column:
-        units = F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(known, t) + 255), 4, "0"))
-        return F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")
-
-    return F.when(F.size(known) < _CODES, edit_distance(spelt(a), spelt(b))).otherwise(folded_distance(a, b))
-
-
-_CODES = 0xD800 - 256  # code points from 256 on, below those that UTF-16 keeps for itself
-
-
-def folded_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays, one row of the table folded after the other."""
-    n = F.size(b)
-    start = F.sequence(F.lit(0), n)
-
-    def row(before: Column, token: Column) -> Column:
-        first = F.array(F.get(before, F.lit(0)) + 1)
-        places = F.filter(F.sequence(F.lit(0), n), lambda j: j > 0)
-
-        def cell(line: Column, j: Column) -> Column:
-            same = (F.get(b, j - 1) == token).cast("int")
-            best = F.least(F.get(before, j) + 1, F.get(line, j - 1) + 1, F.get(before, j - 1) + 1 - same)
-            return F.concat(line, F.array(best))
-
-        return F.aggregate(places, first, cell)
-
-    return F.element_at(F.aggregate(a, start, row), -1)
+    """Edit distance of two arrays of texts."""
+    return F.when(a == b, F.lit(0)).otherwise(F.arrow_udf(distances.list_distances, "int")(F.when(a != b, a), b))
 
 
 def wer(pred: Column, gold: Column) -> Column:

@@ -50,5 +50,6 @@ def normalization_impact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def recognition_summary(df: DataFrame, pred: Column, gold: Column) -> DataFrame:
     """n, n_errors, mean_cer, accuracy: rows without a prediction are errors and not in the mean."""
-    error = F.when(pred.isNotNull() & gold.isNotNull(), cer(pred, gold))
-    return df.agg(F.count(error).alias("n"), F.count_if(error.isNull()).alias("n_errors"), F.round(F.avg(error), 6).alias("mean_cer"), F.round(1 - F.coalesce(F.avg(error), F.lit(1.0)), 6).alias("accuracy"))
+    error = F.col("_error")
+    rows = df.select(F.when(pred.isNotNull() & gold.isNotNull(), cer(pred, gold)).alias("_error"))
+    return rows.agg(F.count(error).alias("n"), F.count_if(error.isNull()).alias("n_errors"), F.round(F.avg(error), 6).alias("mean_cer"), F.round(1 - F.coalesce(F.avg(error), F.lit(1.0)), 6).alias("accuracy"))

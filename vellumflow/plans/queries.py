@@ -38,7 +38,8 @@ def impact(spark, sf_dir):
 
 def cer_pairs(spark, sf_dir):
     rows = doc_lines(spark, sf_dir).withColumn("pred", F.replace("line", F.lit("th"), F.lit("t")))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("mean_cer"), F.round(metrics.accuracy(metrics.cer(F.col("pred"), F.col("line"))), 6).alias("accuracy"))
+    rows = rows.select("lang", metrics.cer(F.col("pred"), F.col("line")).alias("cer"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(metrics.accuracy(F.col("cer")), 6).alias("accuracy"))
 
 
 def folded(line):
