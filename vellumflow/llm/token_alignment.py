@@ -264,6 +264,13 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc
         return written(texts.mapInArrow(run, ALIGNED), "aligned")
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of few rows, as several arrays are as long as all of a run's tokens."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _STEP // 4):
+            yield batch.slice(k, _STEP // 4)
+
+
 def values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values of a list column, and where each row's begin."""
     offsets = column.offsets.to_numpy()
@@ -288,7 +295,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(counts[0])], names=["code", "n"])
 
-    for batch in batches:
+    for batch in steps(batches):
         found, n = np.unique(links(batch)[0], return_counts=True)
         codes.append(found), counts.append(n)
         held += len(found)
@@ -346,7 +353,7 @@ def digests(aligned: DataFrame, counts: DataFrame, most: int, pair_bytes: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pa.array([f"{k}{sep}" for k in range(most) for sep in ",|;"], pa.large_string())
-        for batch in batches:
+        for batch in steps(batches):
             sizes = [pa.array(np.diff(values(batch.column(c))[1]).astype(np.int64)) for c in ("a_ids", "b_ids", "a_sizes", "a_sizes")]
             out = [batch.column("uid"), batch.column("doc_id"), *sizes, pa.array(group_digests(batch, numbers))]
             if sent:
@@ -356,7 +363,7 @@ def digests(aligned: DataFrame, counts: DataFrame, most: int, pair_bytes: int =
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in DIGEST] + ["n_best", "count_sum"][: 2 * sent])
 
     def distinct_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             found, first = links(batch)
             uids = np.repeat(batch.column("uid").to_numpy(), np.diff(first))
             yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(found)], names=["uid", "code"])
