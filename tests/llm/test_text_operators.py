@@ -1,6 +1,7 @@
 """op2, op3, op5, op6, op7 and op10 against brute force, edges of all of them."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -142,6 +143,43 @@ def test_licenses_of_own_templates(spark):
     assert (4, 2, "alpha", 1.0) in {(r["doc_id"], r["place"], r["license"], r["dice"]) for r in got if r["unit"] == "window"}
 
 
+def windows_by_hand(text, templates, threshold=0.8):
+    """Every window of each template's size, best first, without those that overlap a taken one."""
+    words = re.sub(r"[^\w]+|_", " ", text.lower()).split()
+    pairs, found = list(zip(words, words[1:], strict=False)), {}
+    for name, template in templates:
+        want = bigrams_by_hand(template)
+        size, taken = sum(want.values()), []
+        scored = sorted((-sum((Counter(pairs[p : p + size]) & want).values()), p) for p in range(len(pairs)) if pairs[p] in want)
+        for c, p in scored:
+            if -c / size >= threshold and all(abs(p - q) >= size for q in taken):
+                taken.append(p)
+                found[p + 1, name] = max(found.get((p + 1, name), 0), -c / size)
+    return found
+
+
+def test_license_windows_by_hand(spark):
+    """Copies side by side, overlapping ones, edited ones and repeats within a template; a very long text; a name with an apostrophe."""
+    own = [("Author's", "take this and keep this and share this with all"), ("b\\c", "share this with all of them"), ("ten", "one two three four five six seven eight nine ten"), ("ten", "five six seven eight nine ten eleven")]
+    ten, rng = own[2][1].split(), random.Random(5)
+    texts = ["zz " + " ".join(ten * 2) + " zz", " ".join(ten + ["x"] * 17 + ten), " ".join(ten[:9] * 3 + ten), "take this and " * 40]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(2, 9)):
+            piece = rng.choice(own)[1].split()
+            for _ in range(rng.randrange(3)):
+                piece[rng.randrange(len(piece))] = rng.choice(["x", "this", "ten", "and"])
+            parts += piece[rng.randrange(3) :] + ["y"] * rng.randrange(3)
+        texts.append(" ".join(parts))
+    texts.append(" ".join(ten) * 3 + " " + "take this and keep this and share this with all " * 400 + "the quiet river " * 20000)
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=own).filter("unit = 'window'").collect()
+    want = {(k, *at): d for k, t in enumerate(texts) for at, d in windows_by_hand(t, own).items()}
+    assert {(r["doc_id"], r["place"], r["license"]): r["dice"] for r in got} == want and len(got) == len(want)
+    assert [r["place"] for r in sorted(got) if r["doc_id"] == 0 and r["license"] == "ten" and r["dice"] == 1.0][0] == 2
+    assert len([r for r in got if r["doc_id"] == 0 and r["license"] == "ten"]) >= 2 and len([r for r in got if r["doc_id"] == len(texts) - 1 and r["dice"] == 1.0]) >= 400
+    assert license_scan.scan_licenses(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), templates=[("one", "word")]).collect() == []
+
+
 def measured_by_hand(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]

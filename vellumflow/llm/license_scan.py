@@ -28,7 +28,6 @@ from vellumflow.llm.shared import written
 
 THRESHOLD = 0.8
 FOUND = ["doc_id", "unit", "place", "license", "dice"]
-_SCALE = 1 << 20  # places of a window, whatever its size
 
 #: Licence notices, by name.
 NOTICES: list[tuple[str, str]] = [
@@ -105,20 +104,25 @@ def scan_licenses(docs: DataFrame, *, templates=None, threshold: float = THRESHO
     unit ``line``: the best template of a line, at its number from 1; ``text``: the
     best of the whole of a text of several lines, at 0. Ties go to the smaller name.
     ``window``: at the number of its first word, from 1, a window of a template's size;
-    of windows that overlap, the one with most matching bigrams, the first of them, and
-    of templates of one licence the best at that place. Null and empty texts give no
-    row; repeated rows and null ids are kept; further columns are left out; an empty
-    table gives no rows.
+    a template takes windows by descending coefficient, the first of equal ones, and drops
+    only those that overlap a taken one, so copies side by side are a row each; of
+    templates of one licence the best at a place stays. Null and empty texts give no
+    row; long texts are read whole; repeated rows and null ids are kept; further columns
+    are left out; an empty table, or templates without bigrams, give no rows.
     """
     known = template_bigrams(all_templates() if templates is None else templates)
     sizes = [sum(b.values()) for _, b in known]
-    rows = ", ".join(f"({k}, '{name}', {sizes[k]}, '{g}', {c})" for k, (name, own) in enumerate(known) for g, c in sorted(own.items()))
+    if not any(sizes):
+        return docs.limit(0).select(F.col(id_col).alias("doc_id"), F.lit("").alias("unit"), F.lit(0).alias("place"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
+    names = [name.replace("\\", "\\\\").replace("'", "\\'") for name, _ in known]
+    rows = ", ".join(f"({k}, '{names[k]}', {sizes[k]}, '{g}', {c})" for k, (_, own) in enumerate(known) for g, c in sorted(own.items()))
     table = docs.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, size, bigram, most)")
     text = F.col(text_col)
     marked = F.arrays_overlap(F.split(normalised(text), " "), F.array(*map(F.lit, marks(known, threshold))))
     kept = docs.filter(text.isNotNull() & marked).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     kept = written(kept, "license-candidates")
-    return whole_units(kept, table, sorted(set(sizes)), threshold).unionByName(windows(kept, table, threshold))
+    repeats = sorted({c for _, own in known for c in own.values()})
+    return whole_units(kept, table, sorted(set(sizes)), threshold).unionByName(windows(kept, table, threshold, repeats))
 
 
 def whole_units(kept: DataFrame, table: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
@@ -138,20 +142,49 @@ def whole_units(kept: DataFrame, table: DataFrame, sizes: list[int], threshold:
     return best.select("doc_id", F.when(F.col("place") > 0, "line").otherwise("text").alias("unit"), "place", F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
 
 
-def windows(kept: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+def windows(kept: DataFrame, table: DataFrame, threshold: float, repeats: list[int]) -> DataFrame:
+    """Windows of each template's size that reach ``threshold``, best first, without those that overlap a better one.
+
+    A bigram counts in the windows that hold it, save those that hold the template's
+    number of it before it: one stretch of first words. So a window's matches are the
+    stretches that cover its first word, a running sum, for all windows at once.
+    """
     words = F.split(normalised(F.col("text")), " ")
     placed = kept.select("row", "doc_id", F.posexplode(bigrams_of(words)).alias("pos", "bigram")).join(F.broadcast(table), "bigram")
     of = Window.partitionBy("row", "template")
-    following = of.orderBy(F.expr(f"pos * {_SCALE}L div size")).rangeBetween(0, _SCALE - 1)  # the places of a window that begins here
     met = placed.withColumn("all", F.count("*").over(of)).filter(F.col("all") >= F.col("size") * threshold)
-    met = written(met.withColumn("inside", F.count("*").over(following)), "license-matches")
-    starts = met.filter(F.col("inside") >= F.col("size") * threshold)
-    apart = F.coalesce(F.col("pos") - F.lag("pos").over(of.orderBy("pos")) >= F.col("size"), F.lit(False))
-    numbered = starts.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(of.orderBy("pos")))
-    best = numbered.groupBy("row", "template", "run").agg(F.min(F.struct((-F.col("inside")).alias("i"), "pos")).alias("best")).select("row", "template", F.col("best.pos").alias("start"))
-    within = met.join(best, ["row", "template"]).filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("size")))
-    unit = ["row", "doc_id", "template", "start", "license", "size"]
-    each = within.groupBy(*unit, "bigram").agg(F.least(F.count("*"), F.first("most")).alias("common"))
-    dice = each.groupBy(*unit).agg((F.sum("common") / F.col("size")).alias("dice")).filter(F.col("dice") >= threshold)
-    named = dice.groupBy("row", "doc_id", "start", "license").agg(F.max("dice").alias("dice"))
+    same = Window.partitionBy("row", "template", "bigram").orderBy("pos")
+    filled = F.coalesce(*[F.when(F.col("most") == m, F.lag("pos", m).over(same)) for m in repeats])
+    met = met.withColumn("opens", F.greatest(filled + 1, F.col("pos") - F.col("size") + 1))
+
+    def step(at: Column, by: int, start: bool) -> Column:
+        return F.struct(at.alias("at"), F.lit(by).alias("by"), F.lit(start).alias("start"))
+
+    unit = ["row", "doc_id", "template", "license", "size"]
+    steps = met.select(*unit, F.explode(F.array(step(F.col("opens"), 1, False), step(F.col("pos"), 0, True), step(F.col("pos") + 1, -1, False))).alias("s")).select(*unit, "s.*")
+    running = steps.withColumn("common", F.sum("by").over(of.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
+    starts = running.filter(F.col("start") & (F.col("common") / F.col("size") >= threshold))
+    apart = F.coalesce(F.col("at") - F.lag("at").over(of.orderBy("at")) >= F.col("size"), F.lit(False))
+    numbered = starts.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(of.orderBy("at")))
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("common")).alias("c"), "at")))
+    runs = numbered.groupBy(*unit, "run").agg(best_first.alias("found"), F.min("at").alias("low"), F.max("at").alias("high"))
+    taken = runs.select(*unit, F.explode(without_overlaps(F.col("found"), F.col("low"), F.col("high"), F.col("size"))).alias("w")).filter("w is not null")
+    named = taken.groupBy("row", "doc_id", F.col("w.at").alias("start"), "license").agg(F.max(-F.col("w.c") / F.col("size")).alias("dice"))
     return named.select("doc_id", F.lit("window").alias("unit"), (F.col("start") + 1).alias("place"), "license", "dice")
+
+
+def without_overlaps(found: Column, low: Column, high: Column, size: Column) -> Column:
+    """Of windows (c, at) between ``low`` and ``high``, in order of preference, each that overlaps none taken before; nulls beside them.
+
+    Taken windows are ``size`` apart, so a stretch of that length holds one at most,
+    and a window meets those of three stretches only.
+    """
+
+    def take(taken: Column, w: Column) -> Column:
+        k = F.floor((w["at"] - low) / size).cast("int")
+        near = F.array(*[F.get(taken, k + i)["at"] for i in (-1, 0, 1)])
+        free = F.forall(near, lambda t: t.isNull() | (F.abs(t - w["at"]) >= size))
+        return F.when(free, F.concat(F.slice(taken, F.lit(1), k), F.array(w), F.slice(taken, k + 2, F.size(taken)))).otherwise(taken)
+
+    places = F.floor((high - low) / size).cast("int") + 1
+    return F.aggregate(found, F.array_repeat(F.lit(None).cast("struct<c:bigint,at:int>"), places), take)

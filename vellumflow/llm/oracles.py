@@ -33,7 +33,7 @@ def license_sql() -> str:
     rows = ", ".join(f"({k}, '{name}', {sum(own.values())}, '{g}', {c})" for k, (name, own) in enumerate(known) for g, c in sorted(own.items()))
     low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
-    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
 t AS (SELECT * FROM (VALUES {rows}) AS t(template, license, size, bigram, most)),
 u AS (SELECT rid, 0 AS line, {words.format("text")} AS ws FROM d WHERE len(ls) > 1 UNION ALL SELECT rid, line, {words.format("l")} FROM (SELECT rid, unnest(range(1, len(ls) + 1))::INT AS line, unnest(ls) AS l FROM d)),
 b AS (SELECT rid, line, len(ws) - 1 AS n, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM u WHERE len(ws) > 1),
@@ -43,12 +43,13 @@ k AS (SELECT rid, CASE WHEN line > 0 THEN 'line' ELSE 'text' END AS unit, line A
 w AS (SELECT rid, {words.format("text")} AS ws FROM d),
 p AS (SELECT rid, unnest(range(0, len(ws) - 1))::INT AS pos, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1),
 m AS (SELECT rid, pos, template, license, size, bigram, most, count(*) OVER (PARTITION BY rid, template ORDER BY pos RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS inside FROM p JOIN t ON bigram = g[1] || ' ' || g[2]),
-a AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY rid, template ORDER BY pos) >= size, false)::INT AS apart FROM m WHERE inside >= size * {THRESHOLD}::DOUBLE),
-r AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY pos) AS run FROM a),
-f AS (SELECT rid, template, pos AS start FROM r QUALIFY row_number() OVER (PARTITION BY rid, template, run ORDER BY inside DESC, pos) = 1),
-e AS (SELECT m.rid, m.template, start, license, size, least(count(*), any_value(most)) AS common FROM m JOIN f ON m.rid = f.rid AND m.template = f.template AND pos >= start AND pos < start + size GROUP BY m.rid, m.template, start, license, size, bigram),
-g AS (SELECT rid, start, license, sum(common)::DOUBLE / size AS dice FROM e GROUP BY rid, template, start, license, size),
-z AS (SELECT rid, 'window' AS unit, start + 1 AS place, license, max(dice) AS dice FROM g WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY rid, start, license)
+h AS (SELECT rid, template, license, size, pos AS start FROM m WHERE inside >= size * {THRESHOLD}::DOUBLE),
+e AS (SELECT h.rid, h.template, h.license, h.size, start, least(count(*), any_value(most)) AS common FROM h JOIN m ON m.rid = h.rid AND m.template = h.template AND pos >= start AND pos < start + h.size GROUP BY h.rid, h.template, h.license, h.size, start, bigram),
+f AS (SELECT rid, template, license, size, start, sum(common)::BIGINT AS common FROM e GROUP BY rid, template, license, size, start),
+q AS (SELECT *, row_number() OVER (PARTITION BY rid, template ORDER BY common DESC, start) AS k FROM f WHERE common::DOUBLE / size >= {THRESHOLD}::DOUBLE),
+x AS (SELECT rid, template, 0::BIGINT AS k, []::INT[] AS taken FROM q WHERE k = 1 UNION ALL SELECT q.rid, q.template, q.k, CASE WHEN len(list_filter(x.taken, lambda o: abs(o - q.start) < q.size)) = 0 THEN list_append(x.taken, q.start) ELSE x.taken END FROM x JOIN q ON q.rid = x.rid AND q.template = x.template AND q.k = x.k + 1),
+y AS (SELECT rid, template, unnest(arg_max(taken, k)) AS start FROM x GROUP BY rid, template),
+z AS (SELECT rid, 'window' AS unit, start + 1 AS place, license, max(common::DOUBLE / size) AS dice FROM y JOIN q USING (rid, template, start) GROUP BY rid, start, license)
 SELECT doc_id, unit, place, license, dice FROM (SELECT * FROM k UNION ALL SELECT * FROM z) JOIN d USING (rid)"""
 
 
