@@ -173,6 +173,19 @@ d AS (SELECT r.range AS r, v, c, i, md5('42:' || r.range || ':' || v || ':' || i
 w AS (SELECT r, v, CASE WHEN i = 0 THEN greatest(0, floor(c + sqrt(c) * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * x) + 0.5::DOUBLE)) ELSE {draws} END AS w FROM u), m AS (SELECT r, sum(v * w) / sum(w) AS m FROM w GROUP BY r)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(m) AS n_rounds FROM m""",
         "bbox_iou": "WITH b AS (SELECT l_linenumber AS n, l_quantity::INT AS q FROM lineitem), i AS (SELECT n, q, greatest(0, q - n) * 8 AS w FROM b), u AS (SELECT w / (q * 10 + q * 8 - w)::DOUBLE AS iou FROM i) SELECT count(iou) AS n, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou, count(*) FILTER (iou > 0.75) AS n_over_75, count(*) FILTER (iou > 0.85) AS n_over_85 FROM u",
+        "line_matching": """WITH RECURSIVE b AS (SELECT l_orderkey AS page, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS id, l_partkey % 40 * 10 AS x, l_linenumber * 12 AS y, l_suppkey % 13 AS m, l_quantity::INT AS q FROM lineitem),
+o AS (SELECT t.page, t.id AS truth, p.id AS pred, greatest(0, least(t.x + 100 + 4 * t.q, p.x + 100 + 3 * p.q) - greatest(t.x, p.x + p.m - 3)) * greatest(0, least(t.y + 18, p.y + p.m + 12) - greatest(t.y, p.y + p.m - 6)) AS shared, (100 + 4 * t.q) * 18 + (103 + 3 * p.q - p.m) * 18 AS sizes FROM b t JOIN b p USING (page)),
+k AS (SELECT page, truth, pred, shared / (sizes - shared)::DOUBLE AS iou FROM o WHERE shared > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, md5(truth || ':' || pred), truth, pred) AS nth FROM k),
+w AS (SELECT page, 0::BIGINT AS nth, []::VARCHAR[] AS ts, []::VARCHAR[] AS ps, []::DOUBLE[] AS ious FROM r WHERE nth = 1
+  UNION ALL SELECT page, nxt, CASE WHEN free THEN list_append(ts, truth) ELSE ts END, CASE WHEN free THEN list_append(ps, pred) ELSE ps END, CASE WHEN free THEN list_append(ious, iou) ELSE ious END
+  FROM (SELECT w.*, r.nth AS nxt, r.truth, r.pred, r.iou, NOT list_contains(w.ts, r.truth) AND NOT list_contains(w.ps, r.pred) AS free FROM w JOIN r ON r.page = w.page AND r.nth = w.nth + 1) AS r),
+f AS (SELECT page, unnest(arg_max(ious, nth)) AS iou FROM w GROUP BY page),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT page, id FROM b))
+SELECT count(*) AS n_matched, any_value(n.n) - count(*) AS n_missed, any_value(n.n) - count(*) AS n_invented, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou, count(*) FILTER (iou > 0.75) AS n_over_75, count(*) FILTER (iou > 0.85) AS n_over_85 FROM f, n""",
+        "event_sessions": """WITH e AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER u > INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, min(ts) AS first_at, max(ts) + INTERVAL 30 MINUTE AS ends_at, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
         "clipped_boxes": """WITH p AS (SELECT l_linenumber, l_quantity::INT AS q, l_linenumber AS n FROM lineitem), b AS (SELECT l_linenumber, greatest(0, least(q, n - 2, -3)) AS x0, greatest(0, least(n, q - 20, n + 2)) AS y0, greatest(0, least(40, greatest(q, n - 2, -3))) AS x1, greatest(0, least(6, greatest(n, q - 20, n + 2))) AS y1 FROM p)
 SELECT l_linenumber, count(*) AS n, sum(x0) AS x0, sum(y0) AS y0, sum(x1) AS x1, sum(y1) AS y1 FROM b GROUP BY l_linenumber""",
         "shelf_docs": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS document, count(*) AS n_lines FROM conversations GROUP BY conv_id",

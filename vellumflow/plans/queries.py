@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.functions import metrics, text
-from vellumflow.operators import contract, corpus, entities, stats, tei, topics
+from vellumflow.operators import contract, corpus, entities, matching, stats, tei, topics
+from vellumflow.streaming.sessions import closed_sessions
 
 #: Names that stand in for a gazetteer in the synthetic texts.
 NAMES = {"LOC": ["The", "Les"], "ORG": ["Der", "Ein"], "MISC": ["Los", "Una"]}
@@ -238,6 +239,23 @@ def ious(spark, sf_dir):
     return metrics.iou_summary(boxed).withColumns({c: F.round(c, 6) for c in ("mean_iou", "median_iou")})
 
 
+def line_matching(spark, sf_dir):
+    """True boxes made from order lines, an order a page; predicted ones are moved and grown."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    x, y, moved = F.col("l_partkey") % 40 * 10, F.col("l_linenumber") * 12, F.col("l_suppkey") % 13
+
+    def boxes(x0, y0, x1, y1):
+        return items.select("page", "line_id", F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).alias("box"))
+
+    truth, pred = boxes(x, y, x + 100 + 4 * F.col("q"), y + 18), boxes(x + moved - 3, y + moved - 6, x + 100 + 3 * F.col("q"), y + moved + 12)
+    return matching.matching_summary(matching.match_lines(truth, pred))
+
+
+def event_sessions(spark, sf_dir):
+    found = closed_sessions(spark, f"{sf_dir}/events.parquet*")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_at", "ends_at")], "n", F.round("total", 4).alias("total"))
+
+
 def clipped_boxes(spark, sf_dir):
     """Polygons made from order lines as text, their boxes within a page of 40 by 6."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n"))
@@ -325,6 +343,8 @@ def queries() -> dict:
         "bootstrap_ci": bootstrap,
         "bbox_iou": ious,
         "clipped_boxes": clipped_boxes,
+        "line_matching": line_matching,
+        "event_sessions": event_sessions,
         "shelf_docs": conversations,
         "ctfidf_terms": topic_terms,
         "kmeans_topics": vector_topics,
