@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumflow.sources.scratch import cut
+
 COLUMNS = ["text", "image_path", "language", "century", "shelfmark", "project", "source_corpus"]
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
@@ -59,13 +63,20 @@ def column_or(df: DataFrame, name: str, default: str = "?") -> Column:
 def dense_index(df: DataFrame, order: list[str], out: str = "index") -> DataFrame:
     """0, 1, 2 ... in a given order, by offsets of range partitions: no task orders all rows.
 
-    Ties in ``order`` are numbered in an order that a rerun may change.
+    The sorted rows are written once and read for sizes and numbers, so ties in
+    ``order`` keep the number they got, but a rerun may number them otherwise.
     """
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = sorted_df.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", "_first", before.alias("_before"))
-    return sorted_df.join(offsets, "_part").withColumn(out, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
+
+
+def with_source_index(df: DataFrame, order: list[str], keep: Column, out: str = "source_idx") -> DataFrame:
+    """The rows to keep, with the number each had among all rows; names of files made from it stay true after any filter."""
+    return dense_index(df.withColumn("_keep", F.coalesce(keep, F.lit(False))), order, out).filter("_keep").drop("_keep")
 
 
 def split_missing(df: DataFrame, known: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
@@ -108,15 +119,50 @@ def _order(seed: Column, group: Column, salt: str = "") -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), F.lit(salt), group) if salt else F.concat_ws(":", seed.cast("string"), group))
 
 
+def kth_smallest(df: DataFrame, hashed: str, tie: str, k: int, *, digits: int = 3, few: int = 4096) -> tuple[str, str] | None:
+    """The hash (hexadecimal text, not null) and tie of the ``k``-th smallest row, from 1; None if there are not so many.
+
+    Rows are counted by the next digits of their hash and the place that holds the
+    rank is counted again by the digits after, until it has ``few`` rows or its rows
+    share their hash. A round brings 16**digits counts to the driver, never the rows.
+    """
+    prefix, length = "", df.agg(F.max(F.length(hashed))).first()[0] or 0
+    here = df.select(hashed, tie)
+    while k > 0:
+        place = F.substring(hashed, len(prefix) + 1, digits)
+        for next_digits, n in sorted(map(tuple, here.groupBy(place).count().collect())):
+            if k <= n:
+                break
+            k -= n
+        else:
+            return None
+        prefix += next_digits
+        here = here.filter(F.col(hashed).startswith(prefix))
+        if n <= few or len(prefix) >= length:
+            found = here.orderBy(hashed, tie).offset(k - 1).limit(1).first()
+            return found[hashed], found[tie]
+    return None
+
+
 def group_split(df: DataFrame, group: str, *, seed: int = 42, test: float = 0.15, val: float = 0.15) -> DataFrame:
     """group, split: whole groups go to test, val or train.
 
     Groups are shuffled by a hash of seed and name; the first ceil(test * n) are
-    test, of the rest the first ceil(val / (1 - test) * rest) are val.
+    test, of the rest the first ceil(val / (1 - test) * rest) are val. The last group
+    of each is found by its rank, so no task orders all groups. Null groups have none.
     """
-    groups = df.select(F.col(group).cast("string").alias("group")).filter("group is not null").distinct()
-    seeds = df.sparkSession.range(1).select(F.lit(seed).alias("seed1"), F.lit(seed).alias("seed2"))
-    return _assigned(groups, seeds, test, val).select("group", "split")
+    names = df.select(F.col(group).cast("string").alias("group")).filter("group is not null").distinct()
+    hashed = {"_h": _order(F.lit(seed), F.col("group")), "_v": _order(F.lit(seed), F.col("group"), "val")}
+    groups = cut(names.withColumns(hashed), "groups")
+
+    def first(rows: DataFrame, by: str, share: float) -> Column:
+        n = rows.count()
+        last = kth_smallest(rows, by, "group", min(n, math.ceil(share * n)))
+        return (F.col(by) < last[0]) | ((F.col(by) == last[0]) & (F.col("group") <= last[1])) if last else F.lit(False)
+
+    is_test = first(groups, "_h", test)
+    is_val = first(groups.filter(~is_test), "_v", val / (1 - test)) if test < 1 else F.lit(False)
+    return groups.select("group", F.when(is_test, "test").when(is_val, "val").otherwise("train").alias("split"))
 
 
 def _assigned(groups: DataFrame, seeds: DataFrame, test: float, val: float) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumflow.functions.text import is_blank, normalize, prefix, text_column
-from vellumflow.operators.corpus import column_or
+from vellumflow.operators.corpus import column_or, dense_index
+from vellumflow.sources.scratch import cut
 
 ENTITY = T.StructType([T.StructField("word", T.StringType()), T.StructField("entity_group", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 Predictor = Callable[[list[str]], list[list[dict]]]
@@ -205,14 +206,45 @@ def check_aligned(texts: DataFrame, gold: DataFrame, key: str = "doc_id") -> Dat
     return a.join(b, key, "full_outer").filter("a is null or b is null").select(key)
 
 
-def cooccurrences(facts: DataFrame, page: str = "text_idx", word: str = "word") -> DataFrame:
+def cooccurrences(facts: DataFrame, page: str = "text_idx", word: str = "word", *, block: int = 256) -> DataFrame:
     """a, b, n: pages that name both, each pair once in the order of names.
 
-    A page's distinct names are paired within its row, so a page's size alone bounds the work.
+    A page's distinct names are dealt into blocks of about ``block`` by their hash, and
+    each pair of blocks is a key of its own: a page of a million names is many keys,
+    each of at most some ``block`` squared pairs. Null pages and names are left out.
     """
-    names = facts.groupBy(page).agg(F.array_sort(F.collect_set(word)).alias("w"))
-    pairs = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return names.filter(F.size("w") > 1).select(F.explode(pairs).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
+    names = cut(facts.select(F.col(page).alias("page"), F.col(word).alias("w")).dropna().distinct(), "names")
+    blocks = names.groupBy("page").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("of")).filter("of > 1").select("page", "blocks")
+    dealt = names.join(blocks, "page").withColumn("at", F.pmod(F.xxhash64("w"), "blocks"))
+    low = dealt.select("page", "w", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j")).alias("x")
+    high = dealt.select("page", "w", F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j")).alias("y")
+    met = low.join(high, (F.col("x.page") == F.col("y.page")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.w") < F.col("y.w"))))
+    return met.select(F.least("x.w", "y.w").alias("a"), F.greatest("x.w", "y.w").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def gexf_lines(edges: DataFrame) -> DataFrame:
+    """part, number, line: the graph document of an edge table of any size, in the order of part and number.
+
+    Nodes are numbered in the order of their names, edges in that of a and b.
+    """
+    def safe(text: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return text
+
+    edges = cut(edges.select("a", "b", "n"), "edges")
+    nodes = dense_index(edges.select(F.col("a").alias("w")).union(edges.select("b")).distinct(), ["w"], "id")
+    ends = [nodes.select(F.col("w").alias(end), F.col("id").alias(f"{end}_id")) for end in ("a", "b")]
+    links = dense_index(edges.join(ends[0], "a").join(ends[1], "b"), ["a", "b"], "id")
+    frame = edges.sparkSession.createDataFrame([(0, 0, '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="undirected"><nodes>'), (2, 0, "</nodes><edges>"), (4, 0, "</edges></graph></gexf>")], "part int, number long, line string")
+    node = F.concat(F.lit('<node id="'), "id", F.lit('" label="'), safe(F.col("w")), F.lit('"/>'))
+    link = F.format_string('<edge id="%d" source="%d" target="%d" weight="%d"/>', "id", "a_id", "b_id", "n")
+    return frame.union(nodes.select(F.lit(1), "id", node)).union(links.select(F.lit(3), "id", link))
+
+
+def write_gexf(edges: DataFrame, path: str) -> None:
+    """The graph document as text, written by tasks: its files, one after the other by name, are the document."""
+    gexf_lines(edges).orderBy("part", "number").select("line").write.mode("overwrite").text(path)
 
 
 def gexf(edges: DataFrame) -> str:

@@ -152,6 +152,9 @@ SELECT score, x1 AS seed1, x2 AS seed2 FROM scored ORDER BY score, x1, x2 LIMIT
         "split_leak_check": f"WITH {ONE}{SPLIT} SELECT source, count(DISTINCT split) AS n_splits FROM documents JOIN assigned ON source = grp GROUP BY source HAVING count(DISTINCT split) > 1",
         "content_sha256": f"SELECT source, count(*) AS n, sha256(count(*)::VARCHAR || ':' || {lanes}) AS sha256 FROM (SELECT source, sha256(text) AS d FROM documents) GROUP BY source",
         "dense_index": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS index FROM documents",
+        "kept_index": "SELECT doc_id, source_idx, 'images/ligne_' || source_idx || '.png' AS image_path FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id, lang) - 1 AS source_idx FROM documents) WHERE lang = 'fr'",
+        "arrow_split": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE source LIKE '%1'",
+        "journal_entries": "SELECT conv_id AS id, turn AS step, CASE WHEN turn = 0 THEN text END AS said, (CASE WHEN turn <> 0 THEN length(text) ELSE 0 END)::INT AS signs FROM conversations",
         "entity_counts": f"WITH {TOKENS} SELECT entity, count(*) AS n, round(avg(score), 3) AS mean_score, round(avg((score > 0.8)::INT), 4) AS share_high FROM facts GROUP BY entity",
         "entity_density": f"WITH {TOKENS} SELECT (SELECT count(*) FROM facts) AS n_entities, count(*) AS n_lines, round((SELECT count(*) FROM facts) / greatest(count(*), 1), 6) AS per_line FROM documents",
         "entity_prf": f"""WITH {TOKENS}, p AS (SELECT DISTINCT doc_id, lower(word) AS w, entity AS g FROM facts), t AS (SELECT DISTINCT doc_id, 'the' AS w, 'LOC' AS g FROM labels),

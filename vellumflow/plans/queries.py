@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import metrics, text
 from vellumflow.operators import contract, corpus, entities, matching, stats, tei, topics
+from vellumflow.sources import arrow_source, readers
+from vellumflow.sources.scratch import scratch_path
 from vellumflow.streaming.sessions import closed_sessions
 
 #: Names that stand in for a gazetteer in the synthetic texts.
@@ -148,6 +150,32 @@ def indexed(spark, sf_dir):
     return corpus.dense_index(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang", "doc_id"])
 
 
+def kept_index(spark, sf_dir):
+    """French documents, image names made of their place among all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return corpus.with_image_path(corpus.with_source_index(docs, ["doc_id", "lang"], F.col("lang") == "fr")).select("doc_id", "source_idx", "image_path")
+
+
+def arrow_split(spark, sf_dir):
+    """Documents written as Arrow files with flags by their source, those for validation read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kind = F.when(F.col("source").endswith("1"), "validation").when(F.col("source").endswith("2"), "test").otherwise("train")
+    path = scratch_path(spark, "arrow")
+    arrow_source.write_arrow(docs.withColumns({s: kind == s for s in arrow_source.FLAGS}), path)
+    return arrow_source.read_arrow(spark, path, "doc_id long, text string, validation boolean").filter("validation").select("doc_id", F.md5("text").alias("md5"))
+
+
+def journal_entries(spark, sf_dir):
+    """Conversations as a journal whose entries have unlike keys: first turns a text, the others its length."""
+    turns = table(spark, sf_dir, "conversations")
+    keys = [F.col("conv_id").alias("id"), F.col("turn").alias("step")]
+    path = scratch_path(spark, "journal")
+    first = F.to_json(F.struct(*keys, F.struct(F.col("text").alias("said")).alias("note")))
+    turns.select(F.when(F.col("turn") == 0, first).otherwise(F.to_json(F.struct(*keys, F.length("text").alias("signs")))).alias("value")).write.text(path)
+    entries = readers.read_journal_variant(spark, path)
+    return readers.typed(entries, id="$.id bigint", step="$.step bigint", said="$.note.said string", signs="$.signs int").fillna(0, ["signs"])
+
+
 def facts(spark, sf_dir):
     return entities.entity_table(table(spark, sf_dir, "documents"), "doc_id", "text", partial(entities.GazetteerPredictor, NAMES))
 
@@ -327,6 +355,9 @@ def queries() -> dict:
         "split_leak_check": leak_check,
         "content_sha256": content_hashes,
         "dense_index": indexed,
+        "kept_index": kept_index,
+        "arrow_split": arrow_split,
+        "journal_entries": journal_entries,
         "entity_counts": entity_counts,
         "entity_density": entity_density,
         "entity_prf": entity_scores,

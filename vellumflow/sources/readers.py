@@ -121,6 +121,22 @@ def read_journal(spark: SparkSession, path: str, schema: T.StructType | None = N
     return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
 
 
+def read_journal_variant(spark: SparkSession, path: str) -> DataFrame:
+    """line, entry: each entry as a variant, so entries of unlike keys need no common schema; null where it is no JSON."""
+    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(~is_blank(F.col("line")))
+    return lines.withColumn("entry", F.try_parse_json("line"))
+
+
+def typed(entries: DataFrame, **wanted: str) -> DataFrame:
+    """Columns of ``name="$.path type"``; null where an entry lacks the path or holds what isn't of the type."""
+    return entries.select(*[F.try_variant_get("entry", *spec.split(" ", 1)).alias(name) for name, spec in wanted.items()])
+
+
+def decoded_metadata(spark: SparkSession, path: str, key: str, glob: str = "*.arrow") -> DataFrame:
+    """path, entry: one key of the files' schema metadata, decoded as a variant."""
+    return arrow_metadata(spark, path, glob).filter(F.col("key") == key).select("path", F.try_parse_json("value").alias("entry"))
+
+
 def read_arrow_files(spark: SparkSession, path: str, schema: str, glob: str = "*.arrow") -> DataFrame:
     """Rows of Arrow IPC files, a task for each share of files, a file read batch by batch."""
     names = [f.name for f in T._parse_datatype_string(schema)]

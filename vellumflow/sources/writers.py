@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.operators.corpus import dense_index
+from vellumflow.sources.arrow_source import opened, qualified, write_arrow  # noqa: F401  a writer like the others
 
 
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
@@ -67,16 +68,24 @@ def write_tei(df: DataFrame, path: str, id_col: str, tei_col: str = "tei") -> No
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> int:
-    """One file for each row, of its text or bytes as they are; the number of files.
+    """One file for each row, of its text or bytes as they are (null: empty); the number of rows.
 
-    For what is read file by file: the rows pass through the driver one at a time, so
-    tables for further work are better written as such.
+    Tasks write their rows' files, so names are to be unique; a task that runs again
+    writes the same files again. The folder is in a store that pyarrow.fs opens.
     """
-    n = 0
-    for row in df.select(F.col(name).cast("string").alias("n"), F.col(content).cast("binary").alias("c")).toLocalIterator():
-        _hadoop_bytes(df.sparkSession, f"{folder.rstrip('/')}/{row['n']}", bytes(row["c"] or b""))
-        n += 1
-    return n
+    to = qualified(df.sparkSession, folder)
+
+    def write(batches):
+        store, at = opened(to)
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{at}/{file}") as out:
+                    out.write(body or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(name).cast("string").alias("n"), F.col(content).cast("binary").alias("c"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_tei_files(df: DataFrame, folder: str, id_col: str, tei_col: str = "tei") -> int:
@@ -149,15 +158,6 @@ def arrow_bytes(df: DataFrame, metadata: dict[str, str] | None = None) -> DataFr
     return df.mapInArrow(pack, "content binary")
 
 
-def write_arrow(df: DataFrame, folder: str, metadata: dict[str, str] | None = None) -> int:
-    """An Arrow file ``part-N.arrow`` for each partition, with the schema metadata; the number of files.
-
-    A partition's file passes through the driver whole, so partitions bound what it holds.
-    """
-    made = arrow_bytes(df, metadata).withColumn("name", F.format_string("part-%05d.arrow", F.spark_partition_id()))
-    return write_files(made, folder, "name", "content")
-
-
 def crops(df: DataFrame, image: str = "image", box: str = "box") -> DataFrame:
     """``df`` and crop: the part of the image within the clipped box."""
     @F.pandas_udf("struct<height:int,width:int,data:binary>")
