@@ -77,6 +77,10 @@ TOKENS = """facts AS (SELECT doc_id, w AS word, CASE WHEN w IN ('The','Les') THE
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w IN ('The','Les','Der','Ein','Los','Una'))"""
 
 
+SHARED = """n AS (SELECT g, count(*) AS n FROM k GROUP BY g), s AS (SELECT x.g AS a, y.g AS b, count(*) AS n_shared FROM k x JOIN k y ON x.k = y.k AND x.g < y.g GROUP BY x.g, y.g)
+SELECT a, b, n1.n AS n_a, n2.n AS n_b, n_shared FROM s JOIN n n1 ON n1.g = a JOIN n n2 ON n2.g = b"""
+
+
 def poisson_steps() -> list[float]:
     import math
 
@@ -155,6 +159,8 @@ SELECT score, x1 AS seed1, x2 AS seed2 FROM scored ORDER BY score, x1, x2 LIMIT
         "kept_index": "SELECT doc_id, source_idx, 'images/ligne_' || source_idx || '.png' AS image_path FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id, lang) - 1 AS source_idx FROM documents) WHERE lang = 'fr'",
         "arrow_split": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE source LIKE '%1'",
         "journal_entries": "SELECT conv_id AS id, turn AS step, CASE WHEN turn = 0 THEN text END AS said, (CASE WHEN turn <> 0 THEN length(text) ELSE 0 END)::INT AS signs FROM conversations",
+        "text_overlaps": f"WITH k AS (SELECT DISTINCT source AS g, text AS k FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), {SHARED}",
+        "word_overlaps": f"WITH {LINES}, k AS (SELECT DISTINCT lang AS g, regexp_extract(line, '^[^ ]*') AS k FROM lines WHERE lang IS NOT NULL), {SHARED}",
         "entity_counts": f"WITH {TOKENS} SELECT entity, count(*) AS n, round(avg(score), 3) AS mean_score, round(avg((score > 0.8)::INT), 4) AS share_high FROM facts GROUP BY entity",
         "entity_density": f"WITH {TOKENS} SELECT (SELECT count(*) FROM facts) AS n_entities, count(*) AS n_lines, round((SELECT count(*) FROM facts) / greatest(count(*), 1), 6) AS per_line FROM documents",
         "entity_prf": f"""WITH {TOKENS}, p AS (SELECT DISTINCT doc_id, lower(word) AS w, entity AS g FROM facts), t AS (SELECT DISTINCT doc_id, 'the' AS w, 'LOC' AS g FROM labels),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.functions import metrics, text
-from vellumflow.operators import contract, corpus, entities, matching, stats, tei, topics
+from vellumflow.operators import contract, corpus, entities, matching, sketches, stats, tei, topics
 from vellumflow.sources import arrow_source, readers
 from vellumflow.sources.scratch import scratch_path
 from vellumflow.streaming.sessions import closed_sessions
@@ -311,6 +311,17 @@ def shared_texts(spark, sf_dir):
     return corpus.overlap(docs.filter("source = 'src0'"), docs.filter("source <> 'src0'"), "text").withColumn("share", F.round("share", 6))
 
 
+def word_overlaps(spark, sf_dir):
+    """Languages' first words of lines; at this number of words sketches are exact."""
+    words = doc_lines(spark, sf_dir).select("lang", F.regexp_extract("line", "^[^ ]*", 0).alias("word"))
+    return sketches.overlaps(sketches.group_sketches(words, "lang", F.col("word")))
+
+
+def text_overlaps(spark, sf_dir):
+    """Texts that each two sources share; a source's distinct texts fit its sketch, or are estimated beyond that."""
+    return sketches.overlaps(sketches.group_sketches(table(spark, sf_dir, "documents"), "source", F.col("text")))
+
+
 def contract_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "shelfmark")
     return contract.contract_lines(docs, id_col="doc_id", text_col="text", confidence=confidence()).select("id", "shelfmark", "text_normalized", "confidence", "needs_review")
@@ -380,6 +391,8 @@ def queries() -> dict:
         "ctfidf_terms": topic_terms,
         "kmeans_topics": vector_topics,
         "dup_overlap": shared_texts,
+        "text_overlaps": text_overlaps,
+        "word_overlaps": word_overlaps,
         "contract_lines": contract_lines,
         "page_basenames": page_names,
     }
