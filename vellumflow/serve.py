@@ -1,7 +1,7 @@
 """A small HTTP endpoint: ``python -m vellumflow.serve [PORT]``; GET /health, POST /analyze with ``{"text": ...}``.
 
-For single requests, so the predictor runs in this process; tables belong to
-``entities.analyze``.
+For single requests, each of which is a small Spark job of the session; tables
+belong to ``entities.analyze``. A body of more than 1 MiB is answered with 413.
 """
 
 from __future__ import annotations
