@@ -31,6 +31,9 @@ GAZETTEER = {
 }
 
 
+FOLLOWING = re.compile(r"(?: (?:du |de |d')?[A-Z]\w+)*")
+
+
 class GazetteerPredictor:
     """Names of a gazetteer at word starts; a personal name takes following capitalised words along."""
 
@@ -42,17 +45,18 @@ class GazetteerPredictor:
         if self._pattern is None:
             each = sorted(((n, label) for label, ns in self.names.items() for n in ns), key=lambda x: -len(x[0]))
             self.label = dict(each)
-            self._pattern = re.compile(rf"(?<!\w)({'|'.join(re.escape(n) for n, _ in each)})(?!\w)((?: (?:du |de |d')?[A-Z]\w+)*)") if each else re.compile(r"(?!)")
+            self._pattern = re.compile(rf"(?<!\w)({'|'.join(re.escape(n) for n, _ in each)})(?!\w)") if each else re.compile(r"(?!)")
         return self._pattern
 
     def __call__(self, texts: list[str]) -> list[list[dict]]:
         out = []
         for text in texts:
-            found = []
-            for m in self._load().finditer(text):
+            found, at = [], 0
+            while m := self._load().search(text, at):
                 label = self.label[m[1]]
-                word = m[0] if label == "PER" else m[1]
-                found.append({"word": word, "entity_group": label, "score": 0.95 if word == m[1] else 0.85, "start": m.start(), "end": m.start() + len(word)})
+                at = FOLLOWING.match(text, m.end()).end() if label == "PER" else m.end()  # what isn't taken along may be a name
+                word = text[m.start() : at]
+                found.append({"word": word, "entity_group": label, "score": 0.95 if word == m[1] else 0.85, "start": m.start(), "end": at})
             out.append(found)
         return out
 
