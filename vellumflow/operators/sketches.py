@@ -1,10 +1,13 @@
-"""Theta sketches of groups' keys: stored, merged, and compared without the rows."""
+"""Keys that groups share: counted from the rows, or estimated from theta sketches that are stored and merged without them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.operators.entities import cooccurrences
+from vellumflow.sources.scratch import cut
+
 #: Logarithm of a sketch's entries: groups of at most 4,096 keys are exact, larger
 #: ones have a relative standard error of about 1.6 % (an overlap's is of the union).
 LG_ENTRIES = 12
@@ -47,3 +50,17 @@ def overlaps(sketches: DataFrame, *, blocks: int = 16) -> DataFrame:
         F.theta_sketch_estimate(F.theta_intersection("x.sketch", "y.sketch")).alias("n_shared"),
     )
     return rows.filter("n_shared > 0")
+
+
+def exact_overlaps(df: DataFrame, group: str, key: Column) -> DataFrame:
+    """a, b, n_a, n_b, n_shared: distinct keys of every two groups a < b that share one, whatever their number.
+
+    Keys are told apart by their SHA-256, so that long texts aren't shuffled; a key of
+    very many groups is paired by blocks. Null keys and groups are left out.
+    """
+    keys = df.filter(F.col(group).isNotNull() & key.isNotNull()).select(F.col(group).cast("string").alias("group"), F.unhex(F.sha2(key.cast("binary"), 256)).alias("key"))
+    keys = cut(keys.distinct(), "keys")
+    sizes = keys.groupBy("group").agg(F.count("*").alias("n"))
+    sides = [sizes.select(F.col("group").alias(side), F.col("n").alias(f"n_{side}")) for side in ("a", "b")]
+    shared = cooccurrences(keys, "key", "group").withColumnRenamed("n", "n_shared")
+    return shared.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "n_shared")
