@@ -11,6 +11,7 @@ from vellumflow.functions.metrics import box_iou
 from vellumflow.sources.scratch import cut
 
 PAIR = ["page", "truth", "pred"]
+CROWDED = 512  # pairs beyond which a page isn't walked by one task
 
 
 def cells(box: Column, cell: int, corner: bool) -> Column:
@@ -44,16 +45,42 @@ def overlapping(truth: DataFrame, pred: DataFrame, *, page: str = "page", key: s
     return met.filter(once).select(*PAIR, iou.alias("iou")).filter("iou > 0")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
+def rank(iou: Column, truth: Column, pred: Column) -> Column:
+    """What pairs are taken by, ascending."""
+    return F.struct((-iou).alias("worse"), F.md5(F.concat_ws(":", truth, pred).cast("binary")).alias("tie"), truth.alias("truth"), pred.alias("pred"))
+
+
+def walked(pairs: DataFrame) -> DataFrame:
+    """The pairs of :func:`one_to_one`, each page's one after the other; for pages of few pairs, which are shuffled once."""
+    each = pairs.groupBy("page").agg(F.collect_list(F.struct("truth", "pred", "iou")).alias("ps"))
+    ranked = F.array_sort(F.transform("ps", lambda p: rank(p["iou"], p["truth"], p["pred"])))
+
+    def step(taken: Column, p: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["truth"] == p["truth"]) | (t["pred"] == p["pred"]))
+        return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
+
+    kind = "array<struct<worse:double,tie:string,truth:string,pred:string>>"
+    taken = F.aggregate(ranked.cast(kind), F.array().cast(kind), step)
+    return each.select("page", F.explode(taken).alias("o")).select("page", "o.truth", "o.pred", (-F.col("o.worse")).alias("iou"))
+
+
+def one_to_one(pairs: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
     """Of page, truth, pred, iou the pairs taken by descending iou, a line at most once on either side.
 
-    Equal ones go by the md5 of their lines' ids. In each round every pair is taken
-    that comes first for both its lines, which gives the same as one pair after the
-    other; as equal ones are in a random order, a row of lines that overlap alike
-    takes few rounds. Rounds are written tables: what is left shrinks in each.
+    Equal ones go by the md5 of their lines' ids. A page of at most ``crowded`` pairs is
+    walked by one task. For the others, in each round every pair is taken that comes
+    first for both its lines, which gives the same as one pair after the other; as
+    equal ones are in a random order, a row of lines that overlap alike takes few
+    rounds. Rounds are written tables: what is left shrinks in each.
     """
-    order = F.struct((-F.col("iou")).alias("worse"), F.md5(F.concat_ws(":", "truth", "pred").cast("binary")).alias("tie"), "truth", "pred")
-    left, rounds = cut(pairs.select(*PAIR, "iou", order.alias("o")), "pairs"), []
+    strings = [F.col("page"), F.col("truth").cast("string").alias("truth"), F.col("pred").cast("string").alias("pred"), F.col("iou").cast("double").alias("iou")]
+    pairs = cut(pairs.select(*strings), "pairs")
+    large = cut(pairs.groupBy("page").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("page"), "crowded")
+    if large.isEmpty():
+        return cut(walked(pairs), "matched")
+    rounds = [cut(walked(pairs.join(large, "page", "left_anti")), "matched")]
+    order = rank(F.col("iou"), F.col("truth"), F.col("pred"))
+    left = cut(pairs.join(large, "page", "left_semi").withColumn("o", order), "pairs")
     while not left.isEmpty():
         first = [left.groupBy("page", side).agg(F.min("o").alias("o")).select("page", "o") for side in ("truth", "pred")]
         both = first[0].join(first[1], ["page", "o"]).select("page", "o.truth", "o.pred", (-F.col("o.worse")).alias("iou"))
@@ -61,7 +88,7 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
         for side in ("truth", "pred"):
             left = left.join(rounds[-1].select("page", side), ["page", side], "left_anti")
         left = cut(left, "pairs")
-    return reduce(DataFrame.unionByName, rounds) if rounds else left.select(*PAIR, "iou")
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def match_lines(truth: DataFrame, pred: DataFrame, *, page: str = "page", key: str = "line_id", box: str = "box", cell: int = 256) -> DataFrame:
