@@ -7,7 +7,8 @@ A fingerprint has a home anchor within distance 1, and is replicated to all anch
 within 1 + 1; so two fingerprints with at most one differing bit in the union meet
 at the home of either, and are linked if they differ in at most four bits in all.
 Any four bits leave some union at most one of them (the tests try every spread), so
-no pair is missed. Equal fingerprints are one before that, and an anchor yields
+no pair is missed. An anchor that is nobody's home yields nothing, so copies go only to
+anchors whose bit is among those that the homes mark. Equal fingerprints are one before that, and an anchor yields
 links that connect what its pairs connect, never all pairs.
 
 An anchor of very many fingerprints is linked in runs of bounded length; what then
@@ -34,6 +35,8 @@ _SHINGLES = 1 << 14  # shingles whose bits are held side by side
 _CHUNK = 1 << 18  # pairs that are held side by side
 _ALL_PAIRS = 1 << 9  # pairs of an anchor up to which all are compared side by side
 _RUN = 1 << 18  # fingerprints of an anchor that a task links at once
+_MARKS, _PART = 27, 15  # logarithms of the most bits that homes mark, and of those that a task gathers at once
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 # First bit and bits of each part, and the parts of each union; length of the Hamming code, and the most bits of a link.
 PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -124,14 +127,58 @@ def anchors(prints: np.ndarray, union: int) -> Iterator[tuple[np.ndarray, np.nda
         yield far, x[far] ^ PAIRS[syndrome[far].astype(np.int64), k], False
 
 
-def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """place (union, anchor and, last bit, 0 for home) and print: a row for each anchor of a fingerprint."""
-    for batch in batches:
-        prints = batch.column(0).to_numpy().view(np.uint64)
-        for union in range(len(UNIONS)):
-            for rows, anchor, home in anchors(prints, union):
-                place = np.uint64(union) << np.uint64(40) | anchor << np.uint64(1) | np.uint64(not home)
-                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(prints[rows].view(np.int64))], names=["place", "print"])
+def place_of(union: int, anchor: np.ndarray, home: bool) -> np.ndarray:
+    """Union, anchor and, last bit, 0 for home."""
+    return np.uint64(union) << np.uint64(40) | anchor << np.uint64(1) | np.uint64(not home)
+
+
+def mark_of(place: np.ndarray, bits: int) -> np.ndarray:
+    """The bit, of 2^bits, that stands for the anchor of a place."""
+    return ((place >> np.uint64(1)) * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def home_marks(prints: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all homes, 2^bits of them in bytes: at most 16 MB, whatever the number of fingerprints."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for union in range(len(UNIONS)):
+                _, home, _ = next(anchors(batch.column(0).to_numpy().view(np.uint64), union))
+                at = np.unique(mark_of(place_of(union, home, True), bits))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> _PART).astype(np.int32)), pa.array((at & (1 << _PART) - 1).astype(np.int32))], names=["part", "at"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        marked = np.zeros(1 << _PART, np.uint8)
+        marked[rows.column("at").to_numpy()] = 1
+        return pa.table({"part": rows.column("part")[:1], "bits": [np.packbits(marked, bitorder="little").tobytes()]})
+
+    found = prints.select("print").mapInArrow(marks, "part int, at int").groupBy("part").applyInArrow(gathered, "part int, bits binary").toArrow()
+    out = np.zeros((1 << bits - _PART, 1 << _PART - 3), np.uint8)
+    for part, marked in zip(found.column("part").to_pylist(), found.column("bits"), strict=True):
+        out[part] = np.frombuffer(marked.as_py(), np.uint8)
+    return out.ravel()
+
+
+def replicated(prints: DataFrame) -> DataFrame:
+    """place, print: each fingerprint at its home of each union, and at its other anchors that may be homes."""
+    bits = min(_MARKS, max(_PART, (16 * len(UNIONS) * prints.count()).bit_length()))
+    shared = prints.sparkSession.sparkContext.broadcast(home_marks(prints, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            for union in range(len(UNIONS)):
+                for rows, anchor, home in anchors(x, union):
+                    place = place_of(union, anchor, home)
+                    if not home:
+                        at = mark_of(place, bits)
+                        met = (marked[at >> 3] >> (at & 7) & 1).astype(bool)
+                        rows, place = rows[met], place[met]
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(x[rows].view(np.int64))], names=["place", "print"])
+
+    return prints.select("print").mapInArrow(run, "place long, print long")
 
 
 def forest(homes: int, members: np.ndarray, most: int) -> tuple[list[int], list[int]]:
@@ -246,8 +293,7 @@ def anchor_links(run_length: int):
 
 def print_links(prints: DataFrame, *, run_length: int = _RUN) -> DataFrame:
     """Links a, b that connect the distinct fingerprints (column print) that meet and differ in few bits, a written table."""
-    placed = prints.select("print").mapInArrow(replicate, "place long, print long")
-    met = placed.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
+    met = replicated(prints).repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     found = written(met.mapInArrow(anchor_links(run_length), "a long, b long, place long"), "anchor-links")
     links = found.filter("b is not null").select("a", "b")
     dense = found.filter("b is null").select("place", F.col("a").alias("print"))
