@@ -11,14 +11,15 @@ rows. Bounds from the sizes discard pairs in between, and none of them loses a l
   n - ceil(0.8 n) + 1 of each, and where the first shared one stands bounds what can
   follow it.
 - They differ in at most (n + m) / 9 n-grams. Of each set the parities of its n-grams
-  on 512 places are kept, and where these differ the sets do.
+  on 512 places are kept, and where these differ the sets do. For the pairs that
+  this leaves, parities on a place or two for each n-gram say more before whole rows meet.
 
 The order puts columns first that a sample of the texts shows to be rare; it decides
 how many pairs are looked at, never which are linked.
 
 Texts of one set are one row. To keep groups of near copies from costing their
 square, every row is multiplied with the lead of each of its columns first; after that only pairs in different components are looked at, in columns that still
-have several: whoever is outside a column's largest component, with all of it.
+have several beside their leads, whose pairs are decided: whoever is outside a column's largest component, with all of it.
 """
 
 from __future__ import annotations
@@ -91,6 +92,21 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def wide_parities(found: np.ndarray) -> bytes:
+    """Parities on as many places as the least power of two that is 64 or more and no less than the n-grams."""
+    places = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    counts = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Places where the wide parities of two sets differ, at most the n-grams that only one of them has."""
+    few, many = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+    while len(many) > len(few):  # half the places: those that are alike but for their highest bit fall together
+        many = many[: len(many) // 2] ^ many[len(many) // 2 :]
+    return int(np.bitwise_count(few ^ many).sum())
+
+
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that several texts of a sample have, the most frequent ones, sorted, and their counts there."""
 
@@ -139,11 +155,22 @@ def measured_column(text: Column, known: np.ndarray, counts: np.ndarray) -> Colu
     return F.arrow_udf(run, "array<long>")(text.cast("binary"))
 
 
-def ngrams_column(text: Column) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        return lists([ngrams(t.as_py() or b"").view(np.int64) for t in texts])
+WHOLE = "node long, n int, wide binary, keys array<long>"
 
-    return F.arrow_udf(run, "array<long>")(text.cast("binary"))
+
+def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WHOLE of a node and its text."""
+    for batch in batches:
+        found = [ngrams(t.as_py() or b"") for t in batch.column("text")]
+        columns = [pa.array([len(f) for f in found], pa.int32()), pa.array([wide_parities(f) for f in found], pa.binary()), lists([f.view(np.int64) for f in found])]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "n", "wide", "keys"])
+
+
+def least_apart_column(x: Column, y: Column) -> Column:
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([least_apart(a.as_py(), b.as_py()) for a, b in zip(left, right, strict=True)], pa.int32())
+
+    return F.arrow_udf(run, "int")(x, y)
 
 
 def with_row_hash(docs: DataFrame, row: str, *columns: Column) -> DataFrame:
@@ -160,51 +187,61 @@ def measured(rows: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame
 
 
 def incidence(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, node, n, place, PARITY: the leading columns that several nodes have, each node once, a written table."""
+    """key, node, n, place: the leading columns that several nodes have, each node once, a written table."""
     copies = scratch.written(sets.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).filter("c > 1").drop("c"), "copies")
-    once = sets.select("row", "node", "n", "prefix", *PARITY).join(small(copies, 48), "node", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
+    once = sets.select("row", "node", "n", "prefix").join(small(copies, 48), "node", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
     places = once.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
     columns = scratch.written(places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "columns")
-    met = places.join(small(columns, 24, _COLUMNS_BYTES), "key", "left_semi").join(once.select("node", *PARITY), "node")
+    met = places.join(small(columns, 24, _COLUMNS_BYTES), "key", "left_semi")
     return scratch.written(met.dropDuplicates(["key", "node"]), "incidence")  # rows that are alike in all give a node twice
 
 
+def column_leads(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, nodes, place, node, n, a written table: of each column its nodes and the one with the fewest n-grams before it, so most in common with its group."""
+    return scratch.written(met.groupBy("key").agg(F.count("*").alias("nodes"), F.min(F.struct("place", "node", "n")).alias("y")).select("key", "nodes", "y.*"), "leads")
+
+
 def enough(overlap: Column, total: Column) -> Column:
     return 9 * overlap >= 4 * total
 
 
-def may_link(x: str, y: str) -> Column:
-    """Bounds of two rows at a column, if it is the first they share.
-
-    They share at most what follows there in the smaller rest; and each bit in which
-    their parities differ is an n-gram that only one of them has.
-    """
-    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+def rest_enough(x: str, y: str) -> Column:
+    """Bound of two rows at a column, if it is the first they share: they share at most what follows there in the smaller rest."""
     rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+    return enough(rest, F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def parities_near(x: str, y: str) -> Column:
+    """Bound of two rows: each bit in which their parities differ is an n-gram that only one of them has."""
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in PARITY])
-    return enough(rest, total) & (9 * apart <= total)
+    return 9 * apart <= F.col(f"{x}.n") + F.col(f"{y}.n")
 
 
 def pair_of(x: str, y: str) -> list[Column]:
     return [F.greatest(f"{x}.node", f"{y}.node").alias("a"), F.least(f"{x}.node", f"{y}.node").alias("b")]
 
 
-def star_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
-    """a > b: nodes and the lead of each of their columns, if they may link: the node that has the fewest n-grams before it, so most in common with its group."""
-    leads = scratch.written(met.groupBy("key").agg(F.min(F.struct("place", "node", "n", *PARITY)).alias("y")), "leads").select("key", "y.*")
-    product = met.alias("x").join(leads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
-    return scratch.written(product.select(*pair_of("x", "y")).distinct(), "pairs")
+def star_pairs(met: DataFrame, leads: DataFrame, parities: DataFrame, scratch: Scratch) -> DataFrame:
+    """a > b: nodes and the lead of each of their columns, if they may link; parities: node, n, PARITY."""
+    x, y = met.alias("x"), leads.alias("y")
+    product = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & rest_enough("x", "y"))
+    pairs = scratch.written(product.select(*pair_of("x", "y")).distinct(), "met-pairs")
+    x, y = parities.alias("x"), parities.alias("y")
+    near = pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node")).filter(parities_near("x", "y"))
+    return scratch.written(near.select("a", "b"), "pairs")
 
 
-def cross_pairs(met: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """a > b: nodes of different components that meet in a column, if they may link."""
-    placed = scratch.written(met.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+def cross_pairs(met: DataFrame, leads: DataFrame, parities: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """a > b: nodes of different components that meet in a column, if they may link and neither leads it: pairs with the lead are decided."""
+    crowded = leads.filter("nodes > 2").select("key", F.col("node").alias("lead"))
+    others = scratch.written(met.join(small(crowded, 32, _COLUMNS_BYTES), "key").filter("node <> lead").drop("lead"), "others")
+    placed = scratch.written(others.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
     mains = scratch.written(parts.filter("roots > 1").select("key", F.col("most.root").alias("main")), "mains")
-    mixed = scratch.written(placed.join(mains, "key"), "mixed")
+    mixed = scratch.written(placed.join(mains, "key").join(parities.drop("n"), "node"), "mixed")
     x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") > F.col("y.node"))  # outside the largest, a pair is met from both ends
-    product = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may_link("x", "y"))
+    product = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & rest_enough("x", "y") & parities_near("x", "y"))
     return scratch.written(product.select(*pair_of("x", "y")).distinct(), "pairs")
 
 
@@ -215,20 +252,26 @@ def nodes_of(pairs: DataFrame) -> DataFrame:
 def links_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, row: str, text_col: str) -> DataFrame:
     """The pairs a, b, a written table, whose whole rows overlap enough, written.
 
-    rows: texts and a hash ``row`` of each; sets: row, node. One of a pair's rows is
-    fetched to the other; whole rows are computed anew for the nodes needed.
+    rows: texts and a hash ``row`` of each; sets: row, node. Whole rows are computed
+    anew for the nodes needed; of the pairs that their wide parities leave, one's row
+    is fetched to the other.
     """
     with Scratch(pairs.sparkSession) as scratch:
         needed = scratch.written(nodes_of(pairs), "needed")
         first = scratch.written(sets.join(small(needed, 24), "node", "left_semi").groupBy("node").agg(F.min("row").alias("first_row")), "rows")
-        texts = rows.join(small(first, 48), F.col(row) == F.col("first_row")).select("node", F.col(text_col).alias("text"))
+        texts = rows.join(small(first, 48), F.col(row) == F.col("first_row")).select("node", F.col(text_col).cast("binary").alias("text"))
         with text_batches(pairs.sparkSession):
-            whole = scratch.written(texts.select("node", ngrams_column(F.col("text")).alias("keys")), "whole-rows")
+            whole = scratch.written(texts.mapInArrow(whole_rows, WHOLE), "whole-rows")
         if whole.count() > first.count():  # rows that are alike in all
-            whole = whole.dropDuplicates(["node"])
-        x, y = (whole.select(F.col("node").alias(n), F.col("keys").alias(k)) for n, k in (("a", "x"), ("b", "y")))
+            whole = scratch.written(whole.dropDuplicates(["node"]), "whole-rows")
+        a, b = (whole.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("wide").alias(f"{k}_wide")) for k in "ab")
+        near = pairs.join(b, "b").join(a, "a").filter(9 * least_apart_column(F.col("a_wide"), F.col("b_wide")) <= F.col("a_n") + F.col("b_n"))
+        near = scratch.written(near.select("a", "b"), "near-pairs")
+        left = scratch.written(nodes_of(near), "left")
+        kept = whole.select("node", "keys").join(small(left, 24), "node", "left_semi")
+        x, y = (kept.select(F.col("node").alias(n), F.col("keys").alias(k)) for n, k in (("a", "x"), ("b", "y")))
         overlap = F.size(F.array_intersect("x", "y"))
-        return written(pairs.join(y, "b").join(x, "a").filter(enough(overlap, F.size("x") + F.size("y"))).select("a", "b"), "links")
+        return written(near.join(y, "b").join(x, "a").filter(enough(overlap, F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
 def linked_nodes(rows: DataFrame, sets: DataFrame, row: str, text_col: str, candidates: DataFrame | None = None) -> DataFrame:
@@ -242,10 +285,12 @@ def linked_nodes(rows: DataFrame, sets: DataFrame, row: str, text_col: str, cand
         if candidates is not None:
             links = links_of(scratch.written(candidates, "pairs"), rows, sets, row, text_col)
         met = incidence(sets, scratch)
-        found = links_of(star_pairs(met, scratch), rows, sets, row, text_col)
+        leads = column_leads(met, scratch)
+        parities = scratch.written(sets.select("node", F.col("n").cast("int").alias("n"), *PARITY).dropDuplicates(["node"]), "parities")
+        found = links_of(star_pairs(met, leads, parities, scratch), rows, sets, row, text_col)
         links = found if links is None else links.unionByName(found)
         roots = scratch.written(components(links), "roots")
-        found = links_of(cross_pairs(met, roots, scratch), rows, sets, row, text_col)
+        found = links_of(cross_pairs(met, leads, parities, roots, scratch), rows, sets, row, text_col)
         if found.isEmpty():
             return written(roots, "roots")
         return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
