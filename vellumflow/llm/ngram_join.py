@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import component_of_nodes, components
-from vellumflow.llm.shared import Scratch, small, text_batches, written
+from vellumflow.llm.shared import Scratch, kept, small, text_batches, written
 
 WIDTH = 5  # words of an n-gram
 _SAMPLE = 1 / 16  # share of the texts whose n-grams are counted for their order
@@ -43,7 +43,6 @@ _KNOWN = 1 << 20  # most frequent n-grams that the order tells apart
 _PLACES = 9  # logarithm of the bits of a set's parities
 PARITY = [f"b{k}" for k in range((1 << _PLACES) // 64)]
 _WORDS = 1 << 18  # words whose hashes a worker keeps
-_COLUMNS_BYTES = 64 << 20  # most bytes of the met columns for a broadcast
 _FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([k]), 42) | 1) for k in range(WIDTH + 1)]
 
 
@@ -55,15 +54,12 @@ class WordHashes(dict):
         return out
 
 
-_hashes = WordHashes()
-
-
 def ngrams(text: bytes) -> np.ndarray:
     """Distinct 64-bit hashes of the n-grams, A-Z lower-cased, sorted; a text of fewer words is one n-gram."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(kept(("word hashes",), WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(WIDTH, len(each))
     n = len(each) - width + 1
     out = np.full(n, width, np.uint64) * _FACTORS[WIDTH]
@@ -187,13 +183,18 @@ def measured(rows: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame
 
 
 def incidence(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, node, n, place: the leading columns that several nodes have, each node once, a written table."""
+    """key, node, n, place: the leading columns that several nodes have, each node once, a written table.
+
+    Columns are many, so they meet their rows by shuffles, which Spark can split, at every size: broadcast,
+    each executor would hold them all, and long after their join.
+    """
     copies = scratch.written(sets.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).filter("c > 1").drop("c"), "copies")
-    once = sets.select("row", "node", "n", "prefix").join(small(copies, 48), "node", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
+    marked = sets.select("row", "node", "n", "prefix").join(small(copies, 48), "node", "left")
+    firsts = marked.filter(F.col("row") == F.col("first_row")).dropDuplicates(["node"])  # rows that are alike in all
+    once = marked.filter(F.col("first_row").isNull()).unionByName(firsts)
     places = once.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
     columns = scratch.written(places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "columns")
-    met = places.join(small(columns, 24, _COLUMNS_BYTES), "key", "left_semi")
-    return scratch.written(met.dropDuplicates(["key", "node"]), "incidence")  # rows that are alike in all give a node twice
+    return scratch.written(places.join(columns, "key", "left_semi").select("key", "node", "n", "place"), "incidence")
 
 
 def column_leads(met: DataFrame, scratch: Scratch) -> DataFrame:
@@ -234,7 +235,7 @@ def star_pairs(met: DataFrame, leads: DataFrame, parities: DataFrame, scratch: S
 def cross_pairs(met: DataFrame, leads: DataFrame, parities: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """a > b: nodes of different components that meet in a column, if they may link and neither leads it: pairs with the lead are decided."""
     crowded = leads.filter("nodes > 2").select("key", F.col("node").alias("lead"))
-    others = scratch.written(met.join(small(crowded, 32, _COLUMNS_BYTES), "key").filter("node <> lead").drop("lead"), "others")
+    others = scratch.written(met.join(crowded, "key").filter("node <> lead").drop("lead"), "others")
     placed = scratch.written(others.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
     mains = scratch.written(parts.filter("roots > 1").select("key", F.col("most.root").alias("main")), "mains")

@@ -14,6 +14,8 @@ import json
 import re
 from array import array
 
+from vellumflow.llm.shared import kept
+
 #: Unicode White_Space, which the pre-tokenizer's \s stands for.
 WS = "\t-\r \x85\xa0  -     　"
 _LATE = WS.replace(" ", "", 1)  # white space that no following word takes along
@@ -87,14 +89,9 @@ class PieceCache(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
-_caches: dict[tuple[str, int], PieceCache] = {}
-
-
 def piece_cache(path: str, most: int = 600_000) -> PieceCache:
     """The worker's own cache for a tokenizer file, kept between tasks."""
-    if (path, most) not in _caches:
-        _caches[path, most] = PieceCache(path, most)
-    return _caches[path, most]
+    return kept(("pieces", path, most), lambda: PieceCache(path, most))
 
 
 def as_text(raw: bytes | None) -> str:
