@@ -138,3 +138,16 @@ def test_packing(spark, cache, parts):
 
 def test_packing_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), default_tokenizer()).collect() == []
+
+
+def test_lines_are_cut_before_their_first_word(cache):
+    import re
+
+    from vellumflow.llm.tokens import _ALNUM, FINE, OTHER
+
+    signs = [chr(c) for c in range(0x110000) if not OTHER.match(chr(c))]
+    assert [s for s in signs if re.match(r"[^\W_]", s)] == [s for s in signs if re.match(f"[{_ALNUM}]", s)]
+    assert FINE.findall("one two\nthree\n\n four\n's") == ["one", " two", "\n", "three", "\n\n four", "\n's"]
+    words = PieceCache(default_tokenizer())
+    words.encode("one\nthree 3\nfive")
+    assert set(words) == {"one", "\n", "three", " 3", "five"}  # a word after a line's end isn't met anew
